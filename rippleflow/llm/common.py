@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +72,7 @@ def let(value: Column, body) -> Column:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part's texts have at most limit bytes (one row at least)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
@@ -82,7 +83,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes one after the other, and n + 1 offsets; a null text is empty."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     texts = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
