@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, minhash, pieces, pii, quality, sharding, suffix_dedup
+from . import decontam, html, langid, licenses, minhash, pieces, pii, quality, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.digest(_read(spark, sf_dir, "pages"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_read(spark, sf_dir, "documents"))
 
