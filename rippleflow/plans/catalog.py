@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.adapter import Network, duck
-from . import relational
+from . import analytics, graphs, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Plans written in SQL, by module.
-PLANS = [relational.SQL]
+PLANS = [relational.SQL, analytics.SQL]
 #: Plans written with the DataFrame API: (functions of a Network, their SQL).
-MODULES: list[tuple[dict[str, Callable[[Network], DataFrame]], dict[str, str]]] = []
+MODULES: list[tuple[dict[str, Callable[[Network], DataFrame]], dict[str, str]]] = [(graphs.QUERIES, graphs.ORACLES)]
 
 
 def _plan(template: str) -> Query:

@@ -25,12 +25,12 @@ SQL: dict[str, str] = {
         touched AS (SELECT src AS firm_id FROM left_edges UNION SELECT dst FROM left_edges)
         SELECT f.firm_id FROM {firms} f LEFT ANTI JOIN gone g ON f.firm_id = g.firm_id WHERE f.firm_id IN (SELECT firm_id FROM touched) OR f.firm_id IN (SELECT firm_id FROM {capabilities})""",
     "F14_config_filter": "SELECT run_id, scenario, num_seeds FROM {runs} WHERE scenario IN (0, 2) OR (num_seeds = 5 AND sample_id = 0)",
-    "F16_name_chain": "SELECT n_nationkey AS nation_id, rtrim(trim(replace(replace(replace(n_name || ' CO., LTD.', ' CO.', ''), ' LTD.', ''), 'UNITED', 'U')), ',') AS label FROM {nation}",
+    "F16_name_chain": "SELECT n_nationkey AS nation_id, regexp_replace(trim(replace(replace(replace(n_name || ' CO., LTD.', ' CO.', ''), ' LTD.', ''), 'UNITED', 'U')), ',+$', '') AS label FROM {nation}",
     # Joins.
     "J1_left_dimension": "SELECT c.firm_id, c.product, p.group_name FROM {capabilities} c LEFT JOIN {products} p ON c.product = p.product AND NOT p.special",
     "J2_inner_details": "SELECT r.src, r.dst, d.product, d.model, d.model_year FROM {relations} r JOIN {details} d ON r.src = d.src AND r.dst = d.dst WHERE r.annotated",
     "J3_firm_nation": "SELECT f.firm_id, n.nation_name, n.region_id FROM {firms} f LEFT JOIN {nations} n ON f.nation_id = n.nation_id AND n.region_id <> 4",
-    "J4_special_only": "SELECT DISTINCT c.firm_id FROM {capabilities} c JOIN {products} p ON c.product = p.product AND p.special LEFT ANTI JOIN (SELECT x.firm_id FROM {capabilities} x JOIN {products} y ON x.product = y.product WHERE NOT y.special AND y.product % 2 = 0) o ON c.firm_id = o.firm_id",
+    "J4_special_only": "SELECT DISTINCT c.firm_id FROM {capabilities} c JOIN {products} p ON c.product = p.product AND p.special LEFT ANTI JOIN (SELECT x.firm_id FROM {capabilities} x JOIN {products} y ON x.product = y.product WHERE NOT y.special AND y.product < 3) o ON c.firm_id = o.firm_id",
     "J5_collision_suffix": """SELECT a.firm_id, coalesce(a.n, 0) AS products, coalesce(b.n, 0) AS products_special FROM (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) a
         LEFT JOIN (SELECT c.firm_id, count(*) AS n FROM {capabilities} c JOIN {products} p ON c.product = p.product WHERE p.special GROUP BY c.firm_id) b ON a.firm_id = b.firm_id""",
     "J6_attributes_on_edges": "SELECT r.src, r.dst, s.degree AS src_degree, t.degree AS dst_degree FROM {relations} r JOIN {degrees} s ON r.src = s.firm_id JOIN {degrees} t ON r.dst = t.firm_id",
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     # Set operations and reshaping.
     "U1_union_distinct": "SELECT src AS firm_id FROM {relations} UNION SELECT dst FROM {relations}",
     "U2_intersection": "SELECT task_id FROM {runs} WHERE arm = 0 INTERSECT SELECT task_id FROM {runs} WHERE arm = 1",
-    "U3_difference": "SELECT src AS firm_id FROM {relations} EXCEPT SELECT dst FROM {relations}",
+    "U3_difference": "SELECT dst AS firm_id FROM {relations} EXCEPT SELECT src FROM {relations}",
     "U4_portfolio_union": "SELECT firm_id, count(*) AS products FROM (SELECT firm_id, product FROM {capabilities} UNION SELECT src, product FROM {edge_products}) x GROUP BY firm_id",
     "M1_unpivot": "SELECT firm_id, metric, CASE metric WHEN 'in' THEN in_degree WHEN 'out' THEN out_degree ELSE degree END AS value FROM {degrees} CROSS JOIN (SELECT 'in' AS metric UNION ALL SELECT 'out' UNION ALL SELECT 'all') m WHERE degree > 0",
     # Graph tables that need no iteration.

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.similarity import all_pairs
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 
 OEM = 10_000_000  # customers' firm ids start here
@@ -30,6 +32,8 @@ TABLES = {
     "products": "SELECT p_partkey AS product, p_name AS product_name, p_brand AS group_name, p_type AS family_name, p_partkey % 10 = 0 AS special FROM {part}",
     "capabilities": "SELECT DISTINCT l_suppkey AS firm_id, l_partkey AS product FROM {lineitem}",
     "sizes": "SELECT count(*) AS vectors FROM {embeddings}",
+    # Read by the other engine only; here it is similarity.all_pairs().
+    "alike": "SELECT a, b, score FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS score FROM {embeddings} x CROSS JOIN {embeddings} y) z WHERE score > 0.15",
     "degrees": """SELECT f.firm_id, f.nation_id, f.is_oem, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) AS degree,
             coalesce(i.w, 0) AS in_weight, coalesce(o.w, 0) AS out_weight FROM {firms} f
         LEFT JOIN (SELECT dst, count(*) AS n, sum(weight) AS w FROM {relations} GROUP BY dst) i ON f.firm_id = i.dst
@@ -42,12 +46,12 @@ TABLES = {
         FROM {run_series} GROUP BY run_id""",
     "capacity": "SELECT run_id, week, 1000.0 - sum(value) OVER (PARTITION BY run_id ORDER BY week) / 10.0 AS c, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY week) AS removed FROM {run_series}",
     "cascade": "SELECT s.run_id, s.week AS firm, s.week < r.num_seeds AS is_seed, s.week, 1 + s.event_id % 30 AS size, s.event_id FROM {run_series} s JOIN {runs} r ON s.run_id = r.run_id",
-    "origins": """SELECT run_id, firm, 1 AS slot, CASE WHEN event_id % 11 = 0 THEN firm + 100000 ELSE (event_id * 13) % firm END AS origin FROM {cascade} WHERE NOT is_seed
-        UNION ALL SELECT run_id, firm, 2, (event_id * 29) % firm FROM {cascade} WHERE NOT is_seed AND event_id % 11 <> 0 AND event_id % 3 <> 0""",
+    "origins": """SELECT run_id, firm, 1 AS slot, CASE WHEN event_id % 11 = 0 THEN firm + 100000 ELSE (event_id * 13) % greatest(firm, 1) END AS origin FROM {cascade} WHERE NOT is_seed
+        UNION ALL SELECT run_id, firm, 2, (event_id * 29) % greatest(firm, 1) FROM {cascade} WHERE NOT is_seed AND event_id % 11 <> 0 AND event_id % 3 <> 0""",
 }
 
-_SPARK = {"pct": r"percentile(\1, \2)", "u01": r"((cast(conv(substr(md5(\1), 1, 13), 16, 10) AS DOUBLE) + 0.5D) / 4503599627370496D)", "half": r"bround(\1, \2)"}
-_DUCK = {"pct": r"quantile_cont(\1, \2)", "u01": r"((('0x' || substr(md5(\1), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)", "half": r"round_even(\1, \2)"}
+_SPARK = {"pct": "percentile({0}, {1})", "u01": "((cast(conv(substr(md5({0}), 1, 13), 16, 10) AS DOUBLE) + 0.5D) / 4503599627370496D)", "half": "bround({0}, {1})"}
+_DUCK = {"pct": "quantile_cont({0}, {1})", "u01": "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)", "half": "round_even({0}, {1})"}
 
 
 def _needs(template: str) -> list[str]:
@@ -55,11 +59,18 @@ def _needs(template: str) -> list[str]:
 
 
 def _macros(sql: str, dialect: dict[str, str]) -> str:
-    arg = r"((?:[^(),@]|\((?:[^()@]|\([^()@]*\))*\))+)"
-    for name, to in dialect.items():
-        pattern = rf"@{name}\({arg}\)" if name == "u01" else rf"@{name}\({arg}, {arg}\)"
-        while re.search(pattern, sql):
-            sql = re.sub(pattern, to, sql)
+    """Numbers with a point become doubles; macros are replaced from the inside out."""
+    sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+    while m := list(re.finditer(r"@(\w+)\(", sql)):
+        at, args, depth, start = m[-1].end(), [], 0, m[-1].end()
+        while depth >= 0:
+            c = sql[at]
+            depth += (c == "(") - (c == ")")
+            if depth < 0 or (c == "," and not depth):
+                args.append(sql[start:at].strip())
+                start = at + 1
+            at += 1
+        sql = sql[: m[-1].start()] + dialect[m[-1][1]].format(*args) + sql[at:]
     return sql
 
 
@@ -94,6 +105,9 @@ class Network:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
+            if name == "alike":
+                self._made[name] = all_pairs(self["embeddings"], 0.15)
+                return self._made[name]
             self._made[name] = self.sql(TABLES[name]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
