@@ -258,17 +258,17 @@ def _halved(big: DataFrame, keys: list[str]) -> DataFrame:
 def spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, s, e: repeated stretches (in bytes, overlapping) of the texts; rows of equal keys must be equal."""
     every = table(anchor_table(docs, keys, text), "anchors")
-    often = every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    often = table(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "often")  # a table: so the join can split a hot key
     shared = table(every.join(often, "a", "left_semi"), "shared")
     where = F.struct(*map(quoted, keys), "at", "lo", "hi")
     distinct = table(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(where).alias("w")), "contexts")
     copied = shared.join(distinct.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
     parts = [copied.select(*map(quoted, keys), (F.col("at") - F.col("hi")).alias("s"), (F.col("at") - F.col("lo") + LENGTH).alias("e"))]
-    mixed = distinct.groupBy("a").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("a")
+    mixed = table(distinct.groupBy("a").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("a"), "mixed")
     wanted = distinct.join(mixed, "a", "left_semi").select("a", "n", "w.*")
     todo = table(_contexts(docs, wanted, keys, text), "groups")
     while True:
-        sizes = todo.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+        sizes = table(todo.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"), "sizes")
         sized = todo.join(sizes.select("g", "m"), "g")
         small = sized.where(F.col("m") <= MOST).drop("m")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keys)).schema.fields)
