@@ -70,6 +70,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """2^24 bits (2 MB, whatever the input) of the hashes in a long column; more keys mean more false positives only."""
+    place = F.pmod(F.xxhash64(F.lit(97), column), F.lit(1 << FILTER_BITS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def probably_in(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose key may be in the filter: a scan that spares a join the rows that can't match."""
+    at, shared = free_name(df.columns, "__at"), df.sparkSession.sparkContext.broadcast(bits)
+    placed = df.withColumn(at, F.pmod(F.xxhash64(F.lit(97), column), F.lit(1 << FILTER_BITS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(at).to_numpy()
+            good = (shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(good.astype(bool)))
+
+    return placed.mapInArrow(run, placed.schema).drop(at)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part's texts have at most limit bytes (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
