@@ -14,6 +14,11 @@ def u01(keys: list[Column]) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(4503599627370496.0)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normal_cdf(x: Column) -> Column:
     """By the complementary error function's Chebyshev fit; absolute error below 1.2e-7."""
     z = F.abs(x) / math.sqrt(2)
@@ -40,10 +45,12 @@ def normal_quantile(p: Column) -> Column:
             out = out * x + k
         return out
 
-    q = p - 0.5
-    r = q * q
-    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
-    return F.when(p < 0.02425, horner(c, low) / horner(d, low)).when(p > 1 - 0.02425, -horner(c, high) / horner(d, high)).otherwise(horner(a, r) * q / horner(b, r))
+    def of(u: Column) -> Column:
+        tail = lambda x: horner(c, x) / horner(d, x)
+        centre = _let((u - 0.5) * (u - 0.5), lambda r: horner(a, r) / horner(b, r)) * (u - 0.5)
+        return F.when(u < 0.02425, _let(F.sqrt(-2 * F.log(u)), tail)).when(u > 1 - 0.02425, -_let(F.sqrt(-2 * F.log(1 - u)), tail)).otherwise(centre)
+
+    return _let(p, of)
 
 
 def truncated_normal(u: Column, mu: float, sigma: float, low: float, high: float) -> Column:

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir; a temporary one only in local mode."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    """df written once to the folder of spark.checkpoint.dir and read back: no lineage, known size, any executor.
+
+    A temporary folder serves only in local mode, where the session names none.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Callable[[DataFrame], object], limit: int = 200) -> DataFrame:
