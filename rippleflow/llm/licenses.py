@@ -108,7 +108,7 @@ def own_licenses(files: DataFrame, text: str = "text", threshold: float = 0.7) -
 
 
 def _folder(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), "")
 
 
 def inherit(files: DataFrame, path: str = "path") -> DataFrame:
