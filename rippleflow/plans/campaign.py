@@ -109,7 +109,45 @@ def imputation_holdout(n: Network) -> DataFrame:
     return hit.groupBy("gamma").agg(F.count("*").alias("drawn"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.expr("percentile(pool, 0.5)").alias("median_pool"))
 
 
+def gamma_by_folds(n: Network) -> DataFrame:
+    """Per fold of annotated edges the gamma whose drawn pools are nearest to the observed ones (KS distance) on the
+    other folds, and its distance on the fold."""
+    pools, observed = cut(_pools(n)), n["edge_products"].select("src", "dst", "product")
+    fold = lambda: F.floor(u01([F.lit("cv"), F.col("src"), F.col("dst")]) * 5)
+    size = observed.groupBy("src", "dst").agg(F.count("*").alias("k"))
+    gammas = n.spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "gamma double")
+    options = size.join(n["capabilities"].withColumnRenamed("firm_id", "src"), "src").join(pools, "product").crossJoin(F.broadcast(gammas))
+    u = u01([F.lit("holdout"), F.col("src"), F.col("dst"), F.col("product"), F.col("gamma")])
+    place = F.row_number().over(Window.partitionBy("gamma", "src", "dst").orderBy(-F.log(u) / F.pow(F.col("pool") + 1.0, F.col("gamma")), "product"))
+    drawn = options.withColumn("place", place).where("place <= k").select("gamma", fold().alias("fold"), "pool", F.lit(0).alias("real"))
+    real = observed.join(pools, "product").crossJoin(F.broadcast(gammas)).select("gamma", fold().alias("fold"), "pool", F.lit(1).alias("real"))
+    both = cut(drawn.union(real))
+    parts = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("side", F.when(F.col("fold") == F.col("part"), "test").otherwise("train"))
+    by = Window.partitionBy("gamma", "part", "side")
+    counts = parts.groupBy("gamma", "part", "side", "pool").agg(F.sum(1 - F.col("real")).alias("a"), F.sum("real").alias("b"))
+    run = by.orderBy("pool")
+    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(by) - F.sum("b").over(run) / F.sum("b").over(by))
+    ks = counts.withColumn("gap", gap).groupBy("gamma", "part", "side").agg(F.max("gap").alias("ks"))
+    best = ks.where("side = 'train'").groupBy("part").agg(F.min(F.struct("ks", "gamma"))["gamma"].alias("gamma"))
+    return best.join(ks.where("side = 'test'"), ["part", "gamma"], "left").select(F.col("part").alias("fold"), "gamma", F.round("ks", 6).alias("ks"))
+
+
+def link_models(n: Network) -> DataFrame:
+    """Fit of the models with no feature, one and both: area under the curve on the rows that they were fitted on."""
+    d = n["degrees"].select("firm_id", F.log1p("degree").alias("x"))
+    of = lambda c, name: d.select(F.col("firm_id").alias(c), F.col("x").alias(name))
+    rows = cut(n["relations"].join(of("src", "x1"), "src").join(of("dst", "x2"), "dst").select("x1", "x2", (F.col("weight") > 1).cast("double").alias("k"), F.lit(1.0).alias("n")))
+    out = []
+    for name, used in (("constant", []), ("supplier", ["x1"]), ("customer", ["x2"]), ("full", ["x1", "x2"])):
+        w = statistics.logistic(rows, used, "k", "n")
+        score = sum((F.col(c) * v for c, v in zip(used, w[1:], strict=True)), F.lit(w[0]))
+        out.append((name, round(statistics.auc(rows.withColumn("score", score), "score", "k", "n"), 6)))
+    return n.spark.createDataFrame(out, "model string, auc double")
+
+
 QUERIES: dict[str, Callable[[Network], DataFrame]] = {
+    "C13_gamma_by_folds": gamma_by_folds,
+    "C41_link_models": link_models,
     "Z21_edge_products": edge_config,
     "Z22_budgets": budgets,
     "Z23_node_scenario": node_config,
@@ -121,4 +159,10 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "N12_grouped_folds": grouped_folds,
     "C12_imputation_holdout": imputation_holdout,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "C12_imputation_holdout": """WITH pools AS (SELECT product, count(*) AS pool FROM {capabilities} GROUP BY product), size AS (SELECT src, dst, count(*) AS k FROM {edge_products} GROUP BY src, dst),
+        g AS (SELECT CAST(0 AS DOUBLE) AS gamma UNION ALL SELECT 0.5 UNION ALL SELECT CAST(1 AS DOUBLE) UNION ALL SELECT CAST(2 AS DOUBLE)),
+        o AS (SELECT g.gamma, s.src, s.dst, s.k, c.product, p.pool, row_number() OVER (PARTITION BY g.gamma, s.src, s.dst ORDER BY -ln(@u01(concat_ws('|', 'holdout', s.src, s.dst, c.product, g.gamma))) / power(p.pool + 1.0, g.gamma), c.product) AS place
+            FROM size s JOIN {capabilities} c ON s.src = c.firm_id JOIN pools p ON c.product = p.product CROSS JOIN g)
+        SELECT o.gamma, count(*) AS drawn, round(avg(CASE WHEN e.product IS NULL THEN 0 ELSE 1 END), 6) AS recall, @pct(o.pool, 0.5) AS median_pool FROM o LEFT JOIN {edge_products} e ON o.src = e.src AND o.dst = e.dst AND o.product = e.product WHERE o.place <= o.k GROUP BY o.gamma""",
+}

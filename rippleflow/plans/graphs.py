@@ -239,7 +239,7 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
 }
 
 # Recursive SQL: paths are bounded by DEEP steps, more than any here has.
-DEEP = 14
+DEEP = 24
 _E = "e AS (SELECT DISTINCT src, dst FROM {relations} WHERE src <> dst), nodes AS (SELECT src AS x FROM e UNION SELECT dst FROM e)"
 _WALK = "walk AS (SELECT src AS s, dst AS x, 1 AS d FROM e UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON w.x = e.src WHERE w.d < %d)" % DEEP
 _DIST = "dist AS (SELECT s, x, min(d) AS d FROM walk WHERE s <> x GROUP BY s, x)"
@@ -284,7 +284,13 @@ def _reach_sql() -> str:
     return f"WITH {_P}, {', '.join(steps)} SELECT x AS firm_id, round(q, 9) AS reach FROM q3"
 
 
+_PATHS = "paths AS (SELECT src AS s, dst AS x, [src, dst] AS path, 1 AS d FROM e UNION ALL SELECT p.s, e.dst, list_append(p.path, e.dst), p.d + 1 FROM paths p JOIN e ON p.x = e.src JOIN dist ON dist.s = p.s AND dist.x = e.dst AND dist.d = p.d + 1), count_of AS (SELECT s, x, count(*) AS n FROM paths GROUP BY s, x)"
+_UNDIRECTED = "e AS (SELECT src, dst FROM {relations} WHERE src <> dst UNION SELECT dst, src FROM {relations} WHERE src <> dst), nodes AS (SELECT DISTINCT src AS x FROM e)"
 ORACLES: dict[str, str] = {
+    "G11_diameter": f"WITH RECURSIVE {_UNDIRECTED}, {_WALK}, {_DIST}, lab AS (SELECT s, least(min(x), s) AS c FROM dist GROUP BY s), big AS (SELECT c FROM lab GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT CAST(max(d.d) AS BIGINT) AS diameter FROM dist d JOIN lab l ON d.s = l.s JOIN big ON l.c = big.c",
+    "G15_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, mid AS (SELECT p.path[i] AS v, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(2, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT v, sum(share) AS t FROM mid GROUP BY v), z AS (SELECT count(*) AS n FROM nodes) SELECT n.x AS firm_id, round(coalesce(t.t, 0) / ((z.n - 1.0) * (z.n - 2.0)), 9) AS betweenness FROM nodes n CROSS JOIN z LEFT JOIN t ON n.x = t.v",
+    "G16_edge_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, step AS (SELECT p.path[i] AS a, p.path[i + 1] AS b, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(1, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT a, b, sum(share) AS t FROM step GROUP BY a, b), z AS (SELECT count(*) AS n FROM nodes) SELECT e.src, e.dst, round(coalesce(t.t, 0) / (z.n * (z.n - 1.0)), 9) AS betweenness FROM e CROSS JOIN z LEFT JOIN t ON e.src = t.a AND e.dst = t.b",
+    "G21_small_world": f"WITH RECURSIVE {_UNDIRECTED}, {_WALK}, {_DIST}, z AS (SELECT (SELECT count(*) FROM e) AS m, (SELECT count(*) FROM nodes) AS n, (SELECT avg(d) FROM dist) AS l) SELECT round(l, 6) AS l, round(ln(n) / ln(m / (1.0 * n)), 6) AS l_random, round(l / (ln(n) / ln(m / (1.0 * n))), 6) AS ratio FROM z",
     "G4_weak_components": f"WITH RECURSIVE {_E}, {_BOTH} SELECT s AS firm_id, c AS component FROM comp",
     "G5_strong_components": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_MUTUAL} SELECT s AS firm_id, c AS component FROM scc",
     "G6_tiers": f"""WITH RECURSIVE {_E}, {_WALK}, {_DIST}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src)
