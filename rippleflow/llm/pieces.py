@@ -28,7 +28,7 @@ from .common import quoted, slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
-KEPT_CHUNKS, LONG_CHUNK = 300_000, 48
+KEPT_CHUNKS, LONG_CHUNK = 200_000, 48
 SPACE = "▁"
 # Fixed values of the model file's format: piece types.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -190,40 +190,44 @@ def load(path: str = DEFAULT_MODEL) -> bytes:
     return data
 
 
-def _mapped(df: DataFrame, target: str, kind: T.DataType, work) -> DataFrame:
-    """df with column target (replaced if there) from work, which yields parts of a batch with their new column."""
-    kept = [c for c in df.columns if c.lower() != target.lower()]
-    schema = T.StructType([*df.select(*map(quoted, kept)).schema.fields, T.StructField(target, kind)])
+def _mapped(df: DataFrame, new: dict[str, T.DataType], work) -> DataFrame:
+    """df with the columns new (replaced if there) from work, which yields parts of a batch with their new columns."""
+    low = {x.lower() for x in new}
+    kept = [c for c in df.columns if c.lower() not in low]
+    schema = T.StructType([*df.select(*map(quoted, kept)).schema.fields, *[T.StructField(n, kind) for n, kind in new.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, new in work(batch):
-                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in kept], new], names=[*kept, target])
+            for part, made in work(batch):
+                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in kept], *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text (null for null, empty for empty); an existing column ids is replaced."""
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text (null for null, empty for empty), and, if a name is given for it, the text
+    that they decode to. Existing columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         pieces = _pieces(shared.value)
         for part in slices(batch, text):
             found = [None if t is None else pieces.encode(t) for t in part.column(text).to_pylist()]
             lengths = np.cumsum([0, *[0 if x is None else len(x) for x in found]]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *[x for x in found if x is not None]])
-            arr = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in found]))
-            yield part, arr
+            made = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in found]))]
+            if decoded:
+                made.append(pa.array([None if x is None else pieces.decode(x.tolist()) for x in found], pa.string()))
+            yield part, made
 
-    return _mapped(docs, ids, T.ArrayType(T.IntegerType()), work)
+    return _mapped(docs, {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {}), work)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with the text of each row's ids (null for null); an existing column of that name is replaced."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
-    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         pieces = _pieces(shared.value)
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
@@ -231,13 +235,12 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "deco
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             good = lists.is_valid().to_pylist()
             texts = [pieces.decode(values[offsets[i] : offsets[i + 1]].tolist()) if good[i] else None for i in range(len(lists))]
-            yield part, pa.array(texts, pa.string())
+            yield part, [pa.array(texts, pa.string())]
 
-    return _mapped(encoded, text, T.StringType(), work)
+    return _mapped(encoded, {text: T.StringType()}, work)
 
 
 def digest(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
     """Per row: doc_id, n_chars, n_pieces, ids_hash (xxhash64 of the ids) and round_trip."""
-    model = load(path)
-    back = decode(encode(docs.select("doc_id", "text"), model), model)
+    back = encode(docs.select("doc_id", "text"), load(path), decoded="decoded")
     return back.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
