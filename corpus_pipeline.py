@@ -38,8 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces' ids, and the text that they decode to."""
-    model = pieces.load()
-    back = pieces.decode(pieces.encode(docs, model), model)
+    back = pieces.encode(docs, pieces.load(), decoded="decoded")
     return back.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").alias("n_pieces"), F.col("decoded").alias("text"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
