@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.adapter import Network, duck
-from . import analytics, campaign, graphs, inputs, loading, relational
+from . import analytics, campaign, graphs, inputs, loading, relational, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Plans written in SQL, by module.
-PLANS = [relational.SQL, analytics.SQL]
+PLANS = [relational.SQL, analytics.SQL, ticks.SQL]
 #: Plans written with the DataFrame API: (functions of a Network, their SQL).
 MODULES: list[tuple[dict[str, Callable[[Network], DataFrame]], dict[str, str]]] = [(graphs.QUERIES, graphs.ORACLES), (campaign.QUERIES, campaign.ORACLES), (inputs.QUERIES, inputs.ORACLES), (loading.QUERIES, loading.ORACLES)]
 

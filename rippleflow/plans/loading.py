@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.random import normal_quantile, truncated_normal, u01
 from ..operators.iterate import cut
 from ..sources.adapter import Network
-from . import network, scenario
+from . import network, scenario, ticks
 
 
 def table_set(n: Network) -> dict[str, DataFrame]:
@@ -86,7 +87,17 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "N14_truncated_normal": truncated,
     "N14_standard_normal": standard_normal,
 }
+def _bounds(mu: float, sigma: float, low: float, high: float) -> tuple[float, float]:
+    phi = lambda x: 0.5 * math.erfc(-(x - mu) / sigma / math.sqrt(2))
+    return phi(low), phi(high)
+
+
+_LOW, _HIGH = _bounds(1.5, 0.5, 1.0, 10_000.0)
+
+
 ORACLES: dict[str, str] = {
+    "N14_standard_normal": f"SELECT firm_id, round({ticks.quantile('u')}, 6) AS z FROM (SELECT firm_id, @u01(concat_ws('|', 'z', firm_id)) AS u FROM {{firms}}) x",
+    "N14_truncated_normal": f"SELECT firm_id, round(least(10000.0, greatest(1.0, 1.5 + 0.5 * ({ticks.quantile('u')}))), 6) AS x FROM (SELECT firm_id, {_LOW!r} + @u01(concat_ws('|', 'tn', firm_id)) * {_HIGH - _LOW!r} AS u FROM {{firms}}) x",
     "Z36_loaded_edges": f"WITH {_KEPT}, w AS (SELECT src, dst, count(*) AS w FROM {{details}} GROUP BY src, dst) SELECT k.src, CAST(k.dst AS BIGINT) AS dst, CASE WHEN k.annotated THEN w.w ELSE 1 END AS weight, NOT k.annotated AS stochastic FROM kept k JOIN w ON k.src = w.src AND k.dst = w.dst",
     "Z36_loaded_firms": f"""WITH RECURSIVE {_KEPT}, nodes AS (SELECT src AS x FROM kept UNION SELECT dst FROM kept), sinks AS (SELECT x FROM nodes ANTI JOIN kept ON x = src),
         up AS (SELECT x, 0 AS d FROM sinks UNION SELECT k.src, u.d + 1 FROM up u JOIN kept k ON u.x = k.dst WHERE u.d < 14), t AS (SELECT x, min(d) AS d FROM up GROUP BY x)
