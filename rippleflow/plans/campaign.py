@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,7 @@ from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
 from ..sources.adapter import Network
-from . import scenario, simulate
+from . import graphs, scenario, simulate, ticks
 
 SEED = "340282366920938463463374607431768211455"  # seeds are wider than 64 bits, so they stay strings
 
@@ -159,7 +160,18 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "N12_grouped_folds": grouped_folds,
     "C12_imputation_holdout": imputation_holdout,
 }
+def _truncated(purpose: str, mu: float, sigma: float, low: float, high: float, key: str = "firm_id") -> str:
+    """SQL of a truncated normal of the scenario's seed."""
+    phi = lambda x: 0.5 * math.erfc(-(x - mu) / sigma / math.sqrt(2))
+    u = f"({phi(low)!r} + @u01(concat_ws('|', '{SEED}', '{purpose}', {key})) * {phi(high) - phi(low)!r})"
+    return f"least({high!r}, greatest({low!r}, {mu!r} + {sigma!r} * ({ticks.quantile(u)})))"
+
+
+_STOCK = lambda side, key: f"CASE WHEN {side}_tier = -1 THEN 0.0 WHEN {side}_tier <= 1 THEN {_truncated(side, 12 / 7, 5 / 7, 0.0, 1e6, key)} ELSE {_truncated(side, 35 / 7, 5 / 7, 0.0, 1e6, key)} END"
 ORACLES: dict[str, str] = {
+    "Z22_budgets": f"WITH RECURSIVE {graphs._E}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src), up AS (SELECT x, 0 AS d FROM sinks UNION SELECT e.src, u.d + 1 FROM up u JOIN e ON u.x = e.dst WHERE u.d < 24), t AS (SELECT x, min(d) AS tier FROM up GROUP BY x) SELECT src, dst, CAST(floor({_STOCK('out', 'src')} + {_STOCK('in', 'dst')}) AS BIGINT) AS max_trials FROM (SELECT r.src, r.dst, a.tier AS out_tier, b.tier AS in_tier FROM (SELECT DISTINCT src, dst FROM {{relations}}) r LEFT JOIN t a ON r.src = a.x LEFT JOIN t b ON r.dst = b.x) z",
+    "Z23_node_scenario": f"SELECT firm_id, CAST(greatest(degree, 1) AS BIGINT) AS size, round({_truncated('k', 1.5, 0.5, 1.0, 10000.0)}, 6) AS k, CASE WHEN out_degree = 0 THEN 1 ELSE CAST(@half(CAST(out_weight AS DOUBLE) * (1 - {_truncated('use', 0.75, 0.1, 0.0, 1.0)}), 0) AS BIGINT) END AS cap FROM {{degrees}}",
+    "Z23_three_groups": f"SELECT firm_id, CAST(third AS BIGINT) AS third, CAST(@half(CASE third WHEN 1 THEN {_truncated('third', 2.0, 0.5, 0.0, 1e6)} WHEN 2 THEN {_truncated('third', 4.0, 1.0, 0.0, 1e6)} ELSE {_truncated('third', 6.0, 2.0, 0.0, 1e6)} END, 0) AS BIGINT) AS cap FROM (SELECT firm_id, ntile(3) OVER (ORDER BY degree, firm_id) AS third FROM {{degrees}} WHERE degree > 0) x",
     "C12_imputation_holdout": """WITH pools AS (SELECT product, count(*) AS pool FROM {capabilities} GROUP BY product), size AS (SELECT src, dst, count(*) AS k FROM {edge_products} GROUP BY src, dst),
         g AS (SELECT CAST(0 AS DOUBLE) AS gamma UNION ALL SELECT 0.5 UNION ALL SELECT CAST(1 AS DOUBLE) UNION ALL SELECT CAST(2 AS DOUBLE)),
         o AS (SELECT g.gamma, s.src, s.dst, s.k, c.product, p.pool, row_number() OVER (PARTITION BY g.gamma, s.src, s.dst ORDER BY -ln(@u01(concat_ws('|', 'holdout', s.src, s.dst, c.product, g.gamma))) / power(p.pool + 1.0, g.gamma), c.product) AS place

@@ -103,5 +103,8 @@ ORACLES: dict[str, str] = {
     "S5_stream_sizes": "SELECT r.num_seeds, count(*) AS runs, round(avg(z.n - r.num_seeds), 6) AS mean, round(CAST(max(z.n - r.num_seeds) AS DOUBLE), 6) AS most FROM (SELECT run_id, max(removed) AS n FROM {capacity} GROUP BY run_id) z JOIN {runs} r ON z.run_id = r.run_id WHERE r.run_id % 37 <> 0 GROUP BY r.num_seeds",
     "S7_regions": _SQUARE,
     "C48_prefectures": f"SELECT name, count(*) AS firms FROM ({_SQUARE}) s GROUP BY name",
+    "K5_gexf": """SELECT '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="nation_id" type="integer"/></attributes><nodes>' AS line
+        UNION ALL SELECT '<node id="' || firm_id || '"><attvalues><attvalue for="0" value="' || coalesce(CAST(nation_id AS VARCHAR), '') || '"/></attvalues></node>' FROM {firms} UNION ALL SELECT '</nodes><edges>'
+        UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"/>' FROM {relations} UNION ALL SELECT '</edges></graph></gexf>'""",
     "K1_error_rows": "SELECT run_id AS task_id, 'failed' AS error FROM {runs} WHERE run_id % 37 = 0",
 }

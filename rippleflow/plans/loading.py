@@ -96,6 +96,7 @@ _LOW, _HIGH = _bounds(1.5, 0.5, 1.0, 10_000.0)
 
 
 ORACLES: dict[str, str] = {
+    "N13_kde_resample": f"WITH v AS (SELECT CAST(weight AS DOUBLE) AS v, row_number() OVER (ORDER BY weight) - 1 AS i FROM {{relations}}), s AS (SELECT count(*) AS n, stddev_samp(v) AS sd FROM v), t AS (SELECT unnest(range(2000)) AS id), d AS (SELECT id, CAST(floor(@u01(concat_ws('|', 'kde', 'draw', id)) * s.n) AS BIGINT) AS i, @u01(concat_ws('|', 'kde', 'draw-step', id)) AS u, s.n, s.sd FROM t CROSS JOIN s) SELECT round(avg(v.v + ({ticks.quantile('d.u')}) * d.sd * power(d.n, -0.2)), 1) AS mean, count(*) AS n FROM d JOIN v ON d.i = v.i",
     "N14_standard_normal": f"SELECT firm_id, round({ticks.quantile('u')}, 6) AS z FROM (SELECT firm_id, @u01(concat_ws('|', 'z', firm_id)) AS u FROM {{firms}}) x",
     "N14_truncated_normal": f"SELECT firm_id, round(least(10000.0, greatest(1.0, 1.5 + 0.5 * ({ticks.quantile('u')}))), 6) AS x FROM (SELECT firm_id, {_LOW!r} + @u01(concat_ws('|', 'tn', firm_id)) * {_HIGH - _LOW!r} AS u FROM {{firms}}) x",
     "Z36_loaded_edges": f"WITH {_KEPT}, w AS (SELECT src, dst, count(*) AS w FROM {{details}} GROUP BY src, dst) SELECT k.src, CAST(k.dst AS BIGINT) AS dst, CASE WHEN k.annotated THEN w.w ELSE 1 END AS weight, NOT k.annotated AS stochastic FROM kept k JOIN w ON k.src = w.src AND k.dst = w.dst",
