@@ -60,7 +60,7 @@ def _needs(template: str) -> list[str]:
 
 def _macros(sql: str, dialect: dict[str, str]) -> str:
     """Numbers with a point become doubles; macros are replaced from the inside out."""
-    sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+    sql = re.sub(r"(?<![\w.'\"])(\d+\.\d+)(?![\w.'\"])", r"\1e0", sql)
     while m := list(re.finditer(r"@(\w+)\(", sql)):
         at, args, depth, start = m[-1].end(), [], 0, m[-1].end()
         while depth >= 0:
