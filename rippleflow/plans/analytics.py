@@ -6,6 +6,8 @@ from __future__ import annotations
 _POOL = """offers AS (SELECT DISTINCT c.firm_id, c.product % s.vectors AS a FROM {capabilities} c CROSS JOIN {sizes} s),
         lost AS (SELECT DISTINCT e.product, e.product % s.vectors AS a FROM {edge_products} e CROSS JOIN {sizes} s),
         pool AS (SELECT DISTINCT l.product, o.firm_id FROM lost l JOIN {alike} p ON l.a = p.a AND p.score > 0.3 JOIN offers o ON p.b = o.a)"""
+# Average ranks: running sums over distinct values, which are few, instead of a sort of all rows.
+_RANKS = "WITH ri AS (SELECT v, sum(n) OVER (ORDER BY v) - (n - 1) / 2.0 AS r FROM (SELECT in_degree AS v, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY in_degree) a), ro AS (SELECT v, sum(n) OVER (ORDER BY v) - (n - 1) / 2.0 AS r FROM (SELECT out_degree AS v, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY out_degree) b)"
 _COMPARE = "x AS (SELECT task_id, arm, scenario, num_seeds, sample_id, weeks - num_seeds AS cascade FROM {runs})"
 
 SQL: dict[str, str] = {
@@ -61,11 +63,11 @@ SQL: dict[str, str] = {
     "C39_link_features": f"""WITH {_POOL}, size AS (SELECT product, count(*) AS n FROM pool GROUP BY product), inbound AS (SELECT dst, sum(weight) AS w FROM {{relations}} GROUP BY dst), few AS (SELECT e.src, e.dst, min(s.n) AS pool, sum(e.amount) AS amount FROM {{edge_products}} e JOIN size s ON e.product = s.product GROUP BY e.src, e.dst)
         SELECT f.src, f.dst, round(ln(f.pool), 6) AS log_pool, round(f.amount / (1.0 * i.w), 6) AS dependence, round(ln(d.degree), 6) AS log_degree FROM few f JOIN inbound i ON f.dst = i.dst JOIN {{degrees}} d ON f.dst = d.firm_id""",
     "C40_exposure_counts": """SELECT s.run_id % 10 AS run_set, r.src, count(*) AS exposed, CAST(sum(CASE WHEN r.dst % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS propagated FROM (SELECT DISTINCT run_id, 5 * (event_id % 20) AS firm_id FROM {cascade} WHERE is_seed) s JOIN {relations} r ON s.firm_id = r.src GROUP BY s.run_id % 10, r.src""",
-    "C43_criticality": "SELECT round(corr(d.out_degree, d.in_degree), 6) AS pearson, round(corr(ln(1 + d.out_degree), ln(1 + d.in_degree)), 6) AS log_pearson, round(corr(d.ro, d.ri), 6) AS spearman FROM (SELECT out_degree, in_degree, rank() OVER (ORDER BY out_degree) + (count(*) OVER (PARTITION BY out_degree) - 1) / 2.0 AS ro, rank() OVER (ORDER BY in_degree) + (count(*) OVER (PARTITION BY in_degree) - 1) / 2.0 AS ri FROM {degrees} WHERE degree > 0) d",
+    "C43_criticality": f"{_RANKS} SELECT round(corr(d.out_degree, d.in_degree), 6) AS pearson, round(corr(ln(1 + d.out_degree), ln(1 + d.in_degree)), 6) AS log_pearson, round(corr(y.r, x.r), 6) AS spearman FROM {{degrees}} d JOIN ri x ON d.in_degree = x.v JOIN ro y ON d.out_degree = y.v WHERE d.degree > 0",
     # Statistics.
     "N1_pearson": "SELECT round(corr(in_degree, out_degree), 9) AS r, count(*) AS n FROM {degrees} WHERE degree > 0",
     "N2_correlation_matrix": "SELECT 'in_out' AS pair, round(corr(in_degree, out_degree), 6) AS r FROM {degrees} UNION ALL SELECT 'in_weight', round(corr(in_degree, in_weight), 6) FROM {degrees} UNION ALL SELECT 'out_weight', round(corr(out_degree, out_weight), 6) FROM {degrees}",
-    "N3_spearman": "SELECT round(corr(x, y), 9) AS rho FROM (SELECT rank() OVER (ORDER BY in_degree) + (count(*) OVER (PARTITION BY in_degree) - 1) / 2.0 AS x, rank() OVER (ORDER BY out_degree) + (count(*) OVER (PARTITION BY out_degree) - 1) / 2.0 AS y FROM {degrees} WHERE degree > 0) z",
+    "N3_spearman": f"{_RANKS} SELECT round(corr(x.r, y.r), 9) AS rho FROM {{degrees}} d JOIN ri x ON d.in_degree = x.v JOIN ro y ON d.out_degree = y.v WHERE d.degree > 0",
     "N4_log_pearson": "SELECT round(corr(ln(1 + value), ln(1 + week)), 9) AS r FROM {run_series}",
     "N5_partial_correlation": "SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 9) AS r FROM (SELECT corr(in_degree, out_degree) AS xy, corr(in_degree, degree * degree) AS xz, corr(out_degree, degree * degree) AS yz FROM {degrees} WHERE degree > 0) c",
     "N6_ks": "WITH v AS (SELECT s.value, r.arm FROM {run_series} s JOIN {runs} r ON s.run_id = r.run_id), t AS (SELECT sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS n1 FROM v), g AS (SELECT value, sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS k0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS k1 FROM v GROUP BY value) SELECT round(max(abs(c0 / (1.0 * n0) - c1 / (1.0 * n1))), 9) AS d FROM (SELECT sum(k0) OVER (ORDER BY value) AS c0, sum(k1) OVER (ORDER BY value) AS c1 FROM g) c CROSS JOIN t",

@@ -153,16 +153,20 @@ def attribution(n: Network) -> DataFrame:
     pushed = cut(valid.join(share, ["run_id", "firm"]).select("run_id", "firm", "origin", (1.0 / F.col("k")).alias("p")))
     seeds = cut(firms.where("is_seed").select("run_id", "firm"))
     count = seeds.groupBy("run_id").agg(F.count("*").alias("s"))
-    mass, held = cut(firms.where("not is_seed").select("run_id", "firm", F.lit(1.0).alias("mass"))), None
-    while not mass.isEmpty():
-        moved = mass.join(pushed, ["run_id", "firm"]).groupBy("run_id", F.col("origin").alias("firm")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
-        stuck = mass.join(pushed.select("run_id", "firm").distinct(), ["run_id", "firm"], "left_anti").groupBy("run_id").agg(F.sum("mass").alias("m"))
-        even = stuck.join(count, "run_id").join(seeds, "run_id").select("run_id", "firm", (F.col("m") / F.col("s")).alias("mass"))
-        moved = cut(moved)
-        arrived = moved.join(seeds, ["run_id", "firm"], "left_semi").unionByName(even)
-        held = cut(arrived if held is None else held.unionByName(arrived))
-        mass = cut(moved.join(seeds, ["run_id", "firm"], "left_anti"))
-    return held.groupBy("run_id", "firm").agg(F.round(F.sum("mass"), 6).alias("mass"))
+    movable = pushed.select("run_id", "firm").distinct()
+    mass, held = firms.where("not is_seed").select("run_id", "firm", F.lit(1.0).alias("mass")), []
+    while True:
+        stuck = mass.join(movable, ["run_id", "firm"], "left_anti").groupBy("run_id").agg(F.sum("mass").alias("m"))
+        held.append(stuck.join(count, "run_id").join(seeds, "run_id").select("run_id", "firm", (F.col("m") / F.col("s")).alias("mass")))
+        moved = cut(mass.join(pushed, ["run_id", "firm"]).groupBy("run_id", F.col("origin").alias("firm")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass")))
+        if moved.isEmpty():
+            break
+        held.append(moved.join(seeds, ["run_id", "firm"], "left_semi"))
+        mass = moved.join(seeds, ["run_id", "firm"], "left_anti")
+    out = held[0]
+    for f in held[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("run_id", "firm").agg(F.round(F.sum("mass"), 6).alias("mass"))
 
 
 def _probabilities(n: Network) -> DataFrame:

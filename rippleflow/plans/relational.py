@@ -68,14 +68,14 @@ SQL: dict[str, str] = {
     "A19_degree_correlation": "SELECT round(corr(s.out_degree, t.out_degree), 6) AS out_out, round(corr(s.out_degree, t.in_degree), 6) AS out_in, round(corr(s.in_degree, t.out_degree), 6) AS in_out, round(corr(s.in_degree, t.in_degree), 6) AS in_in FROM {relations} r JOIN {degrees} s ON r.src = s.firm_id JOIN {degrees} t ON r.dst = t.firm_id",
     # Windows.
     "W1_ccdf": "SELECT degree, CAST(sum(n) OVER (ORDER BY degree DESC) AS BIGINT) AS at_least, round(sum(n) OVER (ORDER BY degree DESC) / (1.0 * sum(n) OVER ()), 9) AS ccdf FROM (SELECT degree, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY degree) x",
-    "W2_ecdf": "SELECT DISTINCT degree, round(cume_dist() OVER (ORDER BY degree), 9) AS ecdf FROM {degrees} WHERE degree > 0",
+    "W2_ecdf": "SELECT degree, round(sum(n) OVER (ORDER BY degree) / (1.0 * sum(n) OVER ()), 9) AS ecdf FROM (SELECT degree, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY degree) x",
     "W3_diff_prepend": "SELECT run_id, week, round(c - coalesce(lag(c) OVER (PARTITION BY run_id ORDER BY week), 0), 6) AS d FROM {capacity}",
     "W4_diff": "SELECT run_id, week, round(c - lag(c) OVER (PARTITION BY run_id ORDER BY week), 6) AS d FROM {capacity}",
     "W5_first_index": "SELECT run_id, coalesce(min(CASE WHEN removed >= 3 THEN week END), 0) AS t FROM {capacity} GROUP BY run_id",
     "W6_arg_min_first": "SELECT run_id, week AS t_min FROM (SELECT run_id, week, row_number() OVER (PARTITION BY run_id ORDER BY c, week) AS k FROM {capacity}) x WHERE k = 1",
     "W7_window_sums": "SELECT s.run_id, w.a, round(sum(s.value), 4) AS total FROM {run_series} s JOIN (SELECT 2 AS a, 6 AS b UNION ALL SELECT 6, 10 UNION ALL SELECT 10, 16 UNION ALL SELECT 16, 25 UNION ALL SELECT 25, 53) w ON s.week >= w.a AND s.week < w.b GROUP BY s.run_id, w.a",
     "W8_progress": "SELECT run_id, week, round(CASE WHEN x = y THEN 0 ELSE least(greatest((x - c) / (x - y), 0), 1) END, 6) AS progress FROM (SELECT run_id, week, c, first_value(c) OVER (PARTITION BY run_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x, last_value(c) OVER (PARTITION BY run_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y FROM {capacity}) z",
-    "W9_average_ranks": "SELECT firm_id, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS r FROM {degrees} WHERE degree > 0",
+    "W9_average_ranks": "SELECT d.firm_id, g.r FROM {degrees} d JOIN (SELECT degree, sum(n) OVER (ORDER BY degree) - (n - 1) / 2.0 AS r FROM (SELECT degree, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY degree) x) g ON d.degree = g.degree",
     "W10_quartile_bins": "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN value >= q3 THEN 3 WHEN value >= q2 THEN 2 WHEN value >= q1 THEN 1 ELSE 0 END AS bin FROM {run_series} CROSS JOIN (SELECT @pct(value, 0.25) AS q1, @pct(value, 0.5) AS q2, @pct(value, 0.75) AS q3 FROM {run_series}) t) x GROUP BY bin",
     "W11_three_groups": "SELECT firm_id, ntile(3) OVER (ORDER BY degree, firm_id) AS third FROM {degrees} WHERE degree > 0",
     "W12_folds": "SELECT firm_id, (row_number() OVER (ORDER BY @u01(concat_ws('|', 'fold', CAST(firm_id AS VARCHAR(20)))), firm_id) - 1) % 5 AS fold FROM {degrees} WHERE degree > 0",
