@@ -118,7 +118,11 @@ def train(labelled: DataFrame, max_docs: int = 20_000, tasks: int = 16) -> Model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (existing columns of those names are replaced)."""
+    """docs with lang_pred and score (existing columns of those names are replaced), one row a row of docs.
+
+    A text that is null or has no letter is `und` with score 0, as is every text under a model without languages.
+    Equal rows give equal rows.
+    """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.select(*map(quoted, kept)).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

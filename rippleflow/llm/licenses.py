@@ -133,7 +133,10 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """files without the text, with own, cosine, license and inherited_from; one row a row of files."""
+    """files without the text, with own, cosine, license and inherited_from; one row a row of files.
+
+    A null or empty text has no licence of its own; equal rows give equal rows; columns of the new names are replaced.
+    """
     return inherit(table(own_licenses(files, text, threshold), "licenses"), path)
 
 
