@@ -245,19 +245,18 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """node, core: peeling by rounds; a node whose degree is at most k goes in round k."""
-    live, k, done = cut(undirected(edges)), 0, None
-    left = cut(nodes_of(live))
-    while not left.isEmpty():
-        degree = left.join(live.groupBy("src").agg(F.count("*").alias("deg")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("deg", F.lit(0)).alias("deg"))
-        gone = cut(degree.where(F.col("deg") <= k).select("node"))
-        if gone.isEmpty():
-            k = max(k + 1, int(degree.agg(F.min("deg")).first()[0]))
-            continue
-        numbered = gone.withColumn("core", F.lit(k))
-        done = numbered if done is None else cut(done.union(numbered))
-        left = cut(left.join(gone, "node", "left_anti"))
-        live = cut(live.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
-    return done if done is not None else left.withColumn("core", F.lit(0))
+    live, k = cut(undirected(edges)), 0
+    left, frames = nodes_of(live), []
+    while True:
+        degree = cut(left.join(live.groupBy("src").agg(F.count("*").alias("deg")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("deg", F.lit(0)).alias("deg")))
+        low = degree.agg(F.min("deg")).first()[0]
+        if low is None:
+            break
+        k = max(k, int(low))
+        frames.append(degree.where(F.col("deg") <= k).select("node", F.lit(k).alias("core")))
+        left = degree.where(F.col("deg") > k).select("node")
+        live = cut(live.join(left, F.col("src") == F.col("node"), "left_semi").join(left, F.col("dst") == F.col("node"), "left_semi"))
+    return _union(frames) if frames else left.withColumn("core", F.lit(0))
 
 
 def configuration_model(edges: DataFrame, uniform, copies: int) -> DataFrame:
