@@ -9,8 +9,11 @@
    A task compares all texts of a group exactly (weighted Jaccard similarity against one text at a time, over the
    concatenated shingles) and yields a forest of its links. A group of more than CHUNK texts or CHUNK_BYTES is
    dealt to several tasks, which share HUBS members; its members also meet in groups for each second band that
-   they share, so links between parts are found there. No partner or candidate is dropped.
+   they share. That finds most links between parts, not all.
 4. Links become classes by star contraction.
+5. Blocks of a dealt group then meet two by two, but blocks of one and the same class; only texts of different classes
+   are compared. So all pairs of each group are compared or known to be of one class: no candidate is dropped. A group
+   whose texts don't link costs the square of its size.
 
 Rows travel as digests of some 100 bytes; the texts of candidates are written once, behind one join, and once a group.
 """
@@ -225,23 +228,28 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / rest) if rest else 0.0
 
 
-def forest(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links (i, j) that span the classes of the texts: all pairs are compared but those known to be of one class."""
+def forest(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray, threshold: float, known: np.ndarray | None = None, first: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) that span the classes of the texts: all pairs are compared but those known to be of one class.
+
+    known: a class of each text to begin with. Where 0 < first < n, the first texts are only compared with the others.
+    """
     owner, code, weight, _, _ = shingles(raw, offsets, idf)
     n = len(offsets) - 1
     cut = np.searchsorted(owner, np.arange(n + 1))
     _, local = np.unique(code, return_inverse=True)
     total = np.bincount(owner, weight, n)
-    mine, root, out = np.zeros(local.max(initial=-1) + 1), np.arange(n), []
-    for i in range(n - 1):
-        a, b = cut[i], cut[i + 1]
-        if a == b or not (root[i + 1 :] != root[i]).any():
+    mine, root, out = np.zeros(local.max(initial=-1) + 1), np.arange(n) if known is None else known.copy(), []
+    split = 0 < first < n
+    for i in range(first if split else n - 1):
+        to = first if split else i + 1
+        a, b, c = cut[i], cut[i + 1], cut[to]
+        if a == b or not (root[to:] != root[i]).any():
             continue
         mine[local[a:b]] = weight[a:b]
-        both = np.bincount(owner[b:], np.minimum(weight[b:], mine[local[b:]]), n)[i + 1 :]
+        both = np.bincount(owner[c:], np.minimum(weight[c:], mine[local[c:]]), n)[to:]
         mine[local[a:b]] = 0
-        rest = total[i] + total[i + 1 :] - both
-        for j in (np.flatnonzero(both >= (threshold - 1e-12) * rest) + i + 1).tolist():
+        rest = total[i] + total[to:] - both
+        for j in (np.flatnonzero(both >= (threshold - 1e-12) * rest) + to).tolist():
             if total[j] and root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((i, j))
@@ -262,11 +270,30 @@ def _dealt(members: DataFrame) -> DataFrame:
     hub = F.pmod(F.xxhash64(F.lit(3), "node", "key"), F.col("n")) < HUBS
     part = F.pmod(F.xxhash64(F.lit(4), "node", "key"), F.col("parts"))
     where = F.when((F.col("parts") > 1) & hub, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))
-    return members.select("node", "key", F.explode(where).alias("part")).select(F.xxhash64("key", "part").alias("g"), "node")
+    return members.select("node", "key", F.explode(where).alias("part")).select(F.xxhash64("key", "part").alias("g"), "node", F.col("node").alias("class"), F.lit(0).alias("side"))
+
+
+def _paired(members: DataFrame, label: DataFrame) -> DataFrame:
+    """members (key, node, size) of split groups as (g, node, class, side): every two blocks of a group, and every block
+    with itself, unless all their texts are of one class. A block is half a task; large classes have blocks of their own."""
+    load = lambda n, size: F.greatest(F.col(n) / (CHUNK / 2), F.col(size) / (CHUNK_BYTES / 2))
+    own = table(members.select("key", "node", "size").join(label.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("class")), "own")
+    sums = own.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    pools = table(sums.withColumn("pool", F.when(load("n", "bytes") >= 0.5, F.col("class"))), "pools")
+    parts = table(pools.groupBy("key", "pool").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", "pool", F.ceil(load("n", "bytes")).cast("long").alias("parts")), "parts")
+    blocks = table(parts.select("key", "pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("key", "pool", F.xxhash64("key", "pool", "part").alias("block")), "blocks")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    one = F.coalesce(F.col("a.pool") == F.col("b.pool"), F.lit(False))
+    both = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & ~one)
+    pairs = table(both.select(F.col("a.block").alias("x"), F.col("b.block").alias("y"), F.xxhash64("a.block", "b.block").alias("g")), "pairs")
+    sides = pairs.select(F.col("x").alias("block"), "g", F.lit(0).alias("side")).union(pairs.where("x <> y").select("y", "g", F.lit(1)))
+    pooled = own.join(pools.select("key", "class", "pool").hint("merge"), ["key", "class"]).alias("o").join(parts.hint("merge").alias("p"), (F.col("o.key") == F.col("p.key")) & F.col("o.pool").eqNullSafe(F.col("p.pool")))
+    placed = table(pooled.select(F.xxhash64("o.key", "o.pool", F.pmod(F.xxhash64(F.lit(5), "node", "o.key"), F.col("parts"))).alias("block"), "node", "class"), "placed")
+    return placed.join(sides.hint("merge"), "block").select("g", "node", "class", "side")
 
 
 def _links(dealt: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """u, v: links between texts of one group."""
+    """u, v: links between texts of one group (g, node, class, side) and of different classes; see forest() for sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -274,7 +301,9 @@ def _links(dealt: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             names = t.column("node").to_pylist()
-            found = forest(*joined(t.column("text").combine_chunks()), idf.value, threshold)
+            known = np.unique(np.array([c.hex() for c in t.column("class").to_pylist()]), return_inverse=True)[1]
+            first = int((t.column("side").to_numpy() == 0).sum())
+            found = forest(*joined(t.column("text").combine_chunks()), idf.value, threshold, known, first)
             ends = [sorted((names[i], names[j])) for i, j in found if names[i] != names[j]]
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
@@ -291,7 +320,7 @@ def _links(dealt: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
             yield close()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.hint("merge").join(texts, "node").select("g", "node", "text").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "u binary, v binary")
+    return dealt.hint("merge").join(texts, "node").select("g", "node", "class", "side", "text").repartition(n, "g").sortWithinPartitions("g", "side").mapInArrow(run, "u binary, v binary")
 
 
 def classes(docs: DataFrame, keys: list[str], text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -322,6 +351,11 @@ def classes(docs: DataFrame, keys: list[str], text: str = "text", threshold: flo
     near = probably_in(tagged, keys[-1], key_filter(of.select(F.col("k")[keys[-1]].alias("r")), "r"))
     texts = table(near.join(of.hint("merge"), same).select("node", F.col(t).alias("text")).dropDuplicates(["node"]), "texts")
     label = components(_links(dealt, texts, idf, threshold))
+    if not (wide := members.where("parts > 1")).isEmpty():
+        paired = table(_paired(wide, label), "paired")
+        if not paired.isEmpty():
+            found = _links(paired, texts, idf, threshold)
+            label = components(label.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
     rows_ = sketched.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col("node").alias("own")).join(label.hint("merge"), F.col("own") == F.col("node"), "left")
     return rows_.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("own").alias("node"), F.coalesce("root", "own").alias("class"))
 

@@ -78,6 +78,29 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert sorted(i for i in got if got[i].kept) == sorted(least.values())
 
 
+def test_star_classes_in_split_groups_equal_brute_force(spark, monkeypatch):
+    """Variants are near to their base only; second groups are split too."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    rng, texts = random.Random(8), [prose(40 + i, 60) for i in range(10)]
+    for k in range(2):
+        base = prose(3000 + k, 120).split()
+        texts.append(" ".join(base))
+        for i in range(60):
+            w, at = list(base), rng.randrange(5, 50)
+            for x in (at, at + 60):
+                w[x] = f"q{k}x{i}x{x}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows, least = [(i, t, None, None, None) for i, t in enumerate(texts)], {}
+    want = brute(spark, rows)
+    for i, r in enumerate(want):
+        least.setdefault(r, i)
+    assert sorted(Counter(want).values())[-2:] == [61, 61]
+    got = {r.doc_id: r.class_id for r in minhash.digest(documents(spark, rows)).collect()}
+    assert got == {i: least[r] for i, r in enumerate(want)}
+
+
 def test_words_equal_a_regular_expression():
     rng = random.Random(1)
     texts = ["".join(rng.choices("ab \t\néA\x0b\x00.", k=rng.randint(0, 30))).encode() for _ in range(200)]
