@@ -1,6 +1,8 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a one-pass Viterbi.
+"""SentencePiece encoding and decoding, by the method that the model file names.
 
-At each character the automaton's state gives the longest piece that ends there, and output links lead to the
+A BPE model's scores are ranks of merges, so a chunk's characters are merged in their order (MergePieces): a Viterbi over
+such scores gives other ids than the model's. For a unigram model an Aho-Corasick automaton over the pieces drives a
+one-pass Viterbi (Pieces): at each character the automaton's state gives the longest piece that ends there, and output links lead to the
 shorter ones; each relaxes the best score of its end from the best score of its start. No piece reaches over
 the start of a run of blanks, so the lattice falls into independent chunks (a run of blanks and the word after
 it), whose segmentations a worker keeps in a bounded table. Characters without a piece fall back to bytes.
@@ -17,6 +19,8 @@ import struct
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,9 @@ MOST_MODEL_BYTES = 64 << 20
 KEPT_CHUNKS, LONG_CHUNK = 200_000, 48
 SPACE = "▁"
 # Fixed values of the model file's format: piece types.
-NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
+NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
+# Model types.
+UNIGRAM, BPE = 1, 2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -94,23 +100,23 @@ class Pieces:
     def __init__(self, data: bytes):
         self.text: list[str] = []
         self.score: list[float] = []
-        kinds: list[int] = []
+        self.kinds: list[int] = []
         self.dummy_prefix = True
         for field, value in _fields(data):
             if field == 1:
                 one = dict(_fields(value))
                 self.text.append(one[1].decode())
                 self.score.append(struct.unpack("<f", one[2])[0] if 2 in one else 0.0)
-                kinds.append(one.get(3, NORMAL))
+                self.kinds.append(one.get(3, NORMAL))
             elif field == 3:
                 norm = dict(_fields(value))
                 if norm.get(1, b"identity") != b"identity" or norm.get(2) or norm.get(4):
                     raise ValueError("only the identity normaliser is supported")
                 self.dummy_prefix = bool(norm.get(3, 1))
+        kinds = self.kinds
         self.unknown = kinds.index(UNKNOWN)
         self.byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k == BYTE}
-        plain = [(t.replace(SPACE, " "), i) for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k in (NORMAL, USER_DEFINED)]
-        self.automaton = Automaton(plain)
+        plain = self.plain = [(t.replace(SPACE, " "), i) for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k in (NORMAL, USER_DEFINED)]
         self.fallback = min(self.score) - 10
         self.out_bytes = [bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(SPACE, " ").encode() if k in (NORMAL, USER_DEFINED) else b"" for t, k in zip(self.text, kinds, strict=True)]
         # A chunk may end before a blank, and around a line end, if no piece reaches over that place.
@@ -120,6 +126,17 @@ class Pieces:
         self.chunks = re.compile(r"\n+| *[^ \n]+| +" if alone else r" *[^ ]+| +")
         self.kept: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        return Automaton(self.plain)
+
+    def _units(self, chunk: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.byte.get(b, self.unknown) for b in chunk.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
+
+    def segment(self, chunk: str) -> list[int]:
+        return self.viterbi(chunk)
+
     def viterbi(self, chunk: str) -> list[int]:
         """Ids of the best segmentation; among equal scores the longer last piece wins."""
         auto, score = self.automaton, self.score
@@ -142,14 +159,14 @@ class Pieces:
         found, end = [], len(chunk)
         while end:
             start, i = back[end]
-            found.append([i] if i >= 0 else [self.byte.get(b, self.unknown) for b in chunk[start].encode("utf-8", "surrogatepass")] if self.byte else [self.unknown])
+            found.append([i] if i >= 0 else self._units(chunk[start]))
             end = start
         return [i for ids in reversed(found) for i in ids]
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self.kept.get(chunk)
         if ids is None:
-            ids = array("i", self.viterbi(chunk)).tobytes()
+            ids = array("i", self.segment(chunk)).tobytes()
             if len(chunk) <= LONG_CHUNK:
                 if len(self.kept) >= KEPT_CHUNKS:
                     self.kept.clear()
@@ -169,15 +186,57 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+class MergePieces(Pieces):
+    """A BPE model: of all neighbours whose union is a piece, those of the best score, then the leftmost, merge first."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
+        if {USER_DEFINED, UNUSED} & set(self.kinds):
+            raise ValueError("user-defined and unused pieces of BPE models are not supported")
+        self.ids = dict(self.plain)
+
+    def segment(self, chunk: str) -> list[int]:
+        ids, score, n = self.ids, self.score, len(chunk)
+        stop, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a symbol is named by its start; stop 0: merged away
+        heap = [(-score[i], k, k + 2) for k in range(n - 1) if (i := ids.get(chunk[k : k + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, a, c = heappop(heap)
+            b = stop[a]
+            if not b or b >= n or stop[b] != c:
+                continue
+            stop[a], stop[b] = c, 0
+            if c < n:
+                before[c] = a
+                if (i := ids.get(chunk[a : stop[c]])) is not None:
+                    heappush(heap, (-score[i], a, stop[c]))
+            if (left := before[a]) >= 0 and (i := ids.get(chunk[left:c])) is not None:
+                heappush(heap, (-score[i], left, c))
+        out, a = [], 0
+        while a < n:
+            i = ids.get(chunk[a : stop[a]])
+            out += self._units(chunk[a]) if i is None else [i]
+            a = stop[a]
+        return out
+
+
+def made(data: bytes) -> Pieces:
+    """The model with the method of its type."""
+    kind = next((dict(_fields(v)).get(3, UNIGRAM) for field, v in _fields(data) if field == 2), UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and BPE models are supported")
+    return MergePieces(data) if kind == BPE else Pieces(data)
+
+
 _loaded: dict[str, Pieces] = {}
 
 
 def _pieces(data: bytes) -> Pieces:
-    """One automaton a worker and model."""
+    """One model a worker."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Pieces(data)
+        _loaded[key] = made(data)
     return _loaded[key]
 
 

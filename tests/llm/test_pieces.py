@@ -33,6 +33,18 @@ def test_viterbi_equals_brute_force(model):
         assert model.encode(t).tolist() == brute(model, t)
 
 
+def test_ids_are_those_of_sentencepiece(spark):
+    spm = pytest.importorskip("sentencepiece")
+    own, rng = spm.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), random.Random(4)
+    texts = [prose(3, 400), "the over international understanding", "Ça va? \n\n naïve  café", "   a b  ", "x\r\n;\r y\t", "数学 и буквы 😀", "a" * 3000, "abab" * 300]
+    texts += ["".join(rng.choices("abcdeinrst ABC.\n\té", k=300)) for _ in range(50)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.ids for r in pieces.encode(documents(spark, rows), pieces.load()).collect()}
+    assert all(got[i] == own.encode(t) for i, t in enumerate(texts))
+    model = pieces.made(pieces.load())
+    assert all(model.decode(got[i]) == t for i, t in enumerate(texts))
+
+
 def test_every_match_is_found_by_output_links(model):
     auto, text = model.automaton, " international understanding"
     state, found = 0, set()
