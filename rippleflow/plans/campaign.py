@@ -45,11 +45,10 @@ def third_groups(n: Network) -> DataFrame:
 
 
 def _world(n: Network) -> simulate.World:
-    products = cut(n["products"].crossJoin(F.broadcast(n["sizes"])).select("product", (F.col("product") % F.col("vectors")).alias("a")).where("product <= 400"))
-    pairs = n["alike"].where("score > 0.3").select("a", "b", "score")
-    alike = products.join(pairs, "a").join(products.select(F.col("product").alias("alt"), F.col("a").alias("b")), "b").select("product", "alt", "score")
+    vectors = cut(n["products"].crossJoin(F.broadcast(n["sizes"])).select("product", (F.col("product") % F.col("vectors")).alias("vector")).distinct())
+    alike = n["alike"].where("score > 0.3").select(F.col("a").alias("product"), F.col("b").alias("alt"), "score")
     edges = cut(edge_config(n))
-    return simulate.load_world(cut(node_config(n)), edges, cut(budgets(n)), cut(n["capabilities"].where("product <= 400")), cut(alike))
+    return simulate.load_world(cut(node_config(n)), edges, cut(budgets(n)), cut(n["capabilities"]), cut(alike), vectors)
 
 
 def configs(n: Network, rules: tuple[str, ...] = ("overlap", "specific", "hybrid"), runs: int = 4, until: int = 24) -> DataFrame:

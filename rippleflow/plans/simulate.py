@@ -34,12 +34,18 @@ class World:
     portfolio: dict[int, frozenset] = field(default_factory=dict)
     offers: dict[int, list[int]] = field(default_factory=dict)
     alike: dict[int, list[tuple[int, float]]] = field(default_factory=dict)
+    #: Where products share vectors: a product's vector and a vector's products; alike is then by vector.
+    vector: dict[int, int] = field(default_factory=dict)
+    products: dict[int, list[int]] = field(default_factory=dict)
     edges: dict[tuple[int, int], dict[int, int]] = field(default_factory=dict)
     trials: dict[tuple[int, int], int] = field(default_factory=dict)
 
 
-def load_world(firms: DataFrame, edges: DataFrame, budgets: DataFrame, capabilities: DataFrame, alike: DataFrame) -> World:
-    """firms (firm_id, size, k, cap), edges (src, dst, product, amount), budgets (src, dst, max_trials), capabilities, alike (product, alt, score)."""
+def load_world(firms: DataFrame, edges: DataFrame, budgets: DataFrame, capabilities: DataFrame, alike: DataFrame, vectors: DataFrame | None = None) -> World:
+    """firms (firm_id, size, k, cap), edges (src, dst, product, amount), budgets (src, dst, max_trials), capabilities, alike (product, alt, score).
+
+    With vectors (product, vector), product and alt of alike are vectors.
+    """
     if edges.count() > MOST_EDGES or capabilities.count() > MOST_CAPABILITIES:
         raise ValueError("the network is too large to share with every task")
     w = World()
@@ -58,12 +64,22 @@ def load_world(firms: DataFrame, edges: DataFrame, budgets: DataFrame, capabilit
     pairs = defaultdict(list)
     for r in alike.orderBy("product", "alt").toLocalIterator():
         pairs[r["product"]].append((r["alt"], r["score"]))
+    for r in vectors.orderBy("product").toLocalIterator() if vectors is not None else ():
+        w.vector[r["product"]] = r["vector"]
+        w.products.setdefault(r["vector"], []).append(r["product"])
     w.portfolio = {f: frozenset(p) for f, p in own.items()}
     w.offers = {p: sorted(f) for p, f in sold.items()}
     w.alike = dict(pairs)
     return w
 
 
+def alternatives(w: World, product: int | None) -> list[tuple[int, float]]:
+    """The products alike to one, with scores, in their order."""
+    if not w.vector:
+        return w.alike.get(product, [])
+    return sorted((p, score) for v, score in w.alike.get(w.vector.get(product), ()) for p in w.products.get(v, ()))
+
+
 @dataclass(eq=False)
 class Search:
     customer: int
@@ -123,7 +139,7 @@ class Run:
         """Possible suppliers with weights and the product that they would send, by rule."""
         own, found = self.w.portfolio.get(lost, frozenset()), {}
         if self.rule == "specific":
-            for alt, score in self.w.alike.get(product, ()):
+            for alt, score in alternatives(self.w, product):
                 for f in self.w.offers.get(alt, ()):
                     if f not in found or score > found[f][0]:
                         found[f] = (score, alt)

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from rippleflow.functions import random as rnd
 from rippleflow.functions import statistics
 from rippleflow.operators import similarity
-from rippleflow.plans import scenario, simulate
+from rippleflow.plans import campaign, scenario, simulate
 from rippleflow.sources import adapter, sinks, tables
 from rippleflow.streaming import runs as stream
 
@@ -167,3 +168,16 @@ def test_gexf_is_well_formed(spark):
     lines = sinks.gexf_lines(firms, spark.createDataFrame([(1, 2)], "src long, dst long")).orderBy("part", "id").collect()
     root = tree.fromstring("".join(r.line for r in lines))
     assert len(root.findall(".//{*}node")) == 2 and len(root.findall(".//{*}edge")) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_runs_know_all_products(spark):
+    n = adapter.Network(spark, "/root/testdata/sf0.01")
+    w, size = campaign._world(n), n["sizes"].first()[0]
+    can = [(r.firm_id, r.product) for r in n["capabilities"].collect()]
+    assert max(p for _, p in can) > 400 and all(p in w.portfolio[f] and f in w.offers[p] for f, p in can)
+    pairs = [(r.a, r.b, r.score) for r in n["alike"].where("score > 0.3").collect()]
+    products = [r.product for r in n["products"].select("product").distinct().collect()]
+    for product in (7, 777, max(products)):
+        want = sorted((p, s) for a, b, s in pairs if a == product % size for p in products if p % size == b)
+        assert want and simulate.alternatives(w, product) == want
