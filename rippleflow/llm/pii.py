@@ -3,9 +3,13 @@
 Spans of each kind come from regular expressions inside the row: split() and regexp_extract_all() by the same
 pattern alternate, so places are cumulated lengths. The base kinds (email, ip, card, phone) are always kept.
 Further candidates (loosely written phone numbers, identity numbers, access keys) are kept if the model says so:
-labelers (shape, checksum, gazetteer, context, borders) vote 1, 0 or -1 on every span, expectation-maximisation
-estimates how often each labeler says what of true and of false spans, and a logistic classifier is trained on the
-posteriors. All that the driver gathers are counts of vote patterns (at most 3^5 a kind and length class).
+labelers (shape, checksum or variety of characters, gazetteer, context, borders) vote 1, 0 or -1 on every span,
+expectation-maximisation estimates how often each labeler says what of true and of false spans, and a logistic
+classifier is trained on the posteriors; it also sees what no labeler votes on (length, share of digits, the characters
+that lead to the span). All that the driver gathers are counts of vote patterns (at most 3^5 a kind and look).
+
+Odd rows: a null text is empty and has no spans; very long texts are scanned whole; equal rows give equal rows; an empty
+table gives an empty result (the model is then its prior); columns of other names, also of those used inside, stay.
 
 No text is shuffled. Patterns use possessive loops and start only at run borders, so a scan is linear.
 """
@@ -29,18 +33,18 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TEL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 IDENTITY = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-SECRET = r"(?<![A-Za-z0-9_])(?:[A-Z0-9]{16,64}|(?:ghp|gho|sk_live|sk_test|xoxb)[_-][A-Za-z0-9_-]{16,64}+)(?![A-Za-z0-9_])"
+SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,128}+(?![A-Za-z0-9_-])"
 # Gazetteers.
 DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "co", "us"]
 COUNTRY = "^\\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
-KEY_PREFIX = "^(?:AKIA|ASIA|AIZA|GHP|ghp|gho|sk_|xox)"
-CONTEXT = "(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|master|credit|ip|addr|host|key|token|secret|ssn|social|reach)[^A-Za-z]{0,12}$"
+KEY_PREFIX = "^(?:AKIA|ASIA|AIza|AIZA|GHP|gh[oprsu]_|github_pat_|glpat-|npm_|pk_|rk_|sk[_-]|xox[abpr]-|eyJ)"
+CONTEXT = "(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|master|credit|ip|addr|host|key|token|secret|passw(?:or)?d|pwd|auth|bearer|credentials?|ssn|social|reach)[^A-Za-z]{0,12}$"
 AGAINST = "(?i)(?:version|ver|isbn|issn|order|sku|part|model|serial|page|no\\.|#)[^A-Za-z]{0,6}$"
 BASE, ADDED = ["email", "ip", "card", "phone"], ["tel", "id", "secret"]
 KINDS = BASE + ADDED
 LABELERS = ["shape", "checksum", "gazetteer", "context", "border"]
-NEAR = 32
+NEAR, LOOKS = 32, 60
 
 
 def _found(text: Column, pattern: str, when: Column) -> Column:
@@ -73,6 +77,20 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (v.when(F.coalesce(no, F.lit(False)), -1) if no is not None else v).otherwise(0).cast("byte")
 
 
+def variety(m: Column) -> Column:
+    """Distinct characters."""
+    return F.size(F.array_distinct(F.split(F.lower(m), "")))
+
+
+def _look(m: Column, before: Column) -> Column:
+    """What no labeler votes on, as a number below LOOKS: length, share of digits, and how the text leads to the span."""
+    length = F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).otherwise(2)
+    share = F.length(F.regexp_replace(m, "[^0-9]", "")) / F.length(m)
+    digits = F.when(share < 0.2, 0).when(share < 0.5, 1).when(share < 0.8, 2).otherwise(3)
+    lead = F.when(before.rlike("[=:]\\s*[\"']?$"), 1).when(before.rlike("[a-z]\\s$"), 2).when(before.rlike("[A-Z0-9]\\s$"), 3).when(before.rlike("[.!?]\\s$"), 4).otherwise(0)
+    return (length + 3 * digits + 12 * lead).cast("byte")
+
+
 def _labelled(kind: str, found: Column) -> Column:
     """The spans of one kind that hold, with votes."""
 
@@ -85,12 +103,12 @@ def _labelled(kind: str, found: Column) -> Column:
             "phone": (F.lit(True), None, F.length(d).between(10, 15), F.length(d) < 9, m.rlike(COUNTRY), m.rlike("^\\+0")),
             "tel": (m.rlike("^\\([0-9]{3}\\)|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), None, ~d.rlike("^[01]"), d.rlike("^[01]"), d.rlike("^[2-9][0-9]{2}555|^800"), None),
             "id": (F.lit(True), None, ~d.rlike("^(?:000|666|9)|^...00|0000$"), d.rlike("^(?:000|666|9)|^...00|0000$"), None, None),
-            "secret": (m.rlike("[0-9]") & m.rlike("[A-Za-z]"), m.rlike("^(?:[0-9]+|[A-Z]+)$"), F.length(m) >= 20, None, m.rlike(KEY_PREFIX), m.rlike("^(?:[0-9]+|[A-Z]+)$")),
+            # A key changes between letters and digits often and uses many characters; names with a number or date don't.
+            "secret": (m.rlike("(?:[0-9]+[A-Za-z]+){3}"), m.rlike("^[A-Za-z_-]+[0-9_-]+$|^[0-9_-]+[A-Za-z_-]+$|^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_]+(?:[A-Za-z]+|[0-9]{1,4}))+$"), (variety(m) >= 10) & ~m.rlike("[A-Za-z]{6}"), (variety(m) < 8) | m.rlike("[a-z]{7}"), m.rlike(KEY_PREFIX), None),
         }[kind]
         pairs = [own[0:2], own[2:4], own[4:6], (x["b"].rlike(CONTEXT), x["b"].rlike(AGAINST)), (x["b"].rlike("(?:^|\\s|[(<\\[\"':;,])$"), x["b"].rlike("[=/&?#_]$"))]
         votes = [_vote(F.lit(False) if y is None else y, n) for y, n in pairs]
-        size = F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).otherwise(2).cast("byte")
-        return F.struct(F.lit(KINDS.index(kind)).cast("byte").alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.array(*votes).alias("v"), size.alias("z"))
+        return F.struct(F.lit(KINDS.index(kind)).cast("byte").alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.array(*votes).alias("v"), _look(m, x["b"]).alias("z"))
 
     holds = {
         "ip": lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
@@ -104,7 +122,7 @@ def candidates(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     """docs with a column out: array<struct<k, s, e, v, z>>, base kinds first; added ones don't touch base spans."""
     t = free_name(docs.columns, "__t")
     df = docs.withColumn(t, F.coalesce(quoted(text), F.lit("")))
-    when = {"email": F.col(t).contains("@"), "ip": F.col(t).rlike("[0-9]\\.[0-9]"), "card": F.col(t).rlike("[0-9](?:[ -]?[0-9]){12}"), "phone": F.col(t).contains("+"), "tel": F.col(t).rlike("[0-9]{3}[ .-][0-9]{4}"), "id": F.col(t).rlike("[0-9]-[0-9]{2}-[0-9]"), "secret": F.col(t).rlike("[A-Z0-9]{16}|(?:ghp|gho|sk|xoxb)[_-]")}
+    when = {"email": F.col(t).contains("@"), "ip": F.col(t).rlike("[0-9]\\.[0-9]"), "card": F.col(t).rlike("[0-9](?:[ -]?[0-9]){12}"), "phone": F.col(t).contains("+"), "tel": F.col(t).rlike("[0-9]{3}[ .-][0-9]{4}"), "id": F.col(t).rlike("[0-9]-[0-9]{2}-[0-9]"), "secret": F.col(t).rlike("[A-Za-z0-9_-]{16}")}
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "tel": TEL, "id": IDENTITY, "secret": SECRET}
     base, more = free_name(docs.columns, "__base"), free_name(docs.columns, "__more")
     df = df.withColumn(base, F.concat(*[_labelled(k, _found(F.col(t), pattern[k], when[k])) for k in BASE]))
@@ -120,7 +138,7 @@ class Model:
     bias: float = 0.0
     kind: list[float] = field(default_factory=lambda: [0.0] * len(KINDS))
     vote: list[list[float]] = field(default_factory=lambda: [[-1.0, 0.0, 1.0] for _ in LABELERS])
-    size: list[float] = field(default_factory=lambda: [0.0] * 3)
+    size: list[float] = field(default_factory=lambda: [0.0] * LOOKS)
     reliability: list = field(default_factory=list)
 
     def score(self, x: Column) -> Column:
@@ -135,8 +153,18 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
+def _evidence(labeler: list[list[float]], v: int, least: float = 0.1) -> float:
+    """What a vote adds to the log odds. Abstaining says nothing, and a vote never counts against what it says: else
+    the classes could swap where a kind's spans are all true."""
+    if not v:
+        return 0.0
+    rate = [labeler[v + 1][y] / (labeler[0][y] + labeler[2][y]) for y in (0, 1)]
+    odds = math.log(rate[1] / rate[0])
+    return max(odds, least) if v > 0 else min(odds, -least)
+
+
 def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 60) -> tuple[list[float], list]:
-    """patterns: (kind, votes, size, count). Posteriors of the patterns, and the labelers' reliabilities."""
+    """patterns: (kind, votes, look, count). Posteriors of the patterns, and the labelers' reliabilities."""
     post = [_sigmoid(sum(v) - 0.5) for _, v, _, _ in patterns]
     reliability: list = []
     for _ in range(rounds):
@@ -154,7 +182,7 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int, int
                     row[y] /= total
         new = []
         for k, votes, _, _ in patterns:
-            odds = math.log(prior[k][1] / prior[k][0]) + sum(math.log(reliability[i][v + 1][1] / reliability[i][v + 1][0]) for i, v in enumerate(votes))
+            odds = math.log(prior[k][1] / prior[k][0]) + sum(_evidence(reliability[i], v) for i, v in enumerate(votes))
             new.append(_sigmoid(odds))
         post = new
     return post, reliability
@@ -167,7 +195,7 @@ def fit(patterns: list[tuple[int, tuple[int, ...], int, int]], steps: int = 400,
     post, reliability = expectation_maximisation(patterns)
     m, total = Model(reliability=reliability), sum(n for *_, n in patterns)
     for _ in range(steps):
-        g_bias, g_kind, g_size, g_vote = 0.0, [0.0] * len(KINDS), [0.0] * 3, [[0.0] * 3 for _ in LABELERS]
+        g_bias, g_kind, g_size, g_vote = 0.0, [0.0] * len(KINDS), [0.0] * LOOKS, [[0.0] * 3 for _ in LABELERS]
         for (k, votes, z, n), p in zip(patterns, post, strict=True):
             x = m.bias + m.kind[k] + m.size[z] + sum(m.vote[i][v + 1] for i, v in enumerate(votes))
             d = n / total * (p - _sigmoid(x))

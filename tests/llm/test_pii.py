@@ -47,6 +47,34 @@ def test_base_spans_stay_and_added_ones_are_apart(spark):
     assert "secret:" in r.spans and "ABCDEFGHIJKLMNOPQR" not in [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(","))]
 
 
+def test_planted_secrets_are_found_and_names_left_alone(spark):
+    import random
+
+    rng = random.Random(5)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {
+        "hex": lambda: ('token = "', make(hexa, 40), '" and so on'),
+        "upper": lambda: ("key ", "AKIA" + make(upper, 16), " here"),
+        "prefix": lambda: ("use ", "ghp_" + make(mixed, 36), "."),
+        "password": lambda: ("password: ", make(mixed, 24), ""),
+    }
+    rows, want = [], {}
+    for n in range(400):
+        lead, value, tail = kinds[list(kinds)[n % 4]]()
+        if any(c.isdigit() for c in value):
+            text = f"On day {n} someone wrote {lead}{value}{tail}"
+            want[n] = (list(kinds)[n % 4], f"secret:{text.index(value)}:{text.index(value) + len(value)}")
+            rows.append((n, text, None, None, None))
+    names = ["the covid-19-vaccination-programme began", "see annual_report_2019_final for more", "chapter-2-of-the-second-book", "in Internationalization2 we say", "page-numbers-10-to-20 and 2021-03-04-meeting-notes"]
+    rows += [(1000 + i, t, None, None, None) for i, t in enumerate(names * 20)]
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(documents(spark, rows)).collect()}
+    for kind in kinds:
+        mine = [n for n, (k, _) in want.items() if k == kind]
+        assert sum(want[n][1] in got[n] for n in mine) >= 0.95 * len(mine), kind
+    assert not any("secret" in x for n, spans in got.items() if n >= 1000 for x in spans)
+
+
 def test_expectation_maximisation_finds_the_reliable_labelers():
     import random
 
