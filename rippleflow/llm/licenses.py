@@ -3,11 +3,14 @@
 1. Document frequencies of the templates' words are counted over all texts (a fixed vocabulary, so the result is
    a few hundred rows); words outside it are as rare as can be.
 2. Texts that hold any licence word are cut into lines, paragraphs and the whole; each part's sparse TF-IDF
-   vector is compared to every template, and the best cosine of at least the threshold is the text's own licence.
+   vector is compared to every template, and the best cosine of at least the threshold is the text's own licence;
+   among licences of nearly the same words (versions of a licence, BSD with two or three clauses) the words that tell
+   them apart decide. An SPDX identifier is taken at its word.
 3. A directory's licence is that of the licence files in it. A file without an own licence takes that of its
    nearest ancestor directory that has one: distinct directories are exploded to their ancestors and joined.
 
-Texts aren't shuffled; the joins carry paths.
+Texts aren't shuffled; the joins carry paths. A null or empty text has no licence of its own; long texts are read
+whole; equal rows give equal rows; ties go to the licence that sorts first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,24 +27,66 @@ from pyspark.sql import types as T
 
 from .common import free_name, quoted, slices, table
 
-# Statements and opening passages of common licences.
+# Statements, standard headers and clauses of common licences. A licence has several texts.
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_MPL1 = 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License.'
+_MPL2 = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """The GNU licences' headers: with the version or a later one, with this version only, and short statements."""
+    start = f"you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation"
+    end = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this program."
+    later, only = f"either version {version} of the License, or (at your option) any later version.", f"version {version}."
+    out = [f"This work is licensed under the GNU {name}, version {version}.", f"This work is licensed under the GNU {name}, version {version} or later.", f"GNU {name.upper()} Version {version}"]
+    for tail in (later, only):
+        for lead in ("This program is free software: ", "This program is free software; "):
+            out += [f"{lead}{start}, {tail}", f"{lead}{start}, {tail} {end}"] if lead.endswith(": ") else [f"{lead}{start}; {tail}"]
+    return out
+
+
 TEMPLATES = {
-    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE.partition(" Unless")[0], _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_START, f"{_BSD_START} {_BSD_END}"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", f"{_BSD_START} {_BSD_NAMES}", f"{_BSD_START} {_BSD_NAMES} {_BSD_END}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal public domain dedication."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "ISC": ["Released under the ISC License.", _ISC_GRANT],
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "MIT": ["Released under the MIT License.", _MIT_GRANT],
+    "MPL-1.1": ["This work is licensed under the Mozilla Public License, version 1.1.", _MPL1],
+    "MPL-2.0": ["This work is licensed under the Mozilla Public License, version 2.0.", _MPL2],
+    "Unlicense": ["Released under the Unlicense.", _UNLICENSE],
+}
+# Words that tell a licence from those whose texts are nearly the same. A text that names one is that one's.
+MARKS = {
+    "AGPL-3.0": r"affero",
+    "BSD-2-Clause": r"\bbsd[ -]?2|2[ -]clause|simplified bsd",
+    "BSD-3-Clause": r"\bbsd[ -]?3|3[ -]clause|(?:new|revised|modified) bsd|neither the names?\b",
+    "CC-BY-NC-4.0": r"non-?commercial|\bby-nc\b",
+    "CC-BY-SA-4.0": r"share-?alike|\bby-sa\b",
+    "GPL-2.0": r"\bgpl(?:[ -]?v?| version )2|(?<!lesser )(?<!affero )general public license(?: as published by the free software foundation)?[,;(]* ?(?:either )?(?:version|v\.?) ?2(?![.]1)",
+    "GPL-3.0": r"(?<![al])gpl(?:[ -]?v?| version )3|(?<!lesser )(?<!affero )general public license(?: as published by the free software foundation)?[,;(]* ?(?:either )?(?:version|v\.?) ?3",
+    "LGPL-2.1": r"\blgpl[ -]?v?2\.1|(?:lesser|library) general public license(?: as published by the free software foundation)?[,;(]* ?(?:either )?(?:version|v\.?) ?2\.1",
+    "LGPL-3.0": r"\blgpl[ -]?v?3|lesser general public license(?: as published by the free software foundation)?[,;(]* ?(?:either )?(?:version|v\.?) ?3",
+    "MPL-1.1": r"(?:mozilla public license,? |mpl[ -]?)(?:version |v\.? ?)?1\.1",
+    "MPL-2.0": r"(?:mozilla public license,? |mpl[ -]?)(?:version |v\.? ?)?2\.0",
 }
+#: Licences of which a text is at most one; within a family the marks decide, where there are any.
+FAMILIES = [["AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"], ["BSD-2-Clause", "BSD-3-Clause"], ["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"], ["MPL-1.1", "MPL-2.0"]]
+SPDX = r"spdx-license-identifier:\s*\(*([a-z0-9.+-]+)"
 LICENSE_WORDS = r"(?i)licen[sc]|copyright|permission|redistribut|spdx|public domain|creative commons|waived"
 LICENSE_FILE = r"(?i)^(?:licen[sc]e|unlicense|copying)(?:[.-].*)?$"
 _WORD = re.compile(r"[a-z0-9]+")
@@ -55,30 +100,66 @@ def vocabulary() -> list[str]:
     return sorted({w for ts in TEMPLATES.values() for t in ts for w in _words(t)})
 
 
+def _family(name: str) -> list[str]:
+    return next((f for f in FAMILIES if name in f), [name])
+
+
 class Scorer:
-    """Cosines to the templates under the idf of a corpus."""
+    """Cosines to the templates under the idf of a corpus.
+
+    Licences of one family have nearly the same texts: there the cosine finds the family, and the words that tell its
+    licences apart (MARKS) the licence. A text that names a version or licence which no template has is of none.
+    """
 
     def __init__(self, frequencies: dict[str, int], texts: int):
         self.top = math.log(2 + texts)
         self.idf = {w: math.log((2 + texts) / (1 + frequencies.get(w, 0))) + 1e-3 for w in vocabulary()}
         self.templates = [(name, self.vector(t)) for name, ts in sorted(TEMPLATES.items()) for t in ts]
+        self.marks = {name: re.compile(p) for name, p in MARKS.items()}
+        self.names = {name.lower(): name for name in TEMPLATES}
 
     def vector(self, text: str) -> tuple[dict[str, float], float]:
         weights = {w: n * self.idf.get(w, self.top) for w, n in Counter(_words(text)).items()}
         return weights, math.sqrt(sum(x * x for x in weights.values()))
 
+    def cosines(self, text: str) -> dict[str, float]:
+        """Per licence the greatest cosine to one of its texts."""
+        mine, size = self.vector(text)
+        out: dict[str, float] = {}
+        for name, (other, length) in self.templates:
+            dot = sum(x * mine[w] for w, x in other.items() if w in mine)
+            out[name] = max(out.get(name, 0.0), min(1.0, dot / (size * length)) if dot else 0.0)
+        return out
+
+    def part(self, text: str) -> tuple[float, str]:
+        """Cosine and licence of one part."""
+        low = " ".join(text.lower().split())
+        spdx = re.search(SPDX, low)
+        if spdx:  # an identifier says it exactly; one that no template has is another licence's
+            name = self.names.get(re.sub(r"(?:-only|-or-later|\+)$", "", spdx[1].rstrip(".")))
+            return (1.0, name) if name else (0.0, "")
+        cosine = self.cosines(text)
+        name = min(cosine, key=lambda n: (-cosine[n], n))
+        family = _family(name)
+        marked = [n for n in family if n in self.marks and self.marks[n].search(low)]
+        if marked:
+            return min((-cosine[n], n) for n in marked)[0] * -1, min((-cosine[n], n) for n in marked)[1]
+        plain = [n for n in family if n not in self.marks or n == "BSD-2-Clause"]  # that of a family which nothing marks
+        if len(family) > 1:
+            return (cosine[plain[0]], plain[0]) if plain else (0.0, "")
+        return cosine[name], name
+
     def best(self, text: str) -> tuple[float, str]:
         """The greatest cosine of any part to any template (ties: the licence that sorts first)."""
         parts, top = dict.fromkeys([*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text]), (0.0, "")
         has = re.compile(LICENSE_WORDS)
-        for part in parts:
-            if has.search(part):
-                mine, size = self.vector(part)
-                for name, (other, length) in self.templates:
-                    dot = sum(x * mine[w] for w, x in other.items() if w in mine)
-                    if dot and dot / (size * length) > top[0] + 1e-12:
-                        top = dot / (size * length), name
-        return top
+        found = [self.part(x) for x in parts if has.search(x)]
+        for cosine, name in found:
+            if name and (cosine > top[0] + 1e-12 or abs(cosine - top[0]) <= 1e-12 and name < top[1]):
+                top = cosine, name
+        # A clause that is in every licence of a family doesn't overrule the whole text, which holds what tells them apart.
+        same = [(c, n) for c, n in found if n and _family(n) == _family(top[1]) and c >= 0.7 and n in self.marks and n != "BSD-2-Clause"]
+        return max(same, key=lambda x: (x[0], [-ord(k) for k in x[1]]), default=top) if top[1] == "BSD-2-Clause" else top
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
@@ -141,7 +222,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """doc_id, path and text: documents laid out as files of a tree by source and doc_id, some named LICENSE."""
+    """doc_id, path and text: documents laid out as files of a tree by source and doc_id, some named LICENSE.
+
+    Documents have no paths; this tree stands in for one, so what they inherit in it exercises the joins and says
+    nothing about their licences.
+    """
     source, i = F.coalesce("source", F.lit("none")), F.col("doc_id")
     d, e, slot = F.concat(F.lit("/d"), F.floor(i / 4096)), F.concat(F.lit("/e"), F.pmod(F.floor(i / 256), F.lit(16))), F.pmod(i, F.lit(64))
     path = F.when(slot == 0, F.concat(source, d, e, F.lit("/LICENSE"))).when(slot == 1, F.concat(source, d, F.lit("/LICENSE.txt"))).when(slot == 2, F.concat(source, F.lit("/COPYING"))).otherwise(F.concat(source, d, e, F.lit("/f"), i.cast("string"), F.lit(".txt")))

@@ -23,6 +23,35 @@ def test_cosine_equals_a_plain_one():
     assert got[1] == "MIT" and got[0] == pytest.approx(best)
 
 
+WORDED = {
+    "BSD-2-Clause": "Copyright (c) 2019, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n* Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n* Neither the name of the Institute nor the names of its contributors may be\n  used to endorse or promote products derived from this software without\n  specific prior written permission.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0": "This file is part of Thing.\n\nThing is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    "MPL-1.1": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WORDED))
+def test_licences_of_like_words_are_told_apart(name):
+    for scorer in (licenses.Scorer({}, 1000), licenses.Scorer({w: 300 for w in "the of to and in this".split()}, 1000)):
+        score, got = scorer.best(f"some words\n\n{WORDED[name]}\n\nother words")
+        assert got == name and score >= 0.7
+
+
+def test_unlisted_licences_and_identifiers():
+    scorer = licenses.Scorer({}, 1000)
+    assert scorer.best("SPDX-License-Identifier: GPL-2.0-or-later\nint main;") == (1.0, "GPL-2.0")
+    assert scorer.best("// SPDX-License-Identifier: EUPL-1.2")[1] == ""
+    for text in ("This software is licensed under the Example Source Licence, edition 7, by Example Works.", "Permission to enter the park is granted to visitors with a ticket.", "licensed under the GNU General Public License, version 1."):
+        assert scorer.best(text)[0] < 0.7
+
+
 def test_every_template_is_its_own_best():
     scorer = licenses.Scorer({}, 1000)
     for name, ts in licenses.TEMPLATES.items():
