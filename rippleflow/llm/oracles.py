@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import COMMON_WORDS
+from .quality import LEAST_WORDS, MAX_LANGUAGES, WORDS
 from .suffix_dedup import LENGTH
 
 _QUALITY = r"""
@@ -16,19 +16,25 @@ lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(str
 c AS (SELECT r, length(t) AS c0, length(regexp_replace(t, '\p{Ll}+', '', 'g')) AS c1, length(regexp_replace(t, '[\p{Ll}\p{Lu}]+', '', 'g')) AS c2, length(regexp_replace(t, '[\p{L}\p{M}]+', '', 'g')) AS c3,
     length(regexp_replace(t, '[\p{L}\p{M}\p{N}]+', '', 'g')) AS c4, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\s\x0B]+', '', 'g')) AS c5, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\s\x0B\p{P}]+', '', 'g')) AS c6 FROM d),
 ch AS (SELECT r, 0 AS k, c0 - c1 AS n FROM c UNION ALL SELECT r, 1, c1 - c2 FROM c UNION ALL SELECT r, 2, c2 - c3 FROM c UNION ALL SELECT r, 3, c3 - c4 FROM c UNION ALL SELECT r, 4, c4 - c5 FROM c UNION ALL SELECT r, 5, c5 - c6 FROM c UNION ALL SELECT r, 6, c6 FROM c),
-vocab AS (SELECT unnest([{vocabulary}]) AS v),
-known AS (SELECT r, lower(x) AS v, count(*) AS n FROM (SELECT r, unnest(ws) AS x FROM w) q SEMI JOIN vocab ON lower(x) = v GROUP BY r, lower(x)),
-wh AS (SELECT a.r, a.v, coalesce(k.n, 0) AS n FROM (SELECT r, v FROM n CROSS JOIN vocab) a LEFT JOIN known k ON a.r = k.r AND a.v = k.v
-    UNION ALL SELECT n.r, '', n.n_words - coalesce((SELECT sum(k.n) FROM known k WHERE k.r = n.r), 0) FROM n),
-hists AS (SELECT 'c' AS h, r, CAST(k AS VARCHAR) AS k, n FROM ch UNION ALL SELECT 'w', r, v, n FROM wh),
-own AS (SELECT h, r, k, n / greatest(sum(n) OVER (PARTITION BY h, r), 1)::DOUBLE AS p FROM hists),
-ref AS (SELECT h, lang, k, s / greatest(sum(s) OVER (PARTITION BY h, lang), 1)::DOUBLE AS q FROM (SELECT x.h, d.lang, x.k, sum(x.n) AS s FROM hists x JOIN d ON x.r = d.r WHERE d.lang IN ({langs}) GROUP BY x.h, d.lang, x.k) y),
-js AS (SELECT h, r, min(e) AS e FROM (SELECT o.h, o.r, f.lang, sqrt(greatest(sum((CASE WHEN o.p > 0 THEN o.p * log2(o.p / ((o.p + f.q) / 2)) ELSE 0 END + CASE WHEN f.q > 0 THEN f.q * log2(f.q / ((o.p + f.q) / 2)) ELSE 0 END) / 2), 0)) AS e
-    FROM own o JOIN ref f ON o.h = f.h AND o.k = f.k GROUP BY o.h, o.r, f.lang) z GROUP BY h, r),
+spoken AS (SELECT d.lang, lower(q.x) AS v, count(*) AS n FROM (SELECT r, unnest(ws) AS x FROM w) q JOIN d ON q.r = d.r WHERE d.lang IS NOT NULL GROUP BY d.lang, lower(q.x)),
+langs AS (SELECT lang, sum(n) AS total FROM spoken GROUP BY lang HAVING sum(n) >= {least} ORDER BY total DESC, lang LIMIT {most}),
+wref AS (SELECT s.lang, s.v, s.n / l.total::DOUBLE AS q FROM (SELECT lang, v, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS k FROM spoken WHERE regexp_matches(v, '\p{L}')) s JOIN langs l ON s.lang = l.lang WHERE s.k <= {words}),
+known AS (SELECT r, lower(x) AS v, count(*) AS n FROM (SELECT r, unnest(ws) AS x FROM w) q SEMI JOIN wref ON lower(x) = wref.v GROUP BY r, lower(x)),
+own AS (SELECT r, k, n / greatest(sum(n) OVER (PARTITION BY r), 1)::DOUBLE AS p FROM ch),
+ref AS (SELECT lang, k, s / greatest(sum(s) OVER (PARTITION BY lang), 1)::DOUBLE AS q FROM (SELECT d.lang, x.k, sum(x.n) AS s FROM ch x JOIN d ON x.r = d.r WHERE d.lang IN (SELECT lang FROM langs) GROUP BY d.lang, x.k) y),
+js AS (SELECT r, min(e) AS e FROM (SELECT o.r, f.lang, sqrt(greatest(sum((CASE WHEN o.p > 0 THEN o.p * log2(o.p / ((o.p + f.q) / 2)) ELSE 0 END + CASE WHEN f.q > 0 THEN f.q * log2(f.q / ((o.p + f.q) / 2)) ELSE 0 END) / 2), 0)) AS e
+    FROM own o JOIN ref f ON o.k = f.k GROUP BY o.r, f.lang) z GROUP BY r),
+wbins AS (SELECT lang, v, q FROM wref UNION ALL SELECT lang, NULL, 1 - sum(q) FROM wref GROUP BY lang),
+none AS (SELECT lang, sqrt(greatest(sum((CASE WHEN v IS NULL THEN log2(1 / ((1 + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((CASE WHEN v IS NULL THEN 1 ELSE 0 END + q) / 2)) ELSE 0 END) / 2), 0)) AS e FROM wbins GROUP BY lang),
+hits AS (SELECT k.r, f.lang, f.v, k.n FROM known k JOIN wref f ON k.v = f.v),
+held AS (SELECT r, lang, sum(n) AS n FROM hits GROUP BY r, lang),
+wown AS (SELECT n.r, f.lang, f.q, (CASE WHEN f.v IS NULL THEN n.n_words - coalesce(x.n, 0) ELSE coalesce(h.n, 0) END) / greatest(n.n_words, 1)::DOUBLE AS p
+    FROM n CROSS JOIN wbins f LEFT JOIN hits h ON h.r = n.r AND h.lang = f.lang AND h.v = f.v LEFT JOIN held x ON x.r = n.r AND x.lang = f.lang),
+wjs AS (SELECT r, min(e) AS e FROM (SELECT o.r, o.lang, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) / any_value(z.e) AS e FROM wown o JOIN none z ON o.lang = z.lang GROUP BY o.r, o.lang) y GROUP BY r),
 base AS (SELECT d.doc_id, n.n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
-    length(d.t) AS n_chars, jc.e AS char_js, jw.e AS word_js FROM d JOIN n ON d.r = n.r LEFT JOIN lines l ON d.r = l.r LEFT JOIN rep p ON d.r = p.r JOIN js jc ON jc.h = 'c' AND jc.r = d.r JOIN js jw ON jw.h = 'w' AND jw.r = d.r)
+    length(d.t) AS n_chars, jc.e AS char_js, CASE WHEN d.lang IS NULL OR d.lang IN (SELECT lang FROM langs) THEN jw.e END AS word_js FROM d JOIN n ON d.r = n.r LEFT JOIN lines l ON d.r = l.r LEFT JOIN rep p ON d.r = p.r LEFT JOIN js jc ON jc.r = d.r LEFT JOIN wjs jw ON jw.r = d.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_chars >= 200 AND char_js > 0.2 OR n_words >= 50 AND word_js > 0.5) AS kept, round(char_js, 6) AS char_js, round(word_js, 6) AS word_js FROM base
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_chars >= 200 AND char_js > 0.2, FALSE) AND NOT coalesce(n_words >= 50 AND word_js > 0.97, FALSE) AS kept, round(char_js, 6) AS char_js, round(word_js, 6) AS word_js FROM base
 """
 
 _REPEATS = """
@@ -45,13 +51,9 @@ SELECT n.doc_id, n.n AS n_bytes, coalesce(t.removed, 0) AS n_removed, coalesce(t
 """
 
 
-def _quoted(words: list[str]) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
 def oracle_sql() -> dict[str, str]:
-    vocabulary = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    return {
-        "op2_repeated_substrings": _REPEATS.replace("{length}", str(LENGTH)),
-        "op10_quality_rules": _QUALITY.replace("{vocabulary}", _quoted(vocabulary)).replace("{langs}", _quoted(list(COMMON_WORDS))),
-    }
+    limits = {"{words}": WORDS, "{least}": LEAST_WORDS, "{most}": MAX_LANGUAGES}
+    quality = _QUALITY
+    for name, value in limits.items():
+        quality = quality.replace(name, str(value))
+    return {"op2_repeated_substrings": _REPEATS.replace("{length}", str(LENGTH)), "op10_quality_rules": quality}
