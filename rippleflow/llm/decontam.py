@@ -2,25 +2,32 @@
 
 A window of a text matches an item of m bytes if their edit distance is at most k = floor(rate * m).
 
-1. Places. An item's k edits leave at least m - q + 1 - k * q of its q-grams whole, on diagonals at most k
-   apart; places of the text whose q-grams say otherwise can't match (the q-gram lemma: nothing is lost).
-   One vectorised pass over the bytes against the items' q-gram table does this.
-2. Windows as long as the item, at the surviving places, and the items are embedded by the CGK random walk,
-   which turns edit distance into Hamming distance; L repetitions of b sampled bits send a window on when any
-   repetition agrees with its item. L follows from the target recall.
+1. Regions. k edits leave at least m - Q + 1 - k * Q of an item's Q-byte strings whole (the q-gram lemma). Stretches of a
+   text that hold fewer strings of any item of a size can hold no match of that size, and are skipped; that finds no
+   candidate and loses none. Items are banded by size, BANDS at most.
+2. Candidates. The CGK random walk (at each step it outputs the byte at hand, and goes on or waits by a bit that step and
+   byte choose) maps few edits to a few differing outputs. A walk loses step for good after many edits, so a window as
+   long as an item is embedded in walks of STEPS steps that start every SEGMENT bytes of the item, and at every byte of a
+   region. WALKS walks with SETS samples of BITS steps each give REPETITIONS keys; a text's window goes on to step 3 with
+   an item where any key agrees. Sampled steps lie inside the item whatever its length, and the walks' bits are the same
+   for all, so nothing but the keys grows with the items.
 3. The exact edit distance of the item to the best substring there decides (bit-parallel, free ends).
 
-Each task works on byte-bounded slices of whole texts. The items are collected in blocks of bounded bytes,
-one pass over the texts each; nothing is shuffled. Equal rows give equal rows; null and empty texts and items
-match nothing; items shorter than q bytes match exactly equal bytes only.
+Items below SHORT bytes have too few strings for 1 and too short walks for 2: k edits leave one of k + 1 parts of the item
+whole, so an Aho-Corasick automaton over the parts finds all candidates (no loss).
+
+Each task works on byte-bounded slices of whole texts. The items are collected in blocks of bounded bytes, one pass over
+the texts each; nothing is shuffled. Equal rows give equal rows; null and empty texts and items match nothing; texts and
+items of any length are searched whole; of equally near matches the first is reported; an empty table of texts or items
+gives no match; other columns, also of names used here, stay.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import joined, quoted, slices
 
-Q, TABLE_BITS = 8, 20
-BLOCK_BYTES = 8 << 20
+Q, TABLE_BITS, BANDS = 8, 20, 32
+SHORT, SEGMENT, STEPS = 64, 16, 40
+WALKS, SETS, BITS = 4, 5, 7
+REPETITIONS = WALKS * SETS
+BLOCK_BYTES, CHUNK = 1 << 20, 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,70 +68,86 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
 
 
 class Cgk:
-    """Random walks: at each of 3 m steps output the byte at hand and go on if the walk's bit for it says so."""
+    """The walks' bits and the sampled steps: the same for all items and texts."""
 
-    def __init__(self, steps: int, walks: int, bits: int, seed: int = 3):
+    def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.steps, self.walks = steps, walks
-        self.go = rng.integers(0, 2, (walks, steps, 256), dtype=np.uint8)
-        self.at = np.sort(rng.integers(0, steps, (walks, bits)), axis=1)
-
-    def sketch(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Per row and walk the sampled bytes' hash; rows are padded with zeros beyond their lengths."""
-        n, out = len(rows), np.zeros((len(rows), self.walks), np.uint64)
-        row = np.arange(n)
-        for w in range(self.walks):
-            place, key, last = np.zeros(n, np.int64), np.zeros(n, np.uint64), self.at[w, -1]
-            marks = set(self.at[w].tolist())
-            for t in range(last + 1):
-                inside = place < lengths
-                c = np.where(inside, rows[row, np.minimum(place, rows.shape[1] - 1)], 0)
-                if t in marks:
-                    key = (key ^ (c.astype(np.uint64) + np.uint64(1) + (inside.astype(np.uint64) << np.uint64(9)))) * _ODD
-                    key ^= key >> np.uint64(31)
-                place += self.go[w, t, c]
-            out[:, w] = key
-        return out
-
-
-def repetitions(bits: int, rate: float, recall: float) -> int:
-    """Repetitions for the target recall, if an edit makes a walk of 3 m steps differ in 15 places (measured: fewer)."""
-    agree = max(0.05, 1 - 5 * rate) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+        self.go = rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
+        self.marks = [[frozenset(rng.choice(STEPS, BITS, replace=False).tolist()) for _ in range(SETS)] for _ in range(WALKS)]
+
+    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """REPETITIONS keys of the walks from every start; data goes on for STEPS bytes behind the last."""
+        out = np.zeros((REPETITIONS, len(starts)), np.uint64)
+        for a in range(0, len(starts), CHUNK):
+            part = starts[a : a + CHUNK]
+            for w in range(WALKS):
+                place, mine = part.copy(), out[w * SETS : (w + 1) * SETS, a : a + CHUNK]
+                for t in range(STEPS):
+                    c = data[place]
+                    for s, marks in enumerate(self.marks[w]):
+                        if t in marks:
+                            mine[s] = (mine[s] + c + np.uint64(1)) * _ODD
+                    place += self.go[w, t][c]
+        out ^= out >> np.uint64(31)
+        return (out + np.arange(REPETITIONS, dtype=np.uint64)[:, None]) * _ODD
+
+
+class Band:
+    """Items of about one size: what a region of their matches holds, and their walks' keys."""
+
+    def __init__(self, items: list[int], texts: list[bytes], edits: np.ndarray, walk: Cgk):
+        self.need = min(len(texts[j]) - Q + 1 - int(edits[j]) * Q for j in items)
+        self.width = max(len(texts[j]) + int(edits[j]) for j in items)
+        data, starts, owner, offset, at = [], [], [], [], 0
+        for j in items:
+            data += [texts[j], bytes(STEPS)]
+            offsets = range(0, len(texts[j]) - STEPS + 1, SEGMENT)
+            starts += [at + o for o in offsets]
+            owner += [j] * len(offsets)
+            offset += offsets
+            at += len(texts[j]) + STEPS
+        keys = walk.keys(np.frombuffer(b"".join(data), np.uint8), np.array(starts, np.int64)).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.owner, self.offset = np.tile(np.array(owner, np.int32), REPETITIONS)[order], np.tile(np.array(offset, np.int64), REPETITIONS)[order]
 
 
 class Items:
     """The tables of one block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float, bits: int, recall: float):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.floor(self.size * rate + 1e-9).astype(np.int64)
-        self.least = np.maximum(1, self.size - Q + 1 - self.edits * Q)
-        grams, owner, offset = [], [], []
-        for j, t in enumerate(self.texts):
-            if len(t) >= Q:
-                g = _grams(np.frombuffer(t, np.uint8))
-                grams.append(g)
-                owner.append(np.full(len(g), j))
-                offset.append(np.arange(len(g)))
-        cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-        grams, owner, offset = cat(grams, np.uint64), cat(owner, np.int64), cat(offset, np.int64)
-        order = np.argsort(grams, kind="stable")
-        self.grams, first, count = np.unique(grams[order], return_index=True, return_counts=True)
-        self.first, self.count, self.owner, self.offset = first, count, owner[order], offset[order]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[_slot(self.grams)] = True
-        self.tiny = [j for j, t in enumerate(self.texts) if 0 < len(t) < Q]
-        self.walk = Cgk(3 * int(self.size.max(initial=1)), repetitions(bits, rate, recall), bits)
-        self.sketches = np.zeros((len(items), self.walk.walks), np.uint64)
-        for a in range(0, len(items), 2048):
-            part = self.texts[a : a + 2048]
-            rows = np.zeros((len(part), max(map(len, part))), np.uint8)
-            for row, t in zip(rows, part, strict=True):
-                row[: len(t)] = np.frombuffer(t, np.uint8)
-            self.sketches[a : a + 2048] = self.walk.sketch(rows, self.size[a : a + 2048])
+        least = self.size - Q + 1 - self.edits * Q
+        walks = (self.size >= max(SHORT, STEPS + SEGMENT)) & (least > 0)
+        self.walk, self.bands, self.parts = Cgk(), [], defaultdict(list)
+        long = sorted(np.flatnonzero(walks).tolist(), key=lambda j: (len(self.texts[j]), j))
+        self.table = np.zeros(1 << TABLE_BITS, np.uint32)
+        n = min(BANDS, len(long))
+        for b in range(n):
+            mine = long[b * len(long) // n : (b + 1) * len(long) // n]
+            self.bands.append(Band(mine, self.texts, self.edits, self.walk))
+            for j in mine:
+                self.table[_slot(_grams(np.frombuffer(self.texts[j], np.uint8)))] |= np.uint32(1 << b)
+        for j in np.flatnonzero(~walks).tolist():
+            t, k = self.texts[j], min(int(self.edits[j]) + 1, len(self.texts[j]))
+            for i in range(k):
+                a, b = len(t) * i // k, len(t) * (i + 1) // k
+                self.parts[t[a:b]].append((j, a))
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_automaton": None}
+
+    def automaton(self) -> ahocorasick.Automaton:
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for part, where in self.parts.items():
+                self._automaton.add_word(part.decode("latin-1"), (len(part), where))
+            self._automaton.make_automaton()
+        return self._automaton
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -141,89 +167,69 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return ((grams * _ODD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def places(raw: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
-    """Rows (text, item, start): diagonals that the q-gram lemma doesn't rule out, one a band of 2 k + 1 diagonals."""
-    none = np.zeros((0, 3), np.int64)
-    if not len(items.grams) or len(raw) < Q:
-        return none
-    grams = _grams(raw)
-    at = np.flatnonzero(items.table[_slot(grams)])
-    found = np.searchsorted(items.grams, grams[at])
-    found[found == len(items.grams)] = 0
-    same = items.grams[found] == grams[at]
-    at, found = at[same], found[same]
-    text = np.searchsorted(offsets, at, side="right") - 1
-    inside = at + Q <= offsets[text + 1]
-    at, found, text = at[inside], found[inside], text[inside]
-    if not len(at):
-        return none
-    n = items.count[found]
-    each = np.repeat(np.arange(len(at)), n)
-    entry = items.first[found][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    item = items.owner[entry]
-    start = at[each] - items.offset[entry] - offsets[text[each]] + (1 << 20)  # may lie before the text
-    out = []
-    for half in (0, 1):  # bands of 2 (2 k + 1) diagonals, twice, so that some band holds all of a match's diagonals
-        width = 2 * items.edits[item] + 1
-        band = (start + half * width) // (2 * width)
-        key = (text[each] * len(items.ids) + item) * (1 << 32) + band
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.concatenate([edge, [len(k)]]))
-        # A whole q-gram is a place of the text and one of the item: neither counts twice in a band.
-        good = np.flatnonzero(size >= items.least[item[order[edge]]])
-        for g in good:
-            rows = order[edge[g] : edge[g] + size[g]]
-            if min(len(np.unique(each[rows])), len(np.unique(entry[rows]))) >= items.least[item[rows[0]]]:
-                for s in np.unique(start[rows]):
-                    out.append((text[each[rows[0]]], item[rows[0]], s - (1 << 20)))
-    return np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
+def regions(raw: np.ndarray, items: Items) -> Iterator[tuple[Band, np.ndarray]]:
+    """Per band the places that a match of one of its items may cover."""
+    mask = items.table[_slot(_grams(raw))]
+    at = np.flatnonzero(mask)
+    held = mask[at]
+    for b, band in enumerate(items.bands):
+        pos = at[(held >> np.uint32(b)) & np.uint32(1) == 1]
+        if len(pos) < band.need:
+            continue
+        first, last = pos[: len(pos) - band.need + 1], pos[band.need - 1 :]
+        close = last + Q - first <= band.width
+        if close.any():
+            lo, hi = np.maximum(last[close] + Q - band.width, 0), np.minimum(first[close] + band.width, len(raw))
+            new = np.concatenate([[True], lo[1:] > np.maximum.accumulate(hi)[:-1]])
+            head = np.flatnonzero(new)
+            size = np.maximum.reduceat(hi, head) - lo[head]
+            yield band, np.repeat(lo[head] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def candidates(raw: np.ndarray, offsets: np.ndarray, items: Items) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Per text and item the stretches (in bytes of the text) that its match may cover."""
+    found, data = [], np.concatenate([raw, np.zeros(STEPS, np.uint8)])
+    for band, starts in regions(raw, items):
+        keys = items.walk.keys(data, starts)
+        first = np.searchsorted(band.keys, keys.ravel())
+        first[first == len(band.keys)] = 0
+        hit = np.flatnonzero(band.keys[first] == keys.ravel())
+        if len(hit):
+            entry, start, last = first[hit], np.tile(starts, REPETITIONS)[hit], np.searchsorted(band.keys, keys.ravel()[hit], side="right")
+            each = np.repeat(np.arange(len(hit)), last - entry)
+            entry = entry[each] + np.arange(len(each)) - np.repeat(np.cumsum(last - entry) - (last - entry), last - entry)
+            found.append(np.stack([np.searchsorted(offsets, start[each], side="right") - 1, band.owner[entry], start[each] - band.offset[entry]], axis=1))
+    if items.parts:
+        near = []
+        for end, (size, where) in items.automaton().iter(raw.tobytes().decode("latin-1")):
+            text = int(np.searchsorted(offsets, end - size + 1, side="right") - 1)
+            if end < offsets[text + 1]:
+                near += [(text, j, end - size + 1 - a) for j, a in where]
+        found.append(np.array(near, np.int64).reshape(-1, 3))
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for t, j, s in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
+        k, m, size = int(items.edits[j]), int(items.size[j]), int(offsets[t + 1] - offsets[t])
+        a, b = max(s - int(offsets[t]) - k, 0), min(s - int(offsets[t]) + m + k, size)
+        spans = out[t, j]
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return out
 
 
 def matches(raw: np.ndarray, offsets: np.ndarray, items: Items) -> dict[int, dict[int, tuple[int, int]]]:
     """Per text and item: (least distance, the end of that match in bytes)."""
     out: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
-    cand = places(raw, offsets, items)
-    if len(cand):
-        size = items.size[cand[:, 1]]
-        width = int(size.max())
-        base, end = offsets[cand[:, 0]], offsets[cand[:, 0] + 1]
-        lo = np.clip(base + cand[:, 2], base, end)
-        length = np.minimum(size, end - lo)
-        passed = np.zeros(len(cand), bool)
-        for a in range(0, len(cand), 2048):
-            part = slice(a, a + 2048)
-            where = lo[part, None] + np.arange(width)
-            rows = np.where(np.arange(width) < length[part, None], raw[np.minimum(where, len(raw) - 1)], 0)
-            got = items.walk.sketch(rows, length[part])
-            want = items.sketches[cand[part, 1]]
-            passed[part] = (got == want).any(axis=1)
-        tried: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for (t, j, s), ok in zip(cand.tolist(), passed.tolist(), strict=True):
-            if ok:
-                tried[t, j].append((s - int(items.edits[j]), s + int(items.size[j] + items.edits[j])))
-        for (t, j), spans in tried.items():
-            spans.sort()
-            merged = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                else:
-                    merged.append((a, b))
-            for a, b in merged:
-                a, b = max(a, 0), min(b, int(offsets[t + 1] - offsets[t]))
-                text = raw[offsets[t] + a : offsets[t] + b].tobytes()
-                exact = text.find(items.texts[j])
-                d, e = (0, exact + len(items.texts[j])) if exact >= 0 else edit_distance(items.texts[j], text)
-                if d <= items.edits[j]:
-                    out[t][j] = min(out[t].get(j, (d, a + e)), (d, a + e))
-    for j in items.tiny:
-        word, data, at = items.texts[j], raw.tobytes(), -1
-        while (at := data.find(word, at + 1)) >= 0:
-            t = int(np.searchsorted(offsets, at, side="right") - 1)
-            if at + len(word) <= offsets[t + 1]:
-                out[t].setdefault(j, (0, int(at + len(word) - offsets[t])))
+    if not len(raw):
+        return out
+    for (t, j), spans in candidates(raw, offsets, items).items():
+        for a, b in spans:
+            text = raw[offsets[t] + a : offsets[t] + b].tobytes()
+            exact = text.find(items.texts[j])
+            d, e = (0, exact + len(items.texts[j])) if exact >= 0 else edit_distance(items.texts[j], text)
+            if d <= items.edits[j]:
+                out[t][j] = min(out[t].get(j, (d, a + e)), (d, a + e))
     return out
 
 
@@ -237,7 +243,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield sorted((r["i"], r["t"].encode()) for r in part.toLocalIterator())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.1, bits: int = 2, recall: float = 0.999, out: str = "leaks") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.1, out: str = "leaks") -> DataFrame:
     """docs with column out: array<struct<item, distance, end>> by item, end in bytes of the text's UTF-8.
 
     An existing column of that name is replaced.
@@ -247,7 +253,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     result = docs.select(*map(quoted, kept)).withColumn(out, F.array().cast(kind))
     value = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
     for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Items(block, rate, bits, recall))
+        shared = spark.sparkContext.broadcast(Items(block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

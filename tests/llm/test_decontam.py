@@ -57,14 +57,43 @@ def test_recall_and_precision_against_brute_force(spark):
     assert got == want and len(want) >= 25
 
 
-def test_no_place_is_lost_by_the_q_gram_lemma():
-    rng = random.Random(7)
-    item = prose(3, 30).encode()
-    items = decontam.Items([(1, item)], 0.1, 2, 0.999)
-    for seed in range(60):
-        text = (prose(seed, 20) + edited(rng, item.decode(), len(item) // 10) + prose(seed + 1, 20)).encode()
-        if brute_distance(item, text)[0] <= len(item) // 10:
-            assert len(decontam.places(np.frombuffer(text, np.uint8), np.array([0, len(text)]), items))
+def found_in(items, text):
+    raw = np.frombuffer(text, np.uint8)
+    return decontam.matches(raw, np.array([0, len(raw)]), items)[0]
+
+
+def test_recall_at_the_most_edits():
+    """Items of 8 to 400 bytes with all the edits that they may have: as many as brute force finds."""
+    rng, tried, hit = random.Random(7), 0, 0
+    for n in range(240):
+        item = prose(n, 90)[: rng.choice([8, 10, 13, 20, 22, 31, 40, 63, 64, 65, 80, 110, 150, 240, 400])]
+        text = (prose(5000 + n, 20) + edited(rng, item, len(item) // 10) + prose(9000 + n, 20)).encode()
+        want = brute_distance(item.encode(), text)
+        if want[0] <= len(item.encode()) // 10:
+            tried += 1
+            got = found_in(decontam.Items([(1, item.encode())], 0.1), text)
+            if 0 in got:
+                assert got[0][0] == want[0]
+                hit += 1
+            else:
+                assert len(item) >= decontam.SHORT  # the exact search loses nothing
+    assert tried >= 220 and hit >= 0.99 * tried
+
+
+def test_walks_find_what_unrelated_texts_do_not():
+    items = decontam.Items([(i, prose(i, 40).encode()) for i in range(30)], 0.1)
+    raw = np.frombuffer(" ".join(prose(7000 + i, 60) for i in range(200)).encode(), np.uint8)
+    assert len(items.bands) and not items.parts
+    assert len(decontam.candidates(raw, np.array([0, len(raw)]), items)) <= 3
+
+
+def test_short_and_huge_items(spark):
+    assert 0 in found_in(decontam.Items([(1, b"abcdefghijklmnopqrst")], 0.1), b"zz abcdefgXijklmnXpqrst zz")
+    item = prose(1, 20000)[:100_000]
+    rng = random.Random(1)
+    rows = [(1, prose(2, 50) + edited(rng, item, 300) + prose(3, 50), None, None, None), (2, prose(4, 20000), None, None, None)]
+    got = [tuple(r) for r in decontam.digest(documents(spark, rows), benchmark(spark, [(7, item)])).collect()]
+    assert len(got) == 1 and got[0][:2] == (1, 7) and 200 <= got[0][2] <= 300
 
 
 def test_odd_rows_items_and_names(spark):
