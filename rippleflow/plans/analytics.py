@@ -14,16 +14,16 @@ SQL: dict[str, str] = {
     "C4_product_pools": f"WITH {_POOL} SELECT product, count(*) AS pool FROM pool GROUP BY product",
     "C5_edge_candidates": f"""WITH {_POOL} SELECT e.src, e.dst, e.product, count(p.firm_id) AS candidates FROM {{edge_products}} e
         LEFT JOIN pool p ON e.product = p.product AND p.firm_id <> e.src AND p.firm_id <> e.dst GROUP BY e.src, e.dst, e.product""",
-    "C6_overlap_pool": "SELECT a.firm_id AS lost, b.firm_id AS alternative, round(count(*) / max(s.n), 9) AS weight FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) s ON a.firm_id = s.firm_id WHERE a.firm_id <= 10 GROUP BY a.firm_id, b.firm_id",
+    "C6_overlap_pool": "SELECT a.firm_id AS lost, b.firm_id AS alternative, round(count(*) / max(s.n), 9) AS weight FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) s ON a.firm_id = s.firm_id GROUP BY a.firm_id, b.firm_id",
     "C7_taxonomy": "SELECT round(avg(CASE WHEN x.group_name = y.group_name THEN 1.0 ELSE 0.0 END), 6) AS same_group, round(avg(CASE WHEN x.family_name <> y.family_name THEN 1.0 ELSE 0.0 END), 6) AS other_family, count(*) AS pairs FROM {alike} s CROSS JOIN {sizes} n JOIN {products} x ON x.product = s.a JOIN {products} y ON y.product = s.b WHERE s.a < s.b AND s.score > 0.3 AND NOT x.special AND NOT y.special",
     "C8_dual_sourcing": "SELECT 'strict' AS kind, count(*) AS pairs FROM (SELECT DISTINCT a.src, b.src AS other, a.product FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.model = b.model AND a.model_year = b.model_year AND a.src <> b.src) s UNION ALL SELECT 'loose', count(*) FROM (SELECT DISTINCT a.src, b.src AS other, a.product FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.src <> b.src) l",
     "C9_rule_recall": f"""WITH pairs AS (SELECT DISTINCT a.src AS u, b.src AS v, a.product % s.vectors AS x FROM {{details}} a JOIN {{details}} b ON a.dst = b.dst AND a.src <> b.src AND a.product = b.product CROSS JOIN {{sizes}} s),
         offers AS (SELECT DISTINCT c.firm_id, c.product % s.vectors AS a FROM {{capabilities}} c CROSS JOIN {{sizes}} s),
         hit AS (SELECT DISTINCT p.u, p.v, p.x FROM pairs p JOIN {{alike}} g ON p.x = g.a AND g.score > 0.3 JOIN offers o ON g.b = o.a AND o.firm_id = p.v)
         SELECT count(*) AS pairs, (SELECT count(*) FROM hit) AS recalled FROM pairs""",
-    "C10_overlap_recall": "WITH pairs AS (SELECT DISTINCT a.src AS u, b.src AS v FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.src <> b.src WHERE a.product % 7 = 0 AND b.product % 7 = 0) SELECT count(*) AS pairs, (SELECT count(DISTINCT p.u * 100000000 + p.v) FROM pairs p JOIN {capabilities} x ON p.u = x.firm_id JOIN {capabilities} y ON p.v = y.firm_id AND x.product = y.product) AS recalled FROM pairs",
+    "C10_overlap_recall": "WITH pairs AS (SELECT DISTINCT a.src AS u, b.src AS v FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.src <> b.src) SELECT count(*) AS pairs, (SELECT count(DISTINCT p.u * 100000000 + p.v) FROM pairs p JOIN {capabilities} x ON p.u = x.firm_id JOIN {capabilities} y ON p.v = y.firm_id AND x.product = y.product) AS recalled FROM pairs",
     "C11_edge_composition": "SELECT t.is_oem, count(*) AS edges, round(avg(CASE WHEN r.annotated THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN r.annotated THEN r.weight END), 6) AS weight FROM {relations} r JOIN {firms} t ON r.dst = t.firm_id GROUP BY t.is_oem",
-    "C14_vocabulary": "SELECT count(*) AS observed, CAST(sum(CASE WHEN c.product IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS known FROM (SELECT DISTINCT product FROM {edge_products}) e LEFT JOIN (SELECT DISTINCT product FROM {capabilities} WHERE product % 2 = 0) c ON e.product = c.product",
+    "C14_vocabulary": "SELECT count(*) AS observed, CAST(sum(CASE WHEN c.product IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS known FROM (SELECT DISTINCT product FROM {edge_products}) e LEFT JOIN (SELECT DISTINCT product FROM {capabilities}) c ON e.product = c.product",
     "C15_cascade_size": f"WITH {_COMPARE} SELECT task_id, arm, cascade FROM x",
     "C16_arm_table": f"""WITH {_COMPARE} SELECT scenario, arm, round(avg(cascade), 6) AS mean, max(cascade) AS most, round(avg(CASE WHEN cascade > 65 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS runs FROM x GROUP BY scenario, arm""",
     "C17_sensitivity": f"WITH {_COMPARE} SELECT sample_id % 4 AS gamma, arm, round(avg(cascade), 6) AS mean, round(stddev_samp(cascade) / sqrt(count(*)), 6) AS se FROM x GROUP BY sample_id % 4, arm",
@@ -75,7 +75,7 @@ SQL: dict[str, str] = {
         d AS (SELECT b.b, CAST(floor(@u01(concat_ws('|', 'boot', CAST(b.b AS VARCHAR(20)), CAST(x.i AS VARCHAR(20)))) * x.n) AS BIGINT) AS j FROM b CROSS JOIN x),
         m AS (SELECT d.b, avg(x.y) AS m FROM d JOIN x ON d.j = x.i GROUP BY d.b) SELECT round(@pct(m, 0.025), 6) AS low, round(@pct(m, 0.975), 6) AS high FROM m""",
     "N8_paired_difference": "SELECT round(avg(a.weeks - b.weeks), 6) AS diff, round(avg(a.weeks) / avg(b.weeks), 6) AS ratio, round(stddev_samp(a.weeks - b.weeks) / sqrt(count(*)), 6) AS se FROM {runs} a JOIN {runs} b ON a.task_id = b.task_id AND a.arm = 0 AND b.arm = 1",
-    "N10_standardise": "SELECT d.firm_id, round((d.in_degree - t.m) / t.s, 6) AS z FROM {degrees} d CROSS JOIN (SELECT avg(in_degree) AS m, stddev_pop(in_degree) AS s FROM {degrees} WHERE degree > 0 AND firm_id % 5 <> 0) t WHERE d.degree > 0",
+    "N10_standardise": "SELECT d.firm_id, round((d.in_degree - t.m) / t.s, 6) AS z FROM {degrees} d CROSS JOIN (SELECT avg(in_degree) AS m, stddev_pop(in_degree) AS s FROM {degrees} WHERE degree > 0) t WHERE d.degree > 0",
     "N11_weighted_auc": """WITH x AS (SELECT out_degree AS score, CASE WHEN in_degree > 1 THEN 1 ELSE 0 END AS y, degree AS w FROM {degrees} WHERE degree > 0), g AS (SELECT score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM x GROUP BY score)
         SELECT round(sum(p * (below + n / 2.0)) / (max(tp) * max(tn)), 9) AS auc FROM (SELECT p, n, sum(n) OVER (ORDER BY score) - n AS below, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM g) z""",
     "N16_weighted_sample": "SELECT firm_id FROM (SELECT firm_id, row_number() OVER (ORDER BY -ln(@u01(concat_ws('|', 'race', CAST(firm_id AS VARCHAR(20))))) / degree, firm_id) AS k FROM {degrees} WHERE degree > 0) x WHERE k <= 40",

@@ -12,7 +12,8 @@ from ..operators import graph, similarity
 from ..operators.iterate import cut
 from ..sources.adapter import Network
 
-RANK_ROUNDS, EIGEN_ROUNDS = 8, 6
+#: Rounds that the other engine's SQL spells out; it takes the first that moved less than TOLERANCE a node.
+UNROLLED, TOLERANCE = 60, 1e-6
 
 
 def _edges(n: Network) -> DataFrame:
@@ -68,11 +69,11 @@ def diameter(n: Network) -> DataFrame:
 
 
 def rank(n: Network) -> DataFrame:
-    return graph.pagerank(_edges(n), _linked(n), rounds=RANK_ROUNDS, tolerance=0.0).select(F.col("node").alias("firm_id"), F.round("rank", 9).alias("rank"))
+    return graph.pagerank(_edges(n), _linked(n), tolerance=TOLERANCE).select(F.col("node").alias("firm_id"), F.round("rank", 9).alias("rank"))
 
 
 def eigen(n: Network) -> DataFrame:
-    return graph.eigenvector(_edges(n), _linked(n), rounds=EIGEN_ROUNDS, tolerance=0.0).select(F.col("node").alias("firm_id"), F.round("score", 9).alias("score"))
+    return graph.eigenvector(_edges(n), _linked(n), tolerance=TOLERANCE).select(F.col("node").alias("firm_id"), F.round("score", 9).alias("score"))
 
 
 def close(n: Network) -> DataFrame:
@@ -259,19 +260,26 @@ _P = "p AS (SELECT r.src, r.dst, r.weight / (1.0 * t.w) / 2.0 AS p FROM {relatio
 
 def _pagerank_sql() -> str:
     steps = ["k AS (SELECT src, count(*) AS k FROM e GROUP BY src)", "n AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT x, 1.0 / n.n AS r FROM nodes CROSS JOIN n)"]
-    for i in range(RANK_ROUNDS):
-        steps.append(f"d{i} AS (SELECT coalesce(sum(r), 0) AS d FROM r{i} LEFT JOIN k ON x = src WHERE src IS NULL)")
-        steps.append(f"f{i} AS (SELECT e.dst, sum(r.r / k.k) AS f FROM e JOIN r{i} r ON e.src = r.x JOIN k ON e.src = k.src GROUP BY e.dst)")
-        steps.append(f"r{i + 1} AS (SELECT x.x, (1 - 0.85) / n.n + 0.85 * (coalesce(f.f, 0) + d.d / n.n) AS r FROM r{i} x CROSS JOIN n CROSS JOIN d{i} d LEFT JOIN f{i} f ON x.x = f.dst)")
-    return f"WITH {_E}, {', '.join(steps)} SELECT x AS firm_id, round(r, 9) AS rank FROM r{RANK_ROUNDS}"
+    for i in range(UNROLLED):
+        steps.append(f"d{i} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS d FROM r{i} LEFT JOIN k ON x = src WHERE src IS NULL)")
+        steps.append(f"f{i} AS MATERIALIZED (SELECT e.dst, sum(r.r / k.k) AS f FROM e JOIN r{i} r ON e.src = r.x JOIN k ON e.src = k.src GROUP BY e.dst)")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT x.x, (1 - 0.85) / n.n + 0.85 * (coalesce(f.f, 0) + d.d / n.n) AS r FROM r{i} x CROSS JOIN n CROSS JOIN d{i} d LEFT JOIN f{i} f ON x.x = f.dst)")
+    return f"WITH {_E}, {', '.join(steps)}, {_settled()} SELECT x AS firm_id, round(r, 9) AS rank FROM settled"
+
+
+def _settled() -> str:
+    """The first round that moved less than the tolerance."""
+    moved = " UNION ALL ".join(f"SELECT {i + 1} AS i, (SELECT sum(abs(a.r - b.r)) FROM r{i} a JOIN r{i + 1} b ON a.x = b.x) AS m" for i in range(UNROLLED))
+    rounds = " UNION ALL ".join(f"SELECT {i + 1} AS i, x, r FROM r{i + 1}" for i in range(UNROLLED))
+    return f"moved AS MATERIALIZED ({moved}), stop AS (SELECT min(i) AS i FROM moved WHERE m < {TOLERANCE!r} * (SELECT count(*) FROM nodes)), settled AS (SELECT z.x, z.r FROM ({rounds}) z JOIN stop ON z.i = stop.i)"
 
 
 def _eigen_sql() -> str:
     steps = ["r0 AS (SELECT x, 1.0 / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
-    for i in range(EIGEN_ROUNDS):
-        steps.append(f"f{i} AS (SELECT x.x, x.r + coalesce(f.f, 0) AS r FROM r{i} x LEFT JOIN (SELECT e.dst, sum(y.r) AS f FROM e JOIN r{i} y ON e.src = y.x GROUP BY e.dst) f ON x.x = f.dst)")
-        steps.append(f"r{i + 1} AS (SELECT x, r / (SELECT sqrt(sum(r * r)) FROM f{i}) AS r FROM f{i})")
-    return f"WITH {_E}, {', '.join(steps)} SELECT x AS firm_id, round(r, 9) AS score FROM r{EIGEN_ROUNDS}"
+    for i in range(UNROLLED):
+        steps.append(f"f{i} AS MATERIALIZED (SELECT x.x, x.r + coalesce(f.f, 0) AS r FROM r{i} x LEFT JOIN (SELECT e.dst, sum(y.r) AS f FROM e JOIN r{i} y ON e.src = y.x GROUP BY e.dst) f ON x.x = f.dst)")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT x, r / (SELECT sqrt(sum(r * r)) FROM f{i}) AS r FROM f{i})")
+    return f"WITH {_E}, {', '.join(steps)}, {_settled()} SELECT x AS firm_id, round(r, 9) AS score FROM settled"
 
 
 def _exposure_sql() -> str:

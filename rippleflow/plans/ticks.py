@@ -10,14 +10,15 @@ _STRUCK = "struck AS (SELECT firm_id FROM {degrees} WHERE out_degree > 0 ORDER B
 _U = "@u01(concat_ws('|', '%s', CAST(%s AS VARCHAR(24)), CAST(%s AS VARCHAR(24))))"
 # Customers of struck firms, with what they lost.
 _LOST = f"{_STRUCK}, lost AS (SELECT r.dst AS customer, r.src AS firm, r.weight AS amount FROM {{relations}} r JOIN struck s ON r.src = s.firm_id LEFT ANTI JOIN struck t ON r.dst = t.firm_id)"
-_CAN = "can AS (SELECT firm_id, product FROM {capabilities} WHERE product <= 60)"
+_CAN = "can AS (SELECT firm_id, product FROM {capabilities})"
 # Overlap rule: rivals share a product; the weight is the share of the lost firm's products.
 _OVERLAP = f"""{_LOST}, {_CAN}, n_of AS (SELECT firm_id, count(*) AS n FROM can GROUP BY firm_id), rival AS (SELECT a.firm_id AS firm, b.firm_id AS alt, count(*) / (1.0 * max(n.n)) AS weight FROM can a JOIN struck s ON a.firm_id = s.firm_id JOIN can b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN n_of n ON a.firm_id = n.firm_id GROUP BY a.firm_id, b.firm_id),
     options AS (SELECT l.customer, l.firm, r.alt, r.weight FROM lost l JOIN rival r ON l.firm = r.firm AND r.alt <> l.customer LEFT ANTI JOIN struck t ON r.alt = t.firm_id)"""
-# Specific rule: one search for each lost product; firms are weighted by their best alike product.
-_SPECIFIC = f"""{_STRUCK}, wanted AS (SELECT e.dst AS customer, e.src AS firm, e.product, e.amount, e.product % z.vectors AS a FROM {{edge_products}} e JOIN (SELECT DISTINCT src FROM {{edge_products}} ORDER BY src LIMIT 20) s ON e.src = s.src CROSS JOIN {{sizes}} z),
-    offers AS (SELECT DISTINCT c.firm_id, c.product % z.vectors AS b FROM {{capabilities}} c CROSS JOIN {{sizes}} z WHERE c.product <= 400),
-    options AS (SELECT w.customer, w.firm, w.product, w.amount, o.firm_id AS alt, max(p.score) AS score FROM wanted w JOIN {{alike}} p ON w.a = p.a AND p.score > 0.3 JOIN offers o ON p.b = o.b AND o.firm_id <> w.customer AND o.firm_id <> w.firm GROUP BY w.customer, w.firm, w.product, w.amount, o.firm_id)"""
+# Specific rule: one search for each lost product; firms are weighted by their best alike product, found once a vector.
+_SPECIFIC = f"""{_STRUCK}, wanted AS (SELECT e.dst AS customer, e.src AS firm, e.product, e.amount, e.product % z.vectors AS a FROM {{edge_products}} e CROSS JOIN {{sizes}} z),
+    offers AS (SELECT DISTINCT c.firm_id, c.product % z.vectors AS b FROM {{capabilities}} c CROSS JOIN {{sizes}} z),
+    best AS (SELECT p.a, o.firm_id, max(p.score) AS score FROM (SELECT DISTINCT a FROM wanted) w JOIN {{alike}} p ON w.a = p.a AND p.score > 0.3 JOIN offers o ON p.b = o.b GROUP BY p.a, o.firm_id),
+    options AS (SELECT w.customer, w.firm, w.product, w.amount, o.firm_id AS alt, o.score FROM wanted w JOIN best o ON w.a = o.a AND o.firm_id <> w.customer AND o.firm_id <> w.firm)"""
 # Three candidates a search, by an exponential race; partners count one and a half times.
 _ASKED = f"""{_OVERLAP}, asked AS (SELECT customer, firm, alt FROM (SELECT o.customer, o.firm, o.alt, row_number() OVER (PARTITION BY o.customer, o.firm ORDER BY -ln({_U % ('ask', 'o.customer * 100000 + o.firm', 'o.alt')}) / (o.weight * CASE WHEN n.v IS NULL THEN 1.0 ELSE 1.5 END), o.alt) AS place
         FROM options o LEFT JOIN {{neighbours}} n ON o.customer = n.u AND o.alt = n.v) x WHERE place <= 3)"""
