@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return
 the columns of documents.
+
+Odd rows: any column may be null; a null or empty text has no letters and goes in the first stage, as do texts whose
+language is doubtful; texts of any length are read whole; equal rows are copies, of which one stays, that of the least
+doc_id (nulls last), then of the least row hash; an empty table passes every stage and stays empty; extra columns, also of
+names that operators use inside, are kept to the last stage, which returns the columns that it names.
 """
 
 from __future__ import annotations
