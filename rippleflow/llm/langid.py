@@ -107,7 +107,7 @@ def train(labelled: DataFrame, max_docs: int = 20_000, tasks: int = 16) -> Model
     n = keyed.count()
     if n > max_docs:  # a share of the hash range a little larger than needed, then the smallest hashes of it
         cut = int(-(2**63) + 2**64 * min(1.0, 1.2 * max_docs / n))
-        keyed = keyed.where(F.col(h) <= min(cut, 2**63 - 1)).orderBy(h).limit(max_docs)
+        keyed = keyed.where(F.col(h) <= min(cut, 2**63 - 1)).orderBy(h, F.xxhash64("text"), "lang").limit(max_docs)
     counts = keyed.select("text", F.col("lang").cast("string")).repartition(tasks).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("at")).collect()  # languages x 2^15 x tasks cells at most
     langs = sorted(r["lang"] for r in rows)
