@@ -48,7 +48,8 @@ def _world(n: Network) -> simulate.World:
     vectors = cut(n["products"].crossJoin(F.broadcast(n["sizes"])).select("product", (F.col("product") % F.col("vectors")).alias("vector")).distinct())
     alike = n["alike"].where("score > 0.3").select(F.col("a").alias("product"), F.col("b").alias("alt"), "score")
     edges = cut(edge_config(n))
-    return simulate.load_world(cut(node_config(n)), edges, cut(budgets(n)), cut(n["capabilities"]), cut(alike), vectors)
+    firms = node_config(n).join(_tiers(n).select("firm_id", F.col("tier").cast("long").alias("tier")), "firm_id", "left")
+    return simulate.load_world(cut(firms), edges, cut(budgets(n)), cut(n["capabilities"]), cut(alike), vectors)
 
 
 def configs(n: Network, rules: tuple[str, ...] = ("overlap", "specific", "hybrid"), runs: int = 4, until: int = 24) -> DataFrame:
@@ -61,16 +62,16 @@ def configs(n: Network, rules: tuple[str, ...] = ("overlap", "specific", "hybrid
 
 
 def series(n: Network) -> DataFrame:
-    return simulate.simulate(configs(n), _world(n))
+    return simulate.with_differences(simulate.simulate(configs(n), _world(n)))
 
 
 def struck_firms(n: Network) -> DataFrame:
     out = simulate.simulate(configs(n), _world(n), "firms")
-    return out.select("run_id", "firm_id", "kind", "size", "tick", F.concat_ws(",", F.transform("origins", lambda x: x.cast("string"))).alias("origins"))
+    return out.select("run_id", "firm_id", "kind", "size", "tier", "k", "request_cap", "disruption_time", "removal_time", F.concat_ws(",", F.transform("origins", lambda x: x.cast("string"))).alias("origins"))
 
 
 def consistency(n: Network) -> DataFrame:
-    return series(n).agg(F.sum("violations").alias("violations"), F.count("*").alias("weeks"))
+    return simulate.simulate(configs(n), _world(n)).agg(F.sum("violations").alias("violations"), F.count("*").alias("weeks"))
 
 
 def link_model(n: Network) -> DataFrame:

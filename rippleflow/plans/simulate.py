@@ -13,15 +13,28 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 MOST_EDGES, MOST_CAPABILITIES = 2_000_000, 20_000_000
 #: A run's configuration: rule is overlap (any shared product), specific (alike products) or hybrid.
 CONFIG = "run_id bigint, seeds array<bigint>, rule string, until int, parallel int, margin double"
-SERIES = "run_id bigint, week bigint, num_nodes bigint, num_edges bigint, num_searching bigint, num_open_searches bigint, num_disrupted bigint, num_removed bigint, open_cap bigint, edge_cap bigint, total_cap bigint, violations bigint"
-FIRMS = "run_id bigint, firm_id bigint, kind string, size bigint, tick bigint, origins array<bigint>"
+#: Columns that a configuration may have besides: with sigma, removal is drawn from a normal within lb .. ub instead of a margin.
+OPTIONS = "sigma double, lb double, ub double"
+_SIDES = ["in_degree", "out_degree", "degree", "w_in_degree", "w_out_degree", "w_degree"]
+#: The weekly series of a run. Degrees and volumes (w_) of removed and disrupted firms are those that they began with.
+METRICS = [
+    *["num_nodes", "num_edges", "num_searching", "num_open_searches", "cap_searching", "num_affected", "num_removed", "num_removed_edges"],
+    *[f"{x}_removed" for x in _SIDES],
+    *["num_disrupted", *[f"{x}_disrupted" for x in _SIDES]],
+    *["num_isolates", "num_components", "open_cap", "edge_cap", "total_cap"],
+]
+#: A run that fails gives one row with its error and nothing else.
+SERIES = f"run_id bigint, week bigint, {', '.join(f'{m} bigint' for m in METRICS)}, violations bigint, error string"
+FIRMS = "run_id bigint, firm_id bigint, kind string, size bigint, tier bigint, k double, request_cap bigint, disruption_time bigint, removal_time bigint, origins array<bigint>, error string"
 
 
 @dataclass
@@ -39,18 +52,22 @@ class World:
     products: dict[int, list[int]] = field(default_factory=dict)
     edges: dict[tuple[int, int], dict[int, int]] = field(default_factory=dict)
     trials: dict[tuple[int, int], int] = field(default_factory=dict)
+    tier: dict[int, int] = field(default_factory=dict)
 
 
 def load_world(firms: DataFrame, edges: DataFrame, budgets: DataFrame, capabilities: DataFrame, alike: DataFrame, vectors: DataFrame | None = None) -> World:
-    """firms (firm_id, size, k, cap), edges (src, dst, product, amount), budgets (src, dst, max_trials), capabilities, alike (product, alt, score).
+    """firms (firm_id, size, k, cap and, if known, tier), edges (src, dst, product, amount), budgets (src, dst, max_trials), capabilities, alike (product, alt, score).
 
     With vectors (product, vector), product and alt of alike are vectors.
     """
     if edges.count() > MOST_EDGES or capabilities.count() > MOST_CAPABILITIES:
         raise ValueError("the network is too large to share with every task")
     w = World()
+    tiered = "tier" in firms.columns
     for r in firms.toLocalIterator():
         w.size[r["firm_id"]], w.k[r["firm_id"]], w.cap[r["firm_id"]] = r["size"], r["k"], r["cap"]
+        if tiered and r["tier"] is not None:
+            w.tier[r["firm_id"]] = r["tier"]
     own, sold = defaultdict(set), defaultdict(set)
     for r in capabilities.select("firm_id", "product").toLocalIterator():
         own[r[0]].add(r[1])
@@ -96,7 +113,9 @@ class Search:
 class Run:
     """One cascade. Odd ticks: shocks reach customers, who look for others; even ticks: answers, failures, removals."""
 
-    def __init__(self, world: World, run_id: int, seeds: list[int], rule: str, parallel: int = 3, margin: float = 0.1):
+    def __init__(self, world: World, run_id: int, seeds: list[int], rule: str, parallel: int = 3, margin: float = 0.1, normal: tuple[float, float, float] | None = None):
+        """normal: deviation and bounds of the draw of a removal's probability; without it the draw is uniform within the margin."""
+        self.normal = normal
         self.w, self.id, self.rule, self.parallel, self.margin = world, run_id, rule, parallel, margin
         self.alive = set(world.size)
         self.out: dict[int, dict[int, dict]] = defaultdict(dict)
@@ -113,6 +132,11 @@ class Run:
         self.disrupted: dict[int, int] = {}
         self.origins: dict[int, list[int]] = defaultdict(list)
         self.removed: dict[int, int] = {}
+        self.disruption_time: dict[int, int] = {}
+        self.affected: set[int] = set()
+        self.removed_edges = 0
+        self.suppliers = {f: len(self.into[f]) for f in self.alive}
+        self.customers = {f: len(self.out[f]) for f in self.alive}
         self.struck = [s for s in sorted(set(seeds)) if s in self.alive]
         self.seeds, self.tick = list(self.struck), 0
         sizes = [math.log(max(1, x)) for x in world.size.values()] or [0.0]
@@ -171,6 +195,7 @@ class Run:
                     self.free[s] = self.free.get(s, 0) + sum(self.out[s][n].values())
             for c in sorted(self.out[n]):
                 if c in self.alive and c not in struck:
+                    self.affected.add(c)
                     self._open(c, n, pools)
         gone = struck | (set(self.w.size) - self.alive)
         for c in sorted(self.searches):
@@ -191,9 +216,11 @@ class Run:
         for n in self.struck:
             self.alive.discard(n)
             self.removed[n] = self.tick
-            for s in self.into.pop(n, set()):
+            suppliers, customers = self.into.pop(n, set()), self.out.pop(n, {})
+            self.removed_edges += len(suppliers) + len(customers)
+            for s in suppliers:
                 self.out[s].pop(n, None)
-            for c in self.out.pop(n, {}):
+            for c in customers:
                 self.into[c].discard(n)
             self.searches.pop(n, None)
             self.disrupted.pop(n, None)
@@ -225,6 +252,7 @@ class Run:
                     (failed if s.trials >= s.limit or not s.options else still).append(s)
             if failed:
                 self.disrupted.setdefault(c, self.tick)
+                self.disruption_time.setdefault(c, self.tick)
                 self.origins[c] += [s.lost for s in failed]
             self.searches[c] = still
         self.searches = {c: s for c, s in self.searches.items() if s}
@@ -237,14 +265,42 @@ class Run:
         if lost <= 0:
             return 0.0
         p = 1 - (math.log(max(1, self.w.size[f])) - self.low + 1) / (self.high - self.low + 1) * (1 - lost)
+        if self.normal:
+            sigma, low, high = self.normal
+            law = NormalDist(p, sigma)
+            a, b = law.cdf(low), law.cdf(high)
+            u = min(max(a + self._u("margin", f) * (b - a), 1e-300), 1 - 1e-16)
+            return min(max(law.inv_cdf(u), low), high)
         a, b = max(p - self.margin, 0.0), min(p + self.margin, 1.0)
         return a + self._u("margin", f) * (b - a)
 
+    def _components(self) -> tuple[int, int]:
+        """Firms without links, and weak components (a firm without links is one)."""
+        root = {f: f for f in self.alive}
+
+        def top(f: int) -> int:
+            while root[f] != f:
+                root[f] = root[root[f]]
+                f = root[f]
+            return f
+
+        for s in self.alive:
+            for c in self.out[s]:
+                root[top(s)] = top(c)
+        return sum(not self.out[f] and not self.into[f] for f in self.alive), sum(root[f] == f for f in root)
+
+    def _sides(self, firms) -> list[int]:
+        a, b = sum(self.suppliers[f] for f in firms), sum(self.customers[f] for f in firms)
+        x, y = sum(self.first_in[f] for f in firms), sum(self.first_out[f] for f in firms)
+        return [a, b, a + b, x, y, x + y]
+
     def note(self) -> None:
         edges = sum(len(self.out[s]) for s in self.alive)
         volume = sum(self._volume_out(s) for s in self.alive)
         free = sum(self.free.get(f, 0) for f in self.alive)
-        self.series.append((self.id, self.tick // 2, len(self.alive), edges, len(self.searches), sum(map(len, self.searches.values())), len(self.disrupted), len(self.removed), free, volume, free + volume, self.violations()))
+        searches = [s for mine in self.searches.values() for s in mine]
+        state = [len(self.alive), edges, len(self.searches), len(searches), sum(s.amount for s in searches), len(self.affected), len(self.removed), self.removed_edges]
+        self.series.append((self.id, self.tick // 2, *state, *self._sides(self.removed), len(self.disrupted), *self._sides(self.disrupted), *self._components(), free, volume, free + volume, self.violations()))
 
     def violations(self) -> int:
         """Firms with negative capacity, or whose volume and capacity don't add up to the first ones."""
@@ -274,22 +330,55 @@ class Run:
         return self
 
     def firms(self) -> list[tuple]:
-        rows = [(self.id, f, "seed", self.w.size[f], self.removed.get(f), []) for f in self.seeds]
-        rows += [(self.id, f, "removed", self.w.size[f], t, self.origins[f]) for f, t in sorted(self.removed.items()) if f not in self.seeds]
-        return rows + [(self.id, f, "disrupted", self.w.size[f], t, self.origins[f]) for f, t in sorted(self.disrupted.items())]
+        """Records of the seeds, of all removed firms (seeds included) and of those disrupted at the end."""
+
+        def record(f: int, kind: str) -> tuple:
+            w = self.w
+            return (self.id, f, kind, w.size[f], w.tier.get(f), float(w.k.get(f, 1.0)), w.cap.get(f, 0), self.disruption_time.get(f), self.removed.get(f), list(self.origins[f]))
+
+        return [*[record(f, "seed") for f in self.seeds], *[record(f, "removed") for f in sorted(self.removed)], *[record(f, "disrupted") for f in sorted(self.disrupted)]]
 
 
 def simulate(configs: DataFrame, world: World, what: str = "series") -> DataFrame:
-    """One row a run and week (series), or a run and firm (firms). configs has the columns of CONFIG."""
+    """One row a run and week (series), or a run and firm (firms). configs has the columns of CONFIG, and of OPTIONS if need be.
+
+    A run that fails doesn't stop the others: its only row holds its error.
+    """
     spark = configs.sparkSession
     shared, schema = spark.sparkContext.broadcast(world), SERIES if what == "series" else FIRMS
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def one(c) -> list[tuple]:
+        try:
+            sigma = getattr(c, "sigma", None)
+            normal = None if sigma is None or sigma != sigma else (float(sigma), float(c.lb), float(c.ub))
+            run = Run(shared.value, c.run_id, [int(s) for s in c.seeds], c.rule, int(c.parallel), float(c.margin), normal).go(int(c.until))
+            return [(*x, None) for x in (run.series if what == "series" else run.firms())]
+        except Exception as e:  # noqa: BLE001  the run's record says what went wrong
+            return [(c.run_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
+
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for c in part.itertuples():
-                run = Run(shared.value, c.run_id, [int(s) for s in c.seeds], c.rule, c.parallel, c.margin).go(c.until)
-                yield pd.DataFrame(run.series if what == "series" else run.firms(), columns=names)
+                yield pd.DataFrame(one(c), columns=names, dtype=object)
 
     tasks = max(1, min(configs.count(), 4 * spark.sparkContext.defaultParallelism))
     return configs.repartition(tasks, "run_id").mapInPandas(fold, schema)
+
+
+def with_differences(series: DataFrame) -> DataFrame:
+    """series with diff_<metric>: each week's change, the first week's value itself."""
+    by = Window.partitionBy("run_id").orderBy("week")
+    return series.select("*", *[(F.col(m) - F.coalesce(F.lag(m).over(by), F.lit(0))).alias(f"diff_{m}") for m in METRICS])
+
+
+def records(configs: DataFrame, series: DataFrame, firms: DataFrame) -> DataFrame:
+    """One row a run, in the shape of the run files that sources.tables reads: arrays of the series and of their changes,
+    the seeds', removed and disrupted firms' records, and the seeds' sums; or the run's error."""
+    metrics = [*METRICS, *[f"diff_{m}" for m in METRICS]]
+    weekly = with_differences(series.where("error IS NULL")).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("week", *metrics))).alias("w"))
+    kept = firms.where("error IS NULL").select("run_id", "kind", F.struct(F.col("firm_id").alias("id"), "size", "tier", "k", "request_cap", "disruption_time", "removal_time", F.col("origins").alias("disruption_origin")).alias("r"))
+    lists = kept.groupBy("run_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("r")))).alias(name) for kind, name in (("seed", "seeds"), ("removed", "removed"), ("disrupted", "disrupted"))])
+    failed = series.where("error IS NOT NULL").groupBy("run_id").agg(F.min("error").alias("error"))
+    out = configs.select("run_id", "rule", F.size("seeds").alias("num_seeds")).join(weekly, "run_id", "left").join(lists, "run_id", "left").join(failed, "run_id", "left")
+    return out.select(F.col("run_id").alias("task_id"), "rule", "num_seeds", *[F.col("w").getField(m).cast("array<double>").alias(m) for m in metrics], "seeds", "removed", "disrupted", "error")

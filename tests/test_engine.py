@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -116,6 +117,49 @@ def test_runs_don_t_depend_on_partitioning(spark):
     assert one == two and len(one) == 6 * 6
 
 
+def test_series_say_what_happened():
+    run = simulate.Run(world(cap=dict.fromkeys(range(1, 6), 0)), 1, [1], "specific", margin=0.0).go(12)
+    first, last = (dict(zip(simulate.METRICS, run.series[i][2:])) for i in (0, -1))
+    assert len(simulate.METRICS) == 26
+    # 1 -> 2 -> 4 with volumes 2 and 1; 3 and 5 have no links.
+    assert (first["num_nodes"], first["num_edges"], first["num_isolates"], first["num_components"], first["edge_cap"], first["num_removed"]) == (5, 2, 2, 3, 3, 0)
+    gone = run.removed
+    assert last["num_removed"] == len(gone) and last["num_nodes"] == 5 - len(gone) and last["num_affected"] == len(gone & {1: 0, 2: 0}.keys())
+    assert last["out_degree_removed"] == (1 in gone) + (2 in gone) and last["in_degree_removed"] == (2 in gone) + (4 in gone)
+    assert last["w_degree_removed"] == last["w_in_degree_removed"] + last["w_out_degree_removed"] and last["w_out_degree_removed"] == 2 * (1 in gone) + (2 in gone)
+    assert last["num_removed_edges"] == (1 in gone) + (2 in gone) and last["num_components"] == last["num_nodes"] - last["num_edges"]
+
+
+def test_removal_by_a_truncated_normal():
+    run = simulate.Run(world(), 1, [1], "specific", normal=(0.1, 0.2, 0.6))
+    run.first_in[2], run.into[2] = 2, set()
+    draws = []
+    for t in range(400):
+        run.tick = t
+        draws.append(run.fall(2))
+    p = 1.0  # all of the supply is lost
+    law = NormalDist(p, 0.1)
+    a, b = law.cdf(0.2), law.cdf(0.6)
+    want = np.mean([law.inv_cdf(a + (i + 0.5) / 4000 * (b - a)) for i in range(4000)])
+    assert 0.2 <= min(draws) and max(draws) <= 0.6 and abs(np.mean(draws) - want) < 0.01
+    run.into[2] = {1}
+    assert run.fall(2) == 0.0
+
+
+def test_a_failed_run_leaves_its_error_and_records_read_back(spark, tmp_path):
+    rows = [(1, [1], "specific", 10, 3, 0.1), (2, [1], "specific", None, 3, 0.1)]
+    configs = spark.createDataFrame(rows, simulate.CONFIG)
+    series, firms = (simulate.simulate(configs, world(), what) for what in ("series", "firms"))
+    assert {r.run_id: r.n for r in series.where("error IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {2: 1}
+    assert series.where("error IS NULL AND run_id = 1").count() == 6
+    simulate.records(configs, series, firms).write.json(str(tmp_path / "runs"))
+    back = {r.task_id: r for r in spark.read.schema(tables.RUNS).json(str(tmp_path / "runs")).collect()}
+    assert back[2].error and back[2].num_removed is None and back[1].error is None
+    assert back[1].num_removed[0] == 0 and back[1].num_removed[-1] == 1 and [x.id for x in back[1].seeds] == [1]
+    week = simulate.with_differences(series.where("run_id = 1")).orderBy("week").collect()
+    assert [r.diff_num_nodes for r in week][0] == 5 and sum(r.diff_num_nodes for r in week) == week[-1].num_nodes
+
+
 def test_imputed_products_stay_in_the_portfolio(spark):
     relations = spark.createDataFrame([(1, 2, 3, False), (1, 3, 1, True), (4, 2, 1, False)], "src long, dst long, weight long, annotated boolean")
     capabilities = spark.createDataFrame([(1, p) for p in range(5)] + [(4, 9)], "firm_id long, product long")
