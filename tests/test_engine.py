@@ -225,3 +225,15 @@ def test_runs_know_all_products(spark):
     for product in (7, 777, max(products)):
         want = sorted((p, s) for a, b, s in pairs if a == product % size for p in products if p % size == b)
         assert want and simulate.alternatives(w, product) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_command_line_writes_records(spark, tmp_path):
+    from rippleflow import run
+
+    rows = [{"run_id": i, "seeds": [5 * (i + 1)], "rule": rule, "until": 8, "parallel": 2, "margin": 0.1} for i, rule in enumerate(("overlap", "specific", "hybrid"))]
+    rows.append({"run_id": 9, "seeds": [5], "rule": "overlap", "until": None, "parallel": 2, "margin": 0.1})
+    (tmp_path / "configs.json").write_text(json.dumps([*rows, {"run_id": 50, "seeds": [5], "rule": "overlap", "until": 8, "parallel": 1, "margin": 0.1}]))
+    assert run.run(spark, "/root/testdata/sf0.001", str(tmp_path / "configs.json"), str(tmp_path / "out"), last=20) == 1
+    back = {r.task_id: r for r in tables.run_records(spark, str(tmp_path / "out")).collect()}
+    assert set(back) == {0, 1, 2, 9} and back[9].error and all(len(back[i].num_removed) == 5 for i in range(3))
