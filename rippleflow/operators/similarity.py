@@ -34,3 +34,33 @@ def all_pairs(vectors: DataFrame, floor: float, key: str = "vec_id", vector: str
         return pa.table({"a": a, "b": b, "score": s})
 
     return dealt.groupBy("x", "y").applyInArrow(multiply, "a bigint, b bigint, score double")
+
+
+def best_match(left: DataFrame, right: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """a, b, score: for every vector of left the most similar one of right (6 digits; of equal scores the least key).
+
+    Each block pair's task gives one row a vector of its left block, so what is shuffled grows with left times the
+    number of right blocks, not with the pairs.
+    """
+    sides = []
+    for side, df in enumerate((left, right)):
+        blocks = max(1, -(-df.count() // block))
+        sides.append((df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(side).alias("side")), blocks))
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    (a, na), (b, nb) = sides
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = a.select("id", "v", "side", mine(na).alias("x"), every(nb).alias("y")).union(b.select("id", "v", "side", every(na).alias("x"), mine(nb).alias("y")).select("id", "v", "side", "x", "y"))
+
+    def best(part: pa.Table) -> pa.Table:
+        ids, side = part.column("id").to_numpy(), part.column("side").to_numpy()
+        v = np.stack(part.column("v").to_numpy())
+        rows, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        others = others[np.argsort(ids[others], kind="stable")]
+        if not len(rows) or not len(others):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        score = np.round(v[rows] @ v[others].T, 6)
+        at = score.argmax(axis=1)
+        return pa.table({"a": ids[rows], "b": ids[others][at], "score": score[np.arange(len(rows)), at]})
+
+    found = dealt.groupBy("x", "y").applyInArrow(best, "a bigint, b bigint, score double")
+    return found.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("n"))).alias("m")).select("a", (-F.col("m.n")).alias("b"), F.col("m.score").alias("score"))

@@ -207,8 +207,9 @@ def tau_sweep(n: Network) -> DataFrame:
 
 
 def top_edge_product(n: Network) -> DataFrame:
-    pairs = similarity.all_pairs(n["embeddings"], -1.1).where("a % 2 = 0 and b % 2 = 1")
-    return pairs.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("n"))).alias("m")).select("a", (-F.col("m.n")).alias("b"), F.col("m.score").alias("score"))
+    """Vectors with even ids stand for products on edges, the others for the vocabulary."""
+    v = n["embeddings"]
+    return similarity.best_match(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"))
 
 
 QUERIES: dict[str, Callable[[Network], DataFrame]] = {

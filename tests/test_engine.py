@@ -77,6 +77,16 @@ def test_similarity_in_blocks_equals_one_product(spark):
     assert got == {(i, j): dot[i, j] for i, j in zip(*np.nonzero(dot > 0.4))}
 
 
+def test_best_match_in_blocks_equals_one_product(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(70, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(70, v[1].tolist())], "vec_id long, embedding array<double>")
+    got = {r.a: (r.b, r.score) for r in similarity.best_match(df.where("vec_id < 40"), df.where("vec_id >= 30"), block=9).collect()}
+    dot = np.round(v[:40] @ np.concatenate([v[30:], v[1:2]]).T, 6)
+    assert got == {i: (30 + int(dot[i].argmax()), dot[i].max()) for i in range(40)}
+
+
 def world(**change):
     w = simulate.World()
     w.size = {1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
