@@ -121,8 +121,8 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """Per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """Per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard; texts go through both exchanges."""
+    to, slot = free_name(docs.columns, "shard"), free_name(docs.columns, "slot")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shard(rows, shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + F.lit(8)).cast("long")
+    return shard(docs, shards).select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), F.col(to).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -55,3 +55,10 @@ def test_odd_rows_and_clashing_names(spark):
     got = sharding.shard(clash, 4)
     assert got.columns == [*clash.columns, "_shard", "slot"] and got.count() == len(rows)
     assert sharding.digest(empty(spark)).count() == 0
+
+
+def test_the_query_tells_where_the_operator_puts_whole_documents(spark):
+    docs = documents(spark, [(i, f"text {i % 7}", None, "s", None) for i in range(200)])
+    of = lambda df: sorted(map(tuple, df.select("doc_id", "shard", "slot").collect()))
+    assert of(sharding.digest(docs)) == of(sharding.shard(docs, 24))
+    assert sharding.digest(docs.withColumnRenamed("lang", "shard")).where("shard is null").count() == 0
