@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut
+from ..operators.order import before, numbered
+
 
 def logistic(rows: DataFrame, features: list[str], successes: str, trials: str, rounds: int = 25, tolerance: float = 1e-9) -> list[float]:
     """Weights (constant first) of a binomial logistic model, by Newton steps: one aggregate over all rows each."""
@@ -30,12 +33,51 @@ def logistic(rows: DataFrame, features: list[str], successes: str, trials: str,
     return w.tolist()
 
 
+def logistic_fits(rows: DataFrame, features: list[str], successes: str, trials: str, fold: str, fits: list[tuple[list[str], int | None]], rounds: int = 25, tolerance: float = 1e-9) -> list[list[float]]:
+    """Weights (constant, then all features, 0 where unused) of many binomial logistic models at once.
+
+    A fit is the features that it uses and the fold that it leaves out (None: no fold). A Newton step of all fits is one
+    aggregate: every row meets the fits as an array of a few literals, and the driver gets a row a fit.
+    """
+    d, xs = len(features) + 1, [F.lit(1.0), *map(F.col, features)]
+    used = [[0, *(1 + features.index(f) for f in names)] for names, _ in fits]
+    w, open_ = np.zeros((len(fits), d)), set(range(len(fits)))
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = [F.struct(F.lit(i).alias("id"), F.lit(-1 if fits[i][1] is None else fits[i][1]).alias("out"), F.array(*[F.lit(float(v)) for v in w[i]]).alias("w")) for i in sorted(open_)]
+        met = rows.withColumn("fit", F.explode(F.array(*now))).where(F.col("fit.out") != F.col(fold))
+        eta = sum((x * F.col("fit.w")[j] for j, x in enumerate(xs)), F.lit(0.0))
+        met = met.withColumn("p", 1 / (1 + F.exp(-eta)))
+        slope = [F.sum(x * (F.col(successes) - F.col(trials) * F.col("p"))).alias(f"g{i}") for i, x in enumerate(xs)]
+        curve = [F.sum(x * y * F.col(trials) * F.col("p") * (1 - F.col("p"))).alias(f"h{i}_{j}") for i, x in enumerate(xs) for j, y in enumerate(xs) if j >= i]
+        got = {r["id"]: r for r in met.groupBy("fit.id").agg(*slope, *curve).collect()}
+        for i in sorted(open_):
+            r, u = got.get(i), used[i]
+            if r is None:
+                open_.discard(i)
+                continue
+            g = np.array([r[f"g{a}"] for a in u])
+            h = np.array([[r[f"h{min(a, b)}_{max(a, b)}"] for b in u] for a in u])
+            step = np.linalg.solve(h + 1e-9 * np.eye(len(u)), g)
+            w[i, u] += step
+            if np.abs(step).max() < tolerance:
+                open_.discard(i)
+    return w.tolist()
+
+
+def auc_by(rows: DataFrame, score: str, successes: str, trials: str, groups: list[str]) -> DataFrame:
+    """groups (few), auc: weighted area under the curve, ties half: an aggregate by score, then a sum over lower scores."""
+    by = rows.groupBy(*groups, F.col(score).alias("s")).agg(F.sum(successes).alias("p"), F.sum(F.col(trials) - F.col(successes)).alias("q"))
+    lower = before(by, ["s"], F.col("q"), "below", tuple(groups))
+    area = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.when((F.sum("p") > 0) & (F.sum("q") > 0), F.sum("p") * F.sum("q"))
+    return lower.groupBy(*groups).agg(area.alias("auc"))
+
+
 def auc(rows: DataFrame, score: str, successes: str, trials: str) -> float:
-    """Weighted area under the curve, ties half: an aggregate by score, then a running sum."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(successes).alias("p"), F.sum(F.col(trials) - F.col(successes)).alias("q"))
-    below = F.sum("q").over(Window.orderBy("s")) - F.col("q") / 2
-    r = by.withColumn("b", below).agg(F.sum(F.col("p") * F.col("b")).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
-    return float(r["a"] / (r["p"] * r["q"])) if r["p"] and r["q"] else math.nan
+    """Weighted area under the curve of all rows."""
+    r = auc_by(rows.withColumn("group", F.lit(0)), score, successes, trials, ["group"]).first()
+    return math.nan if r is None or r["auc"] is None else float(r["auc"])
 
 
 def correlation_p_value(r: float, n: int) -> float:
@@ -67,7 +109,8 @@ def _beta(x: float, a: float, b: float) -> float:
 
 def bootstrap_interval(rows: DataFrame, value: str, resamples: int, uniform, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """low, high: percentile interval of the mean; draw b, i takes the row at floor(u(b, i) n) of the sorted values."""
-    x = rows.select(F.col(value).alias("y"), (F.row_number().over(Window.orderBy(value)) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    size = rows.agg(F.count("*").alias("n"))  # one row
+    x = cut(numbered(rows.select(F.col(value).alias("y")), ["y"], "i").crossJoin(F.broadcast(size))).select("y", "i", "n")
     b = rows.sparkSession.range(resamples).select(F.col("id").alias("b"))
     j = F.floor(uniform([F.lit("boot"), F.col("b"), F.col("i")]) * F.col("n"))
     means = x.select("i", "n").crossJoin(F.broadcast(b)).select("b", j.alias("i")).join(x.select("i", "y"), "i").groupBy("b").agg(F.avg("y").alias("m"))

@@ -13,7 +13,7 @@ from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
 from ..sources.adapter import Network
-from . import graphs, scenario, simulate, ticks
+from . import graphs, links, scenario, simulate, ticks
 
 SEED = "340282366920938463463374607431768211455"  # seeds are wider than 64 bits, so they stay strings
 
@@ -133,17 +133,28 @@ def gamma_by_folds(n: Network) -> DataFrame:
     return best.join(ks.where("side = 'test'"), ["part", "gamma"], "left").select(F.col("part").alias("fold"), "gamma", F.round("ks", 6).alias("ks"))
 
 
+def _like_pools(n: Network) -> DataFrame:
+    """product, pool: the firms that offer a product or one like it."""
+    size = n["sizes"].first()[0]
+    offers = cut(n["capabilities"].select("firm_id", F.pmod("product", F.lit(size)).alias("b")).distinct())
+    like = n["alike"].where("score > 0.3").select("a", "b")
+    like = like.union(offers.select(F.col("b").alias("a"), "b").distinct().join(like.select("a").distinct(), "a", "left_anti"))
+    pool = like.join(offers, "b").select("a", "firm_id").distinct().groupBy("a").agg(F.count("*").alias("pool"))
+    return n["products"].select("product", F.pmod("product", F.lit(size)).alias("a")).join(pool, "a").select("product", "pool")
+
+
+def exposed_links(n: Network, exposures: int = 20) -> DataFrame:
+    """Links with features and k of n exposures passed on. The test tables hold no runs on their network: a customer
+    follows with a chance that grows with its dependence and falls with the pool."""
+    edges = cut(n["relations"].select("src", "dst", "weight", "annotated"))
+    found = cut(links.link_features(edges, n["edge_products"], n["capabilities"], _like_pools(n)))
+    chance = 1 / (1 + F.exp(1.0 - 2 * F.col("dependence") + 0.1 * F.col("log_pool")))
+    hits = F.aggregate(F.sequence(F.lit(1), F.lit(exposures)), F.lit(0), lambda s, t: s + (u01([F.lit("exposure"), F.col("src"), F.col("dst"), t]) < F.col("chance")).cast("int"))
+    return found.withColumn("chance", chance).withColumn("k", hits).withColumn("n", F.lit(exposures)).drop("chance")
+
+
 def link_models(n: Network) -> DataFrame:
-    """Fit of the models with no feature, one and both: area under the curve on the rows that they were fitted on."""
-    d = n["degrees"].select("firm_id", F.log1p("degree").alias("x"))
-    of = lambda c, name: d.select(F.col("firm_id").alias(c), F.col("x").alias(name))
-    rows = cut(n["relations"].join(of("src", "x1"), "src").join(of("dst", "x2"), "dst").select("x1", "x2", (F.col("weight") > 1).cast("double").alias("k"), F.lit(1.0).alias("n")))
-    out = []
-    for name, used in (("constant", []), ("supplier", ["x1"]), ("customer", ["x2"]), ("full", ["x1", "x2"])):
-        w = statistics.logistic(rows, used, "k", "n")
-        score = sum((F.col(c) * v for c, v in zip(used, w[1:], strict=True)), F.lit(w[0]))
-        out.append((name, round(statistics.auc(rows.withColumn("score", score), "score", "k", "n"), 6)))
-    return n.spark.createDataFrame(out, "model string, auc double")
+    return links.link_models(exposed_links(n)).select("kind", "model", "term", F.round("value", 6).alias("value"))
 
 
 QUERIES: dict[str, Callable[[Network], DataFrame]] = {

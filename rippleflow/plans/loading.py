@@ -5,25 +5,25 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import normal_quantile, truncated_normal, u01
 from ..operators.iterate import cut
+from ..operators.order import numbered
 from ..sources.adapter import Network
 from . import network, scenario, ticks
 
 
 def table_set(n: Network) -> dict[str, DataFrame]:
     """The domain tables in the shape that the readers give. Firms in debt report no capabilities, so that some are pruned."""
-    numbered = n["relations"].select("src", "dst", "annotated", F.row_number().over(Window.orderBy("src", "dst")).cast("long").alias("relation_id"))
-    numbered = cut(numbered)
-    details = n["details"].join(numbered.where("annotated"), ["src", "dst"]).select("relation_id", F.col("product").cast("string").alias("product_name"), F.col("model").alias("model_name"), "model_year")
+    relations = cut(numbered(n["relations"].select("src", "dst", "annotated"), ["src", "dst"], "relation_id"))
+    details = n["details"].join(relations.where("annotated"), ["src", "dst"]).select("relation_id", F.col("product").cast("string").alias("product_name"), F.col("model").alias("model_name"), "model_year")
     products = n["products"]
     can = n["capabilities"].join(n["firms"].where("capital >= 0").select("firm_id"), "firm_id").join(products.select("product", "special"), "product")
     return {
         "Firms": n["firms"].select(F.col("firm_id").cast("long").alias("firm_id"), "nation_id", "is_oem"),
-        "SupplyRelations": numbered.select("relation_id", F.col("src").alias("source_firm_id"), F.col("dst").cast("long").alias("target_firm_id")),
+        "SupplyRelations": relations.select("relation_id", F.col("src").alias("source_firm_id"), F.col("dst").cast("long").alias("target_firm_id")),
         "SupplyRelationDetails": details,
         "Products": products.where("NOT special").select(F.col("product").alias("product_id"), F.col("product").cast("string").alias("product_name")),
         "SpecialProducts": products.where("special").select(F.col("product").alias("special_product_id"), F.concat(F.lit("s"), F.col("product").cast("string")).alias("special_product_name")),

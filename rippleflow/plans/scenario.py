@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import normal_quantile, race, truncated_normal, u01
+from ..operators.order import numbered
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ def _draw(seed: Column, purpose: str, *keys: Column) -> Column:
 def kde_resample(values: DataFrame, targets: DataFrame, value: str, keys: list[str], seed: Column, purpose: str) -> DataFrame:
     """targets with x: a value of the sample drawn evenly, plus a normal step of Scott's bandwidth."""
     stats = values.agg(F.count("*").alias("n"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
-    ranked = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("i"))
+    ranked = numbered(values.select(F.col(value).alias("v")), ["v"], "i")
     at = F.floor(_draw(seed, purpose, *map(F.col, keys)) * F.col("n"))
     step = normal_quantile(_draw(seed, purpose + "-step", *map(F.col, keys)))
     drawn = targets.crossJoin(F.broadcast(stats)).withColumn("i", at).join(ranked, "i", "left")  # stats is one row
@@ -91,8 +92,12 @@ def node_scenario(degrees: DataFrame, seed: str, k_sigma: float = 0.5, capacity:
 
 def thirds(degrees: DataFrame, seed: str, mu: tuple = (2.0, 4.0, 6.0), sigma: tuple = (0.5, 1.0, 2.0)) -> DataFrame:
     """firm_id, cap: firms by size in three equal groups, each with its own truncated normal."""
-    s, third = F.lit(seed), F.ntile(3).over(Window.orderBy("degree", "firm_id"))
+    s, size = F.lit(seed), degrees.agg(F.count("*").alias("n"))  # one row
+    short, over = F.floor(F.col("n") / 3), F.pmod("n", F.lit(3))  # the first thirds have a firm more where three don't divide
+    long = (short + 1) * over
+    third = 1 + F.when(F.col("i") < long, F.floor(F.col("i") / (short + 1))).otherwise(over + F.floor((F.col("i") - long) / F.greatest(short, F.lit(1))))
+    placed = numbered(degrees, ["degree", "firm_id"], "i").crossJoin(F.broadcast(size))
     u = _draw(s, "third", F.col("firm_id"))
     drawn = [truncated_normal(u, m, d, 0.0, 1e6) for m, d in zip(mu, sigma, strict=True)]
     cap = F.bround(F.when(F.col("third") == 1, drawn[0]).when(F.col("third") == 2, drawn[1]).otherwise(drawn[2])).cast("long")
-    return degrees.withColumn("third", third).select("firm_id", F.col("third").cast("long").alias("third"), cap.alias("cap"))
+    return placed.withColumn("third", third).select("firm_id", F.col("third").cast("long").alias("third"), cap.alias("cap"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from rippleflow.functions import random as rnd
 from rippleflow.functions import statistics
-from rippleflow.operators import similarity
-from rippleflow.plans import campaign, scenario, simulate
+from rippleflow.operators import order, similarity
+from rippleflow.plans import campaign, links, scenario, simulate
 from rippleflow.sources import adapter, sinks, tables
 from rippleflow.streaming import runs as stream
 
@@ -247,3 +247,55 @@ def test_command_line_writes_records(spark, tmp_path):
     assert run.run(spark, "/root/testdata/sf0.001", str(tmp_path / "configs.json"), str(tmp_path / "out"), last=20) == 1
     back = {r.task_id: r for r in tables.run_records(spark, str(tmp_path / "out")).collect()}
     assert set(back) == {0, 1, 2, 9} and back[9].error and all(len(back[i].num_removed) == 5 for i in range(3))
+
+
+def test_places_and_running_sums_equal_one_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([1, 1, 1, 2, rng.randrange(1000)]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, x int, id int").repartition(5)
+    got = order.numbered(df, ["x", "id"], "i").collect()
+    want = {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: r[1:]))}
+    assert {r.id: r.i for r in got} == want
+    assert sorted(r.i for r in order.numbered(df, ["x"], "i").collect()) == list(range(2000))
+    sums = {r.id: r.s for r in order.before(df, ["x", "id"], F.col("x").cast("long"), "s", ("g",)).collect()}
+    assert sums == {i: sum(x for h, x, j in rows if h == g and (x, j) < (y, i)) for g, y, i in rows}
+    assert order.numbered(df.limit(0), ["x"], "i").count() == 0
+
+
+def test_thirds_equal_ntile(spark):
+    for n in (1, 2, 3, 7, 11):
+        df = spark.createDataFrame([(i, i * 7 % 5) for i in range(n)], "firm_id int, degree int")
+        want = {r.firm_id: r.t for r in df.selectExpr("firm_id", "ntile(3) OVER (ORDER BY degree, firm_id) AS t").collect()}
+        assert {r.firm_id: r.third for r in scenario.thirds(df, "1").collect()} == want
+
+
+def test_link_features_by_hand(spark):
+    edges = spark.createDataFrame([(1, 9, 3, True), (2, 9, 1, False), (1, 8, 5, True), (3, 8, 1, False)], "src long, dst long, weight long, annotated boolean")
+    sold = spark.createDataFrame([(1, 9, 10), (1, 9, 11), (1, 8, 11)], "src long, dst long, product long")
+    can = spark.createDataFrame([(1, 10), (2, 10), (2, 11)], "firm_id long, product long")
+    pools = spark.createDataFrame([(10, 4), (11, 2)], "product long, pool long")
+    got = {(r.src, r.dst): (r.log_pool, r.dependence, r.log_customer_degree) for r in links.link_features(edges, sold, can, pools).collect()}
+    ln = math.log
+    assert set(got) == {(1, 9), (2, 9), (1, 8)}  # firm 3 has neither products nor a pool
+    assert got[1, 9] == pytest.approx((ln(2), 3 / 7, ln(2))) and got[2, 9] == pytest.approx(((ln(4) + ln(2)) / 2, 4 / 7, ln(2)))
+    assert got[1, 8] == pytest.approx((ln(2), 5 / 9, ln(2)))
+
+
+def test_link_models_find_what_passes_disruptions_on(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        pool, dependence, degree = rng.gauss(2, 1), rng.random(), rng.gauss(1, 0.5)
+        p = 1 / (1 + math.exp(1 + 0.8 * (pool - 2) - 2 * dependence))
+        rows.append((i % 300, i, pool, dependence, degree, sum(rng.random() < p for _ in range(10)), 10))
+    df = spark.createDataFrame(rows, "src long, dst long, log_pool double, dependence double, log_customer_degree double, k int, n int")
+    got = {(r.kind, r.model, r.term): r.value for r in links.link_models(df).collect()}
+    assert got["coefficient", "full", "log_pool"] == pytest.approx(-0.8, abs=0.06)
+    assert got["coefficient", "full", "dependence"] == pytest.approx(2 * 12**-0.5, abs=0.06)
+    assert abs(got["coefficient", "full", "log_customer_degree"]) < 0.06
+    assert got["auc_cv", "constant", ""] == 0.5 and abs(got["auc_cv", "topology", ""] - 0.5) < 0.03
+    assert got["auc_cv", "full", ""] > got["auc_cv", "volume", ""] + 0.05 > 0.6
+    low = sorted(rows, key=lambda r: r[2])
+    assert got["rate", "", "log_pool 0"] == pytest.approx(sum(r[5] for r in low[:750]) / 7500, abs=2e-3)
+    assert got["auc", "", "log_pool"] < 0.45
+    assert links.link_models(df.limit(0)).count() == 0
