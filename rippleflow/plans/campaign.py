@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statistics
@@ -13,7 +13,7 @@ from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
 from ..sources.adapter import Network
-from . import graphs, links, scenario, simulate, ticks
+from . import graphs, imputation, links, scenario, simulate, ticks
 
 SEED = "340282366920938463463374607431768211455"  # seeds are wider than 64 bits, so they stay strings
 
@@ -97,40 +97,20 @@ def grouped_folds(n: Network) -> DataFrame:
     return n.spark.createDataFrame(out, "fold int, auc double")
 
 
+def _holdout(n: Network) -> imputation.Holdout:
+    size = n["sizes"].first()[0]
+    classes = n["products"].select("product", F.pmod("product", F.lit(size)).alias("a"))
+    like = cut(n["alike"].where("score > 0.3").select("a", "b"))
+    return imputation.holdout(n["edge_products"], n["capabilities"], classes, like)
+
+
 def imputation_holdout(n: Network) -> DataFrame:
-    """Recall of imputed products on annotated edges, by gamma: draws of as many products as were observed."""
-    observed = n["edge_products"].select("src", "dst", "product")
-    size = observed.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    gammas = n.spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "gamma double")
-    options = size.join(n["capabilities"].withColumnRenamed("firm_id", "src"), "src").join(_pools(n), "product").crossJoin(F.broadcast(gammas))
-    u = u01([F.lit("holdout"), F.col("src"), F.col("dst"), F.col("product"), F.col("gamma")])
-    place = F.row_number().over(Window.partitionBy("gamma", "src", "dst").orderBy(-F.log(u) / F.pow(F.col("pool") + 1.0, F.col("gamma")), "product"))
-    drawn = options.withColumn("place", place).where("place <= k")
-    hit = drawn.join(observed.withColumn("hit", F.lit(1)), ["src", "dst", "product"], "left")
-    return hit.groupBy("gamma").agg(F.count("*").alias("drawn"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.expr("percentile(pool, 0.5)").alias("median_pool"))
+    out = imputation.report(_holdout(n))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 def gamma_by_folds(n: Network) -> DataFrame:
-    """Per fold of annotated edges the gamma whose drawn pools are nearest to the observed ones (KS distance) on the
-    other folds, and its distance on the fold."""
-    pools, observed = cut(_pools(n)), n["edge_products"].select("src", "dst", "product")
-    fold = lambda: F.floor(u01([F.lit("cv"), F.col("src"), F.col("dst")]) * 5)
-    size = observed.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    gammas = n.spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "gamma double")
-    options = size.join(n["capabilities"].withColumnRenamed("firm_id", "src"), "src").join(pools, "product").crossJoin(F.broadcast(gammas))
-    u = u01([F.lit("holdout"), F.col("src"), F.col("dst"), F.col("product"), F.col("gamma")])
-    place = F.row_number().over(Window.partitionBy("gamma", "src", "dst").orderBy(-F.log(u) / F.pow(F.col("pool") + 1.0, F.col("gamma")), "product"))
-    drawn = options.withColumn("place", place).where("place <= k").select("gamma", fold().alias("fold"), "pool", F.lit(0).alias("real"))
-    real = observed.join(pools, "product").crossJoin(F.broadcast(gammas)).select("gamma", fold().alias("fold"), "pool", F.lit(1).alias("real"))
-    both = cut(drawn.union(real))
-    parts = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("side", F.when(F.col("fold") == F.col("part"), "test").otherwise("train"))
-    by = Window.partitionBy("gamma", "part", "side")
-    counts = parts.groupBy("gamma", "part", "side", "pool").agg(F.sum(1 - F.col("real")).alias("a"), F.sum("real").alias("b"))
-    run = by.orderBy("pool")
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(by) - F.sum("b").over(run) / F.sum("b").over(by))
-    ks = counts.withColumn("gap", gap).groupBy("gamma", "part", "side").agg(F.max("gap").alias("ks"))
-    best = ks.where("side = 'train'").groupBy("part").agg(F.min(F.struct("ks", "gamma"))["gamma"].alias("gamma"))
-    return best.join(ks.where("side = 'test'"), ["part", "gamma"], "left").select(F.col("part").alias("fold"), "gamma", F.round("ks", 6).alias("ks"))
+    return imputation.by_folds(_holdout(n)).select("fold", "gamma", F.round("ks", 6).alias("ks"), F.round("ks_uniform", 6).alias("ks_uniform"))
 
 
 def _like_pools(n: Network) -> DataFrame:
@@ -179,13 +159,29 @@ def _truncated(purpose: str, mu: float, sigma: float, low: float, high: float, k
 
 
 _STOCK = lambda side, key: f"CASE WHEN {side}_tier = -1 THEN 0.0 WHEN {side}_tier <= 1 THEN {_truncated(side, 12 / 7, 5 / 7, 0.0, 1e6, key)} ELSE {_truncated(side, 35 / 7, 5 / 7, 0.0, 1e6, key)} END"
+_DRAWS = """cls AS (SELECT p.product, p.product % s.vectors AS a FROM {products} p CROSS JOIN {sizes} s), lk AS (SELECT a, b FROM {alike} WHERE score > 0.3),
+        held AS (SELECT DISTINCT firm_id, product FROM {capabilities}), mem AS (SELECT DISTINCT l.a, h.firm_id FROM held h JOIN cls c ON h.product = c.product JOIN lk l ON l.b = c.a),
+        obs AS (SELECT DISTINCT src, dst, product FROM {edge_products} WHERE src IN (SELECT firm_id FROM held)), k AS (SELECT src, dst, least(count(*), (SELECT count(*) FROM held h WHERE h.firm_id = src)) AS k FROM obs GROUP BY src, dst),
+        ends AS (SELECT k.src, k.dst, c.a, (SELECT count(*) FROM mem m WHERE m.a = c.a AND m.firm_id NOT IN (k.src, k.dst)) AS pool FROM k CROSS JOIN (SELECT DISTINCT a FROM cls) c),
+        seen AS (SELECT o.src, o.dst, o.product, e.a, e.pool FROM obs o JOIN cls c ON o.product = c.product JOIN ends e ON e.src = o.src AND e.dst = o.dst AND e.a = c.a),
+        g AS (SELECT unnest([GAMMAS]) AS gamma), t AS (SELECT unnest(range(1, 21)) AS draw),
+        opt AS (SELECT k.src, k.dst, k.k, h.product, e.a, e.pool, t.draw, -ln(@u01(concat_ws('|', 'holdout', k.src, k.dst, h.product, t.draw))) AS x
+            FROM k JOIN held h ON k.src = h.firm_id JOIN cls c ON h.product = c.product JOIN ends e ON e.src = k.src AND e.dst = k.dst AND e.a = c.a CROSS JOIN t),
+        drawn AS (SELECT gamma, draw, src, dst, product, a, pool FROM (SELECT *, row_number() OVER (PARTITION BY gamma, draw, src, dst ORDER BY x / power(pool + 1.0, gamma), product) AS place FROM opt CROSS JOIN g) z WHERE place <= k)""".replace("GAMMAS", ", ".join(f"CAST({x} AS DOUBLE)" for x in imputation.GAMMAS))
+_HOLDOUT = f"""WITH {_DRAWS}, met AS (SELECT d.gamma, d.draw, o.src, o.dst, o.product, max(CASE WHEN d.product = o.product OR l.a IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit
+            FROM drawn d JOIN seen o ON d.src = o.src AND d.dst = o.dst LEFT JOIN lk l ON l.a = o.a AND l.b = d.a GROUP BY d.gamma, d.draw, o.src, o.dst, o.product),
+        rec AS (SELECT gamma, avg(hit) AS recall FROM met GROUP BY gamma),
+        low AS (SELECT m.gamma, m.src, m.dst, @pct(m.m, 0.5) AS imp, max(r.m) AS re FROM (SELECT gamma, draw, src, dst, min(pool) AS m FROM drawn GROUP BY gamma, draw, src, dst) m JOIN (SELECT src, dst, min(pool) AS m FROM seen GROUP BY src, dst) r ON m.src = r.src AND m.dst = r.dst GROUP BY m.gamma, m.src, m.dst),
+        rk AS (SELECT *, rank() OVER (PARTITION BY gamma ORDER BY imp) + (count(*) OVER (PARTITION BY gamma, imp) - 1) / 2.0 AS ri, rank() OVER (PARTITION BY gamma ORDER BY re) + (count(*) OVER (PARTITION BY gamma, re) - 1) / 2.0 AS rr FROM low),
+        sc AS (SELECT gamma, @pct(imp, 0.5) AS m, avg(CASE WHEN imp <= 10 THEN 1.0 ELSE 0.0 END) AS s10, avg(CASE WHEN imp = 0 THEN 1.0 ELSE 0.0 END) AS s0, covar_pop(ri, rr) / nullif(stddev_pop(ri) * stddev_pop(rr), 0) AS rho FROM rk GROUP BY gamma),
+        pl AS (SELECT gamma, count(*) AS n, @pct(pool, 0.5) AS m, avg(CASE WHEN pool <= 10 THEN 1.0 ELSE 0.0 END) AS s10, avg(CASE WHEN pool = 0 THEN 1.0 ELSE 0.0 END) AS s0 FROM drawn GROUP BY gamma),
+        vals AS (SELECT gamma, pool FROM drawn UNION SELECT g.gamma, s.pool FROM seen s CROSS JOIN g),
+        ks AS (SELECT a.gamma, max(abs((SELECT count(*) FROM drawn d WHERE d.gamma = a.gamma AND d.pool <= a.pool) / (1.0 * (SELECT count(*) FROM drawn d WHERE d.gamma = a.gamma)) - (SELECT count(*) FROM seen s WHERE s.pool <= a.pool) / (1.0 * (SELECT count(*) FROM seen)))) AS ks FROM vals a GROUP BY a.gamma)
+        SELECT pl.gamma, pl.n AS drawn, round(pl.m, 6) AS median, round(pl.s10, 6) AS share_le10, round(pl.s0, 6) AS share_zero, round(rec.recall, 6) AS recall, round(sc.m, 6) AS scarcest_median, round(sc.s10, 6) AS scarcest_share_le10, round(sc.s0, 6) AS scarcest_share_zero, round(sc.rho, 6) AS spearman, round(ks.ks, 6) AS ks
+        FROM pl JOIN rec ON pl.gamma = rec.gamma JOIN sc ON pl.gamma = sc.gamma JOIN ks ON pl.gamma = ks.gamma"""
 ORACLES: dict[str, str] = {
     "Z22_budgets": f"WITH RECURSIVE {graphs._E}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src), up AS (SELECT x, 0 AS d FROM sinks UNION SELECT e.src, u.d + 1 FROM up u JOIN e ON u.x = e.dst WHERE u.d < 24), t AS (SELECT x, min(d) AS tier FROM up GROUP BY x) SELECT src, dst, CAST(floor({_STOCK('out', 'src')} + {_STOCK('in', 'dst')}) AS BIGINT) AS max_trials FROM (SELECT r.src, r.dst, a.tier AS out_tier, b.tier AS in_tier FROM (SELECT DISTINCT src, dst FROM {{relations}}) r LEFT JOIN t a ON r.src = a.x LEFT JOIN t b ON r.dst = b.x) z",
     "Z23_node_scenario": f"SELECT firm_id, CAST(greatest(degree, 1) AS BIGINT) AS size, round({_truncated('k', 1.5, 0.5, 1.0, 10000.0)}, 6) AS k, CASE WHEN out_degree = 0 THEN 1 ELSE CAST(@half(CAST(out_weight AS DOUBLE) * (1 - {_truncated('use', 0.75, 0.1, 0.0, 1.0)}), 0) AS BIGINT) END AS cap FROM {{degrees}}",
     "Z23_three_groups": f"SELECT firm_id, CAST(third AS BIGINT) AS third, CAST(@half(CASE third WHEN 1 THEN {_truncated('third', 2.0, 0.5, 0.0, 1e6)} WHEN 2 THEN {_truncated('third', 4.0, 1.0, 0.0, 1e6)} ELSE {_truncated('third', 6.0, 2.0, 0.0, 1e6)} END, 0) AS BIGINT) AS cap FROM (SELECT firm_id, ntile(3) OVER (ORDER BY degree, firm_id) AS third FROM {{degrees}} WHERE degree > 0) x",
-    "C12_imputation_holdout": """WITH pools AS (SELECT product, count(*) AS pool FROM {capabilities} GROUP BY product), size AS (SELECT src, dst, count(*) AS k FROM {edge_products} GROUP BY src, dst),
-        g AS (SELECT CAST(0 AS DOUBLE) AS gamma UNION ALL SELECT 0.5 UNION ALL SELECT CAST(1 AS DOUBLE) UNION ALL SELECT CAST(2 AS DOUBLE)),
-        o AS (SELECT g.gamma, s.src, s.dst, s.k, c.product, p.pool, row_number() OVER (PARTITION BY g.gamma, s.src, s.dst ORDER BY -ln(@u01(concat_ws('|', 'holdout', s.src, s.dst, c.product, g.gamma))) / power(p.pool + 1.0, g.gamma), c.product) AS place
-            FROM size s JOIN {capabilities} c ON s.src = c.firm_id JOIN pools p ON c.product = p.product CROSS JOIN g)
-        SELECT o.gamma, count(*) AS drawn, round(avg(CASE WHEN e.product IS NULL THEN 0 ELSE 1 END), 6) AS recall, @pct(o.pool, 0.5) AS median_pool FROM o LEFT JOIN {edge_products} e ON o.src = e.src AND o.dst = e.dst AND o.product = e.product WHERE o.place <= o.k GROUP BY o.gamma""",
+    "C12_imputation_holdout": _HOLDOUT,
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rippleflow.functions import random as rnd
 from rippleflow.functions import statistics
 from rippleflow.operators import order, similarity
-from rippleflow.plans import campaign, links, scenario, simulate
+from rippleflow.plans import campaign, imputation, links, scenario, simulate
 from rippleflow.sources import adapter, sinks, tables
 from rippleflow.streaming import runs as stream
 
@@ -299,3 +299,38 @@ def test_link_models_find_what_passes_disruptions_on(spark):
     assert got["rate", "", "log_pool 0"] == pytest.approx(sum(r[5] for r in low[:750]) / 7500, abs=2e-3)
     assert got["auc", "", "log_pool"] < 0.45
     assert links.link_models(df.limit(0)).count() == 0
+
+
+def test_imputed_draws_equal_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(8)
+    portfolio = {f: rng.sample(range(12), rng.randint(1, 6)) for f in range(6)}
+    observed = {(s, 50 + s % 2): rng.sample(range(14), rng.randint(1, 3)) for s in (0, 1, 2, 3, 99)}  # 99 has no portfolio, 12 and 13 are nobody's
+    like = {(a, a) for a in range(4)} | {(0, 1), (1, 0)}
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    h = imputation.holdout(
+        table([(s, d, p) for (s, d), ps in observed.items() for p in ps], "src long, dst long, product long"),
+        table([(f, p) for f, ps in portfolio.items() for p in ps] * 2, "firm_id long, product long"),
+        table([(p, p % 4) for p in range(14)], "product long, a long"), table(sorted(like), "a long, b long"), "t", (-1.0, 0.0, 2.0), 4,
+    )
+    firms = {a: {f for f, ps in portfolio.items() for p in ps if (a, p % 4) in like} for a in range(4)}
+    pool = lambda p, s, d: len(firms[p % 4] - {s, d})
+    u = lambda *key: (int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    want, hits = set(), {}
+    for (s, d), ps in observed.items():
+        if s not in portfolio:
+            continue
+        for g in (-1.0, 0.0, 2.0):
+            for t in range(1, 5):
+                first = sorted(portfolio[s], key=lambda p: -math.log(u("t", s, d, p, t)) / (pool(p, s, d) + 1) ** g)[: min(len(ps), len(portfolio[s]))]
+                want |= {(g, t, s, d, p, pool(p, s, d)) for p in first}
+                hits.setdefault(g, []).extend(any(p == q or (p % 4, q % 4) in like for q in first) for p in ps)
+    assert {(r.gamma, r.draw, r.src, r.dst, r["product"], r.pool) for r in h.drawn.collect()} == want
+    got = {r.gamma: r for r in imputation.report(h).collect()}
+    real = [pool(p, s, d) for (s, d), ps in observed.items() if s in portfolio for p in ps]
+    for g, r in got.items():
+        mine = [x[5] for x in want if x[0] == g]
+        assert r.drawn == len(mine) and r.recall == pytest.approx(sum(hits[g]) / len(hits[g])) and r.median == np.median(mine)
+        assert r.ks == pytest.approx(max(abs(np.mean(np.array(mine) <= v) - np.mean(np.array(real) <= v)) for v in {*mine, *real}))
+    assert {r.fold for r in imputation.by_folds(h).collect()} <= set(range(5))
