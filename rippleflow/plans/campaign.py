@@ -89,12 +89,10 @@ def grouped_folds(n: Network) -> DataFrame:
     of = lambda c, name: d.select(F.col("firm_id").alias(c), F.col("x").alias(name))
     fold = F.floor(u01([F.lit("fold"), F.col("src")]) * 5)
     rows = cut(n["relations"].join(of("src", "x1"), "src").join(of("dst", "x2"), "dst").select("x1", "x2", (F.col("weight") > 1).cast("double").alias("k"), F.lit(1.0).alias("n"), fold.alias("fold")))
-    out = []
-    for f in range(5):
-        w = statistics.logistic(rows.where(F.col("fold") != f), ["x1", "x2"], "k", "n")
-        scored = rows.where(F.col("fold") == f).withColumn("score", F.lit(w[0]) + F.col("x1") * w[1] + F.col("x2") * w[2])
-        out.append((f, statistics.auc(scored, "score", "k", "n")))
-    return n.spark.createDataFrame(out, "fold int, auc double")
+    fits = statistics.logistic_fits(rows, ["x1", "x2"], "k", "n", "fold", [(["x1", "x2"], f) for f in range(5)])
+    at = lambda i: F.element_at(F.array(*[F.lit(w[i]) for w in fits]), (F.col("fold") + 1).cast("int"))
+    scored = rows.withColumn("score", at(0) + F.col("x1") * at(1) + F.col("x2") * at(2))
+    return statistics.auc_by(scored, "score", "k", "n", ["fold"]).select(F.col("fold").cast("int").alias("fold"), "auc")
 
 
 def _holdout(n: Network) -> imputation.Holdout:
