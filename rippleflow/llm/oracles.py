@@ -50,10 +50,26 @@ total AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS removed, count(*) AS spans FRO
 SELECT n.doc_id, n.n AS n_bytes, coalesce(t.removed, 0) AS n_removed, coalesce(t.spans, 0) AS n_spans, sha256(unhex(coalesce(c.h, n.h))) AS kept_sha256 FROM n LEFT JOIN total t ON n.r = t.r LEFT JOIN cut c ON n.r = c.r
 """
 
+#: All pairs of item and line one by one; crc32 by its table of bytes.
+_BANDS = """
+WITH RECURSIVE t(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM t WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS c FROM t WHERE k = 8),
+l AS (SELECT row_number() OVER () AS r, sale_id, line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
+    WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL),
+x AS (SELECT r, sale_id, line_no, item_id, (2 * a + q - ((2 * a + q) % (2 * q) + 2 * q) % (2 * q)) // (2 * q) AS u, concat(sale_id, ',', line_no, ',', item_id) AS s FROM l),
+lines AS (SELECT sale_id, line_no, item_id, u, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda b: ascii(b)::BIGINT)), lambda h, b: xor(h // 256, tab.c[xor(h % 256, b) + 1])), 4294967295) AS crc FROM x, tab),
+i AS (SELECT row_number() OVER () AS r, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+pairs AS (SELECT i.r, abs(u - p) AS gap, u, sale_id, line_no, lines.item_id AS line_item_id, crc FROM i JOIN lines ON lines.item_id <> i.item_id AND (abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p))),
+total AS (SELECT r, count(*) AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(crc)::BIGINT AS lines_crc FROM pairs GROUP BY r),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY gap, u, sale_id, line_no, line_item_id) AS k FROM pairs) y WHERE k <= 2)
+SELECT i.item_id, coalesce(k, 0)::INTEGER AS rank, gap, u, sale_id, line_no::BIGINT AS line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN total ON i.r = total.r LEFT JOIN first ON i.r = first.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     limits = {"{words}": WORDS, "{least}": LEAST_WORDS, "{most}": MAX_LANGUAGES}
     quality = _QUALITY
     for name, value in limits.items():
         quality = quality.replace(name, str(value))
-    return {"op2_repeated_substrings": _REPEATS.replace("{length}", str(LENGTH)), "op10_quality_rules": quality}
+    return {"op2_repeated_substrings": _REPEATS.replace("{length}", str(LENGTH)), "op10_quality_rules": quality, "op12_price_bands": _BANDS}

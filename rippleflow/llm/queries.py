@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, licenses, minhash, oracles, pieces, pii, quality, sharding, suffix_dedup
+from . import bands, decontam, fingerprints, html, langid, licenses, minhash, oracles, pieces, pii, quality, sharding, suffix_dedup, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.digest(_read(spark, sf_dir, "items"), _read(spark, sf_dir, "sale_lines"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
