@@ -44,6 +44,14 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return until_stable(nodes_of(both).select("node", F.col("node").alias("component")), step, lambda s: _fingerprint(s, "node", "component"))
 
 
+def largest_component(edges: DataFrame) -> DataFrame:
+    """src, dst: the edges inside the weak component of most nodes (of equals, that of the least node)."""
+    labels = cut(weak_components(edges))
+    largest = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    core = cut(labels.join(largest, "component", "left_semi").select("node"))
+    return plain(edges).join(core, F.col("src") == F.col("node"), "left_semi")
+
+
 def distances(edges: DataFrame, sources: DataFrame | None = None, limit: int = 10**6) -> DataFrame:
     """source, node, d > 0: shortest path lengths from sources (a column node; all nodes if None)."""
     e = cut(edges.select("src", "dst"))

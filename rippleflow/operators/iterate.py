@@ -6,22 +6,24 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the folder of spark.checkpoint.dir and read back: no lineage, known size, any executor.
-
-    A temporary folder serves only in local mode, where the session names none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only in local mode, where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/state-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: no lineage, known size, any executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

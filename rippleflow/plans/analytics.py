@@ -48,13 +48,13 @@ SQL: dict[str, str] = {
         UNION ALL SELECT scenario, 'removed', round(@pct(removed, 0.5), 6), round(avg(removed), 6), round(@pct(removed, 0.25), 6), round(@pct(removed, 0.75), 6) FROM e GROUP BY scenario""",
     "C25_mean_curves": "SELECT r.sample_id, c.week, round(avg(c.c), 6) AS mean, count(*) AS n FROM {capacity} c JOIN {runs} r ON c.run_id = r.run_id WHERE r.num_seeds = 1 + r.sample_id % 5 GROUP BY r.sample_id, c.week",
     "C30_equal_split": "SELECT c.firm, round(sum((r.weeks - r.num_seeds) / (1.0 * r.num_seeds)), 6) AS mass FROM {cascade} c JOIN {runs} r ON c.run_id = r.run_id WHERE c.is_seed GROUP BY c.firm",
-    "C31_predictor_frame": "SELECT d.firm_id, d.out_degree, d.in_degree, coalesce(p.participation, 0) AS participation FROM {degrees} d LEFT JOIN (SELECT u, round(1 - sum(share * share), 9) AS participation FROM (SELECT n.u, c.community, count(*) / (1.0 * sum(count(*)) OVER (PARTITION BY n.u)) AS share FROM {neighbours} n JOIN {membership} c ON n.v = c.firm_id GROUP BY n.u, c.community) x GROUP BY u) p ON d.firm_id = p.u",
+    "C31_predictor_frame": "SELECT d.firm_id, d.out_degree, d.in_degree, coalesce(p.participation, 0) AS participation FROM {degrees} d LEFT JOIN (SELECT u, round(1 - sum(share * share), 9) AS participation FROM (SELECT n.u, c.community, count(*) / (1.0 * sum(count(*)) OVER (PARTITION BY n.u)) AS share FROM {neighbours} n JOIN {communities} c ON n.v = c.firm_id GROUP BY n.u, c.community) x GROUP BY u) p ON d.firm_id = p.u",
     "C32_nexus": "SELECT r.num_seeds, round(corr(z.s, r.weeks), 6) AS r_sum, round(corr(z.m, r.weeks), 6) AS r_mean FROM (SELECT run_id, sum(size) AS s, avg(size) AS m FROM {cascade} WHERE is_seed GROUP BY run_id) z JOIN {runs} r ON z.run_id = r.run_id GROUP BY r.num_seeds",
     "C33_multi_origin": """WITH o AS (SELECT o.run_id, o.firm, count(DISTINCT o.origin) AS n FROM {origins} o JOIN {cascade} c ON o.run_id = c.run_id AND o.origin = c.firm GROUP BY o.run_id, o.firm)
         SELECT round(avg(CASE WHEN coalesce(o.n, 0) >= 2 THEN 1.0 ELSE 0.0 END), 6) AS share, round(@pct(c.week, 0.5), 6) AS median, round(avg(c.week), 6) AS mean, round(@pct(c.week, 0.9), 6) AS p90 FROM {cascade} c LEFT JOIN o ON c.run_id = o.run_id AND c.firm = o.firm WHERE NOT c.is_seed""",
     "C34_any_origin": "SELECT round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS firms FROM (SELECT run_id, firm, count(DISTINCT origin) AS n FROM {origins} GROUP BY run_id, firm) x",
     "C35_example_runs": "SELECT run_id, weeks, num_seeds FROM (SELECT run_id, weeks, num_seeds, row_number() OVER (PARTITION BY num_seeds ORDER BY weeks DESC, run_id) AS k FROM {runs} WHERE weeks - num_seeds <= 80) x WHERE k = 1",
-    "C36_community_share": "WITH n AS (SELECT c.run_id, f.nation_id, count(*) AS n FROM {cascade} c JOIN {firms} f ON c.firm = f.firm_id GROUP BY c.run_id, f.nation_id) SELECT run_id, round(max(n) / (1.0 * sum(n)), 6) AS share FROM n GROUP BY run_id",
+    "C36_community_share": "WITH n AS (SELECT c.run_id, m.community, count(*) AS n FROM {cascade} c JOIN {communities} m ON c.firm = m.firm_id WHERE NOT c.is_seed GROUP BY c.run_id, m.community) SELECT run_id, CAST(mapped AS BIGINT) AS mapped, community AS top_community, round(n / (1.0 * mapped), 6) AS share FROM (SELECT run_id, community, n, sum(n) OVER (PARTITION BY run_id) AS mapped, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, community) AS k FROM n) x WHERE k = 1",
     "C37_cascade_tree": """WITH ok AS (SELECT DISTINCT o.run_id, o.firm, o.origin, c.week FROM {origins} o JOIN {cascade} c ON o.run_id = c.run_id AND o.origin = c.firm),
         p AS (SELECT run_id, firm, origin, row_number() OVER (PARTITION BY run_id, firm ORDER BY week, origin) AS k, count(*) OVER (PARTITION BY run_id, firm) AS n FROM ok)
         SELECT c.run_id, c.firm, coalesce(p.origin, 0) AS parent, coalesce(p.n, 1) - 1 AS secondary FROM {cascade} c LEFT JOIN p ON c.run_id = p.run_id AND c.firm = p.firm AND p.k = 1 WHERE NOT c.is_seed""",

@@ -111,7 +111,8 @@ def small_world(n: Network) -> DataFrame:
 
 
 def louvain(n: Network) -> DataFrame:
-    return graph.communities(_edges(n)).withColumnRenamed("node", "firm_id")
+    """Louvain communities of the largest component, of the level with the greatest modularity."""
+    return n["communities"].select("firm_id", "community")
 
 
 def depth(n: Network) -> DataFrame:
@@ -326,6 +327,7 @@ ORACLES: dict[str, str] = {
         t AS (SELECT copy, src, row_number() OVER (PARTITION BY copy ORDER BY src, dst) AS k FROM e CROSS JOIN c),
         h AS (SELECT copy, dst, row_number() OVER (PARTITION BY copy ORDER BY @u01(concat_ws('|', 'stub', copy, src, dst)), src, dst) AS k FROM e CROSS JOIN c)
         SELECT CAST(copy AS BIGINT) AS copy, count(*) AS edges FROM (SELECT DISTINCT t.copy, t.src, h.dst FROM t JOIN h ON t.copy = h.copy AND t.k = h.k WHERE t.src <> h.dst) x GROUP BY copy""",
+    "G22_communities": "SELECT firm_id, community FROM {communities}",
     "G27_cyclicity": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_MUTUAL}, z AS (SELECT c, count(*) AS n FROM scc GROUP BY c) SELECT count(*) AS components, CAST(sum(n) AS BIGINT) AS nodes, max(n) AS largest FROM z",
     "C26_depth": f"WITH RECURSIVE {_DEPTH} SELECT run_id, firm, depth FROM depths",
     "C27_depth_stats": f"WITH RECURSIVE {_DEPTH}, m AS (SELECT run_id, max(depth) AS d FROM depths GROUP BY run_id) SELECT r.num_seeds, round(avg(m.d), 6) AS mean, max(m.d) AS most, round(avg(CASE WHEN m.d >= 2 THEN 1.0 ELSE 0.0 END), 6) AS share_2 FROM m JOIN {{runs}} r ON m.run_id = r.run_id GROUP BY r.num_seeds",

@@ -38,7 +38,7 @@ SQL: dict[str, str] = {
     "J9_shared_product_pool": "SELECT a.firm_id, count(DISTINCT b.firm_id) AS rivals FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id GROUP BY a.firm_id",
     "J12_paired_tasks": "SELECT a.task_id, a.weeks AS weeks_a, b.weeks AS weeks_b, a.weeks - b.weeks AS diff FROM {runs} a JOIN {runs} b ON a.task_id = b.task_id AND a.arm = 0 AND b.arm = 1",
     "J13_supplier_pairs": "SELECT DISTINCT a.src AS u, b.src AS v FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.src <> b.src",
-    "J14_edge_communities": "SELECT r.src, r.dst, a.community AS src_community, b.community AS dst_community FROM {relations} r JOIN {membership} a ON r.src = a.firm_id JOIN {membership} b ON r.dst = b.firm_id",
+    "J14_edge_communities": "SELECT r.src, r.dst, a.community AS src_community, b.community AS dst_community FROM {relations} r JOIN {communities} a ON r.src = a.firm_id JOIN {communities} b ON r.dst = b.firm_id",
     "J15_exposed_links": """WITH seeds AS (SELECT DISTINCT run_id % 50 AS run_set, 5 * (event_id % 20) AS firm_id FROM {cascade} WHERE is_seed), weights AS (SELECT run_set, count(*) AS n FROM (SELECT DISTINCT run_id, run_id % 50 AS run_set FROM {cascade}) z GROUP BY run_set)
         SELECT r.src, r.dst, CAST(sum(w.n) AS BIGINT) AS exposures FROM seeds s JOIN weights w ON s.run_set = w.run_set JOIN {relations} r ON s.firm_id = r.src LEFT ANTI JOIN seeds t ON s.run_set = t.run_set AND r.dst = t.firm_id GROUP BY r.src, r.dst""",
     "J16_grid": "SELECT a.scenario, b.num_seeds, c.sample_id FROM (SELECT DISTINCT scenario FROM {runs}) a CROSS JOIN (SELECT DISTINCT num_seeds FROM {runs}) b CROSS JOIN (SELECT DISTINCT sample_id FROM {runs}) c",
@@ -111,10 +111,16 @@ SQL: dict[str, str] = {
     "G23_tier_modularity": """WITH e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM {relations}), p AS (SELECT firm_id, CASE WHEN is_oem THEN 0 ELSE 1 + firm_id % 5 END AS c FROM {firms}), m AS (SELECT count(*) AS m FROM e),
         i AS (SELECT a.c, count(*) AS l FROM e JOIN p a ON e.u = a.firm_id JOIN p b ON e.v = b.firm_id AND a.c = b.c GROUP BY a.c), d AS (SELECT c, count(*) AS d FROM (SELECT u AS x FROM e UNION ALL SELECT v FROM e) k JOIN p ON k.x = p.firm_id GROUP BY c)
         SELECT round(sum(coalesce(i.l, 0) / (1.0 * m.m) - (d.d / (2.0 * m.m)) * (d.d / (2.0 * m.m))), 9) AS q FROM d LEFT JOIN i ON d.c = i.c CROSS JOIN m""",
-    "G24_participation": """SELECT u AS firm_id, round(1 - sum(share * share), 9) AS participation FROM (SELECT n.u, c.community, count(*) / (1.0 * sum(count(*)) OVER (PARTITION BY n.u)) AS share FROM {neighbours} n JOIN {membership} c ON n.v = c.firm_id GROUP BY n.u, c.community) x GROUP BY u""",
-    "G25_community_edges": """WITH e AS (SELECT a.community AS x, b.community AS y FROM {relations} r JOIN {membership} a ON r.src = a.firm_id JOIN {membership} b ON r.dst = b.firm_id),
+    "G24_participation": """SELECT u AS firm_id, round(1 - sum(share * share), 9) AS participation FROM (SELECT n.u, c.community, count(*) / (1.0 * sum(count(*)) OVER (PARTITION BY n.u)) AS share FROM {neighbours} n JOIN {communities} c ON n.v = c.firm_id GROUP BY n.u, c.community) x GROUP BY u""",
+    "G22_quality": """WITH e AS (SELECT DISTINCT least(r.src, r.dst) AS u, greatest(r.src, r.dst) AS v FROM {relations} r JOIN {communities} c ON r.src = c.firm_id), m AS (SELECT count(*) AS m FROM e),
+        i AS (SELECT a.community, count(*) AS l FROM e JOIN {communities} a ON e.u = a.firm_id JOIN {communities} b ON e.v = b.firm_id AND a.community = b.community GROUP BY a.community),
+        d AS (SELECT c.community, count(*) AS d FROM (SELECT u AS x FROM e UNION ALL SELECT v FROM e) k JOIN {communities} c ON k.x = c.firm_id GROUP BY c.community)
+        SELECT count(*) AS communities, round(sum(coalesce(i.l, 0) / (1.0 * m.m) - (d.d / (2.0 * m.m)) * (d.d / (2.0 * m.m))), 9) AS q FROM d LEFT JOIN i ON d.community = i.community CROSS JOIN m""",
+    # The five largest communities, links among them, and the partner with which each shares most.
+    "G25_community_edges": """WITH z AS (SELECT community, count(*) AS n FROM {communities} GROUP BY community), top AS (SELECT community FROM z ORDER BY n DESC, community LIMIT 5), m AS (SELECT c.firm_id, c.community FROM {communities} c JOIN top ON c.community = top.community),
+        e AS (SELECT a.community AS x, b.community AS y FROM {relations} r JOIN m a ON r.src = a.firm_id JOIN m b ON r.dst = b.firm_id),
         p AS (SELECT least(x, y) AS x, greatest(x, y) AS y, count(*) AS n FROM e GROUP BY least(x, y), greatest(x, y)), o AS (SELECT x, y, n FROM p WHERE x <> y UNION ALL SELECT y, x, n FROM p WHERE x <> y)
-        SELECT x AS community, y AS partner, n, inside FROM (SELECT o.x, o.y, o.n, coalesce(i.n, 0) AS inside, row_number() OVER (PARTITION BY o.x ORDER BY o.n DESC, o.y) AS k FROM o LEFT JOIN p i ON i.x = o.x AND i.y = o.x) z WHERE k = 1""",
+        SELECT x AS community, inside, CAST(outside AS BIGINT) AS outside, round(outside / (1.0 * (inside + outside)), 9) AS outside_share, y AS partner, n FROM (SELECT o.x, o.y, o.n, coalesce(i.n, 0) AS inside, sum(o.n) OVER (PARTITION BY o.x) AS outside, row_number() OVER (PARTITION BY o.x ORDER BY o.n DESC, o.y) AS k FROM o LEFT JOIN p i ON i.x = o.x AND i.y = o.x) w WHERE k = 1""",
     "G28_group_sizes": "SELECT n AS size, count(*) AS groups FROM (SELECT nation_id, is_oem, count(*) AS n FROM {firms} GROUP BY nation_id, is_oem) x GROUP BY n",
     "G29_delivered_products": "SELECT src AS firm_id, count(DISTINCT product) AS products FROM {edge_products} GROUP BY src",
     "G30_partners": "SELECT u AS firm_id, count(*) AS partners FROM {neighbours} GROUP BY u",

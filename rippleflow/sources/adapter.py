@@ -11,6 +11,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.cache import cached
+from ..operators.communities import LEVELS, TURNS, louvain
+from ..operators.graph import largest_component
 from ..operators.similarity import all_pairs
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
@@ -50,6 +53,39 @@ TABLES = {
         UNION ALL SELECT run_id, firm, 2, (event_id * 29) % greatest(firm, 1) FROM {cascade} WHERE NOT is_seed AND event_id % 11 <> 0 AND event_id % 3 <> 0""",
 }
 
+
+
+def _louvain_sql(turns: int, levels: int) -> str:
+    """Louvain levels for the other engine: every turn of every level spelled out. Turns after the last move change nothing."""
+    steps = [
+        "e AS (SELECT src, dst FROM {relations} WHERE src <> dst UNION SELECT dst, src FROM {relations} WHERE src <> dst)",
+        "lab AS (SELECT src AS s, src AS x FROM e UNION SELECT l.s, e.dst FROM lab l JOIN e ON l.x = e.src)",
+        "comp AS MATERIALIZED (SELECT s, min(x) AS c FROM lab GROUP BY s)",
+        "big AS MATERIALIZED (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)",
+        "g0 AS MATERIALIZED (SELECT CAST(e.src AS BIGINT) AS s, CAST(e.dst AS BIGINT) AS d, 1 AS w FROM e JOIN comp ON e.src = comp.s JOIN big ON comp.c = big.c)",
+        "m AS MATERIALIZED (SELECT sum(w) AS m2 FROM g0)",
+        "of0 AS MATERIALIZED (SELECT DISTINCT s AS x, s AS c FROM g0)",
+    ]
+    for v in range(levels):
+        steps.append(f"c{v}_0 AS MATERIALIZED (SELECT s AS x, sum(w) AS k, s AS c FROM g{v} GROUP BY s)")
+        for t in range(turns):
+            z = f"c{v}_{t}"
+            steps.append(f"t{v}_{t} AS MATERIALIZED (SELECT c, sum(k) AS tot FROM {z} GROUP BY c)")
+            steps.append(f"l{v}_{t} AS MATERIALIZED (SELECT x, c, sum(w) AS w FROM (SELECT g.s AS x, z.c, g.w FROM g{v} g JOIN {z} z ON g.d = z.x WHERE g.s <> g.d UNION ALL SELECT x, c, 0 FROM {z}) u GROUP BY x, c)")
+            gain = "m.m2 * l.w - z.k * (t.tot - CASE WHEN l.c = z.c THEN z.k ELSE 0 END)"
+            steps.append(f"b{v}_{t} AS MATERIALIZED (SELECT l.x, arg_min(l.c, (-({gain}), l.c <> z.c, l.c)) AS best FROM l{v}_{t} l JOIN {z} z ON l.x = z.x JOIN t{v}_{t} t ON l.c = t.c CROSS JOIN m GROUP BY l.x)")
+            steps.append(f"c{v}_{t + 1} AS MATERIALIZED (SELECT z.x, z.k, CASE WHEN @u01(concat_ws('|', 'louvain', {v}, {t}, z.x)) < 0.5 THEN b.best ELSE z.c END AS c FROM {z} z JOIN b{v}_{t} b ON z.x = b.x)")
+        steps.append(f"n{v} AS MATERIALIZED (SELECT x, min(x) OVER (PARTITION BY c) AS c FROM c{v}_{turns})")
+        steps.append(f"of{v + 1} AS MATERIALIZED (SELECT o.x, n.c FROM of{v} o JOIN n{v} n ON o.c = n.x)")
+        steps.append(f"g{v + 1} AS MATERIALIZED (SELECT a.c AS s, b.c AS d, sum(g.w) AS w FROM g{v} g JOIN n{v} a ON g.s = a.x JOIN n{v} b ON g.d = b.x GROUP BY a.c, b.c)")
+    q = " UNION ALL ".join(f"SELECT {v} AS v, (SELECT m2 FROM m) * (SELECT coalesce(sum(w), 0) FROM g{v} WHERE s = d) - (SELECT sum(k * k) FROM (SELECT sum(w) AS k FROM g{v} GROUP BY s) y) AS q" for v in range(1, levels + 1))
+    members = " UNION ALL ".join(f"SELECT {v} AS v, x, c FROM of{v}" for v in range(1, levels + 1))
+    return f"WITH RECURSIVE {', '.join(steps)}, q AS ({q}), top AS (SELECT v FROM q ORDER BY q DESC, v LIMIT 1) SELECT x AS firm_id, c AS community FROM ({members}) a JOIN top ON a.v = top.v"
+
+
+#: Louvain communities of the largest component; here they come from operators.communities, kept by operators.cache.
+TABLES["communities"] = _louvain_sql(TURNS, LEVELS)
+
 _SPARK = {"pct": "percentile({0}, {1})", "u01": "((cast(conv(substr(md5({0}), 1, 13), 16, 10) AS DOUBLE) + 0.5D) / 4503599627370496D)", "half": "bround({0}, {1})"}
 _DUCK = {"pct": "quantile_cont({0}, {1})", "u01": "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)", "half": "round_even({0}, {1})"}
 
@@ -88,7 +124,7 @@ def duck(template: str) -> str:
         visit(x)
     plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
     body = plain(template).strip()
-    ctes = [f"{n} AS ({plain(TABLES[n])})" for n in order]
+    ctes = [f"{n} AS {'MATERIALIZED ' * (n == 'communities')}({plain(TABLES[n])})" for n in order]
     recursive = bool(re.match(r"WITH RECURSIVE\b", body))
     if m := re.match(r"WITH (?:RECURSIVE )?", body):
         body = body[m.end() :]
@@ -108,6 +144,11 @@ class Network:
             if name == "alike":
                 self._made[name] = all_pairs(self["embeddings"], 0.15)
                 return self._made[name]
+            if name == "communities":
+                files = [f"{self.sf_dir}/{x}.parquet" for x in ("orders", "lineitem")]
+                found = lambda: louvain(largest_component(self["relations"])).withColumnRenamed("node", "firm_id")
+                self._made[name] = cached(self.spark, "communities", files, {"turns": TURNS, "levels": LEVELS, "links": TABLES["details"]}, found)
+                return self._made[name]
             self._made[name] = self.sql(TABLES[name]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
