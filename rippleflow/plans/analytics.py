@@ -71,7 +71,7 @@ SQL: dict[str, str] = {
     "N4_log_pearson": "SELECT round(corr(ln(1 + value), ln(1 + week)), 9) AS r FROM {run_series}",
     "N5_partial_correlation": "SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 9) AS r FROM (SELECT corr(in_degree, out_degree) AS xy, corr(in_degree, degree * degree) AS xz, corr(out_degree, degree * degree) AS yz FROM {degrees} WHERE degree > 0) c",
     "N6_ks": "WITH v AS (SELECT s.value, r.arm FROM {run_series} s JOIN {runs} r ON s.run_id = r.run_id), t AS (SELECT sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS n1 FROM v), g AS (SELECT value, sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS k0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS k1 FROM v GROUP BY value) SELECT round(max(abs(c0 / (1.0 * n0) - c1 / (1.0 * n1))), 9) AS d FROM (SELECT sum(k0) OVER (ORDER BY value) AS c0, sum(k1) OVER (ORDER BY value) AS c1 FROM g) c CROSS JOIN t",
-    "N7_bootstrap": """WITH x AS (SELECT row_number() OVER (ORDER BY run_id) - 1 AS i, weeks - num_seeds AS y, count(*) OVER () AS n FROM {runs}), b AS (SELECT DISTINCT week AS b FROM {run_series} WHERE week < 60),
+    "N7_bootstrap": """WITH x AS (SELECT row_number() OVER (ORDER BY run_id) - 1 AS i, weeks - num_seeds AS y, count(*) OVER () AS n FROM {runs}), b AS (SELECT DISTINCT week AS b FROM {run_series}),
         d AS (SELECT b.b, CAST(floor(@u01(concat_ws('|', 'boot', CAST(b.b AS VARCHAR(20)), CAST(x.i AS VARCHAR(20)))) * x.n) AS BIGINT) AS j FROM b CROSS JOIN x),
         m AS (SELECT d.b, avg(x.y) AS m FROM d JOIN x ON d.j = x.i GROUP BY d.b) SELECT round(@pct(m, 0.025), 6) AS low, round(@pct(m, 0.975), 6) AS high FROM m""",
     "N8_paired_difference": "SELECT round(avg(a.weeks - b.weeks), 6) AS diff, round(avg(a.weeks) / avg(b.weeks), 6) AS ratio, round(stddev_samp(a.weeks - b.weeks) / sqrt(count(*)), 6) AS se FROM {runs} a JOIN {runs} b ON a.task_id = b.task_id AND a.arm = 0 AND b.arm = 1",
@@ -81,9 +81,6 @@ SQL: dict[str, str] = {
     "N16_weighted_sample": "SELECT firm_id FROM (SELECT firm_id, row_number() OVER (ORDER BY -ln(@u01(concat_ws('|', 'race', CAST(firm_id AS VARCHAR(20))))) / degree, firm_id) AS k FROM {degrees} WHERE degree > 0) x WHERE k <= 40",
     "N17_seed_sample": "SELECT nation_id, firm_id FROM (SELECT nation_id, firm_id, row_number() OVER (PARTITION BY nation_id ORDER BY @u01(concat_ws('|', 'seed', CAST(firm_id AS VARCHAR(20)))), firm_id) AS k, count(*) OVER (PARTITION BY nation_id) AS n FROM {degrees} WHERE out_degree > 0) x WHERE k <= floor(0.3 * n)",
     "N15_discrete_uniform": "SELECT firm_id, CAST(floor(@half(ln(degree), 0) / 2.0 + @u01(concat_ws('|', 'cap', CAST(firm_id AS VARCHAR(20)))) * 3) AS BIGINT) AS cap FROM {degrees} WHERE degree > 0",
-    "N19_power_law": """WITH x AS (SELECT degree AS k FROM {degrees} WHERE degree > 0), g AS (SELECT DISTINCT k AS xmin FROM x WHERE k <= 12), t AS (SELECT g.xmin, x.k, count(*) AS c FROM g JOIN x ON x.k >= g.xmin GROUP BY g.xmin, x.k),
-        a AS (SELECT xmin, sum(c) AS n, 1 + sum(c) / sum(c * ln(k / (xmin - 0.5))) AS alpha FROM t GROUP BY xmin), e AS (SELECT t.xmin, t.k, a.alpha, a.n, sum(t.c) OVER (PARTITION BY t.xmin ORDER BY t.k) / (1.0 * a.n) AS f FROM t JOIN a ON t.xmin = a.xmin)
-        SELECT xmin, round(max(alpha), 6) AS alpha, round(max(abs(f - (1 - power((k + 0.5) / (xmin - 0.5), 1 - alpha)))), 6) AS ks FROM e GROUP BY xmin""",
     "N20_fit_slope": "WITH x AS (SELECT degree AS k FROM {degrees} WHERE degree >= 2), a AS (SELECT 1 + count(*) / sum(ln(k / 1.5)) AS alpha, count(*) AS n FROM x) SELECT DISTINCT x.k, round(power(x.k / 2.0, 1 - a.alpha) * a.n / t.n, 9) AS fit FROM x CROSS JOIN a CROSS JOIN (SELECT count(*) AS n FROM {degrees} WHERE degree > 0) t",
     "C49_config_grid": "SELECT s.scenario * 1000 + b.num_seeds * 100 + c.sample_id AS task_id, s.scenario, b.num_seeds, c.sample_id, CASE s.scenario WHEN 0 THEN 'random' WHEN 1 THEN 'degree' ELSE 'single' END AS strategy, concat_ws('-', CAST(s.scenario AS VARCHAR(9)), CAST(c.sample_id AS VARCHAR(9))) AS seed FROM (SELECT DISTINCT scenario FROM {runs}) s CROSS JOIN (SELECT DISTINCT num_seeds FROM {runs}) b CROSS JOIN (SELECT DISTINCT sample_id FROM {runs}) c",
     "C50_config_revision": "SELECT r.run_id, r.scenario, 1 AS no_customer_capacity, g.gamma FROM {runs} r CROSS JOIN (SELECT 0 AS gamma UNION ALL SELECT 1 UNION ALL SELECT 2) g WHERE r.scenario IN (0, 2)",

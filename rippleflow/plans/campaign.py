@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import statistics
+from ..functions import powerlaw, statistics
 from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
@@ -31,6 +31,25 @@ def edge_config(n: Network) -> DataFrame:
     return scenario.sample_edge_products(n["relations"], n["capabilities"], n["edge_products"], _pools(n), SEED, gamma=0.5)
 
 
+def _degree_counts(n: Network) -> DataFrame:
+    d = n["degrees"]
+    all_ = d.select(F.lit("total").alias("series"), F.col("degree").alias("k")).union(d.select(F.lit("in"), "in_degree")).union(d.select(F.lit("out"), "out_degree"))
+    return cut(powerlaw.histogram(all_, "series", "k"))
+
+
+def power_laws(n: Network) -> DataFrame:
+    """Tails of the total, in- and out-degrees."""
+    f = powerlaw.fit_tails(_degree_counts(n))
+    return f.select("series", "tail", "xmin", *[F.round(c, 6).alias(c) for c in ("alpha", "sigma", "ks")])
+
+
+def power_law_rivals(n: Network) -> DataFrame:
+    """The same tails against an exponential and a log-normal one."""
+    counts = _degree_counts(n)
+    r = powerlaw.rivals(counts, cut(powerlaw.fit_tails(counts)))
+    return r.select("series", *[F.round(c, 6).alias(c) for c in r.columns[1:5]])
+
+
 def budgets(n: Network) -> DataFrame:
     return scenario.budgets(n["relations"], _tiers(n), SEED)
 
@@ -135,7 +154,27 @@ def link_models(n: Network) -> DataFrame:
     return links.link_models(exposed_links(n)).select("kind", "model", "term", F.round("value", 6).alias("value"))
 
 
+def _zeta(s: str, a: str) -> str:
+    """powerlaw.hurwitz for the other engine."""
+    b = f"({a} + 10.0)"
+    terms = " + ".join(f"power({a} + {k}.0, -({s}))" for k in range(10))
+    return f"({terms} + power({b}, 1 - {s}) / ({s} - 1) + power({b}, -({s})) / 2 + {s} * power({b}, -{s} - 1) / 12 - {s} * ({s} + 1) * ({s} + 2) * power({b}, -{s} - 3) / 720 + {s} * ({s} + 1) * ({s} + 2) * ({s} + 3) * ({s} + 4) * power({b}, -{s} - 5) / 30240)"
+
+
+def _power_law_sql() -> str:
+    return f"""WITH x AS (SELECT 'total' AS series, degree AS k FROM {{degrees}} UNION ALL SELECT 'in', in_degree FROM {{degrees}} UNION ALL SELECT 'out', out_degree FROM {{degrees}}),
+        h AS (SELECT series, k, count(*) AS c FROM x WHERE k > 0 GROUP BY series, k), top AS (SELECT series, max(k) AS k FROM h GROUP BY series),
+        t AS (SELECT g.series, g.k AS xmin, x.k, x.c FROM h g JOIN top ON g.series = top.series AND g.k < top.k JOIN h x ON x.series = g.series AND x.k >= g.k),
+        a AS (SELECT series, xmin, sum(c) AS n, 1 + sum(c) / sum(c * ln(k / (xmin - 0.5))) AS alpha FROM t GROUP BY series, xmin),
+        f AS (SELECT t.series, t.xmin, a.alpha, a.n, {_zeta("a.alpha", "t.k")} AS z, {_zeta("a.alpha", "t.xmin")} AS z0, sum(t.c) OVER (PARTITION BY t.series, t.xmin ORDER BY t.k DESC) / (1.0 * a.n) AS share FROM t JOIN a ON t.series = a.series AND t.xmin = a.xmin),
+        d AS (SELECT series, xmin, max(alpha) AS alpha, max(n) AS n, max(abs(share - z / z0)) AS ks FROM f GROUP BY series, xmin)
+        SELECT series, CAST(n AS BIGINT) AS tail, xmin, round(alpha, 6) AS alpha, round((alpha - 1) / sqrt(n), 6) AS sigma, round(ks, 6) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ks, xmin) AS r FROM d) y WHERE r = 1"""
+
+
+
 QUERIES: dict[str, Callable[[Network], DataFrame]] = {
+    "N19_power_law": power_laws,
+    "N19_rival_tails": power_law_rivals,
     "C13_gamma_by_folds": gamma_by_folds,
     "C41_link_models": link_models,
     "Z21_edge_products": edge_config,
@@ -178,6 +217,7 @@ _HOLDOUT = f"""WITH {_DRAWS}, met AS (SELECT d.gamma, d.draw, o.src, o.dst, o.pr
         SELECT pl.gamma, pl.n AS drawn, round(pl.m, 6) AS median, round(pl.s10, 6) AS share_le10, round(pl.s0, 6) AS share_zero, round(rec.recall, 6) AS recall, round(sc.m, 6) AS scarcest_median, round(sc.s10, 6) AS scarcest_share_le10, round(sc.s0, 6) AS scarcest_share_zero, round(sc.rho, 6) AS spearman, round(ks.ks, 6) AS ks
         FROM pl JOIN rec ON pl.gamma = rec.gamma JOIN sc ON pl.gamma = sc.gamma JOIN ks ON pl.gamma = ks.gamma"""
 ORACLES: dict[str, str] = {
+    "N19_power_law": _power_law_sql(),
     "Z22_budgets": f"WITH RECURSIVE {graphs._E}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src), up AS (SELECT x, 0 AS d FROM sinks UNION SELECT e.src, u.d + 1 FROM up u JOIN e ON u.x = e.dst WHERE u.d < 24), t AS (SELECT x, min(d) AS tier FROM up GROUP BY x) SELECT src, dst, CAST(floor({_STOCK('out', 'src')} + {_STOCK('in', 'dst')}) AS BIGINT) AS max_trials FROM (SELECT r.src, r.dst, a.tier AS out_tier, b.tier AS in_tier FROM (SELECT DISTINCT src, dst FROM {{relations}}) r LEFT JOIN t a ON r.src = a.x LEFT JOIN t b ON r.dst = b.x) z",
     "Z23_node_scenario": f"SELECT firm_id, CAST(greatest(degree, 1) AS BIGINT) AS size, round({_truncated('k', 1.5, 0.5, 1.0, 10000.0)}, 6) AS k, CASE WHEN out_degree = 0 THEN 1 ELSE CAST(@half(CAST(out_weight AS DOUBLE) * (1 - {_truncated('use', 0.75, 0.1, 0.0, 1.0)}), 0) AS BIGINT) END AS cap FROM {{degrees}}",
     "Z23_three_groups": f"SELECT firm_id, CAST(third AS BIGINT) AS third, CAST(@half(CASE third WHEN 1 THEN {_truncated('third', 2.0, 0.5, 0.0, 1e6)} WHEN 2 THEN {_truncated('third', 4.0, 1.0, 0.0, 1e6)} ELSE {_truncated('third', 6.0, 2.0, 0.0, 1e6)} END, 0) AS BIGINT) AS cap FROM (SELECT firm_id, ntile(3) OVER (ORDER BY degree, firm_id) AS third FROM {{degrees}} WHERE degree > 0) x",
