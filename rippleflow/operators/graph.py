@@ -6,7 +6,7 @@ driver but counts and sums. Frontiers shrink the join to new rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import cut, until_stable
@@ -67,6 +67,11 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, limit: int = 1
     return seen
 
 
+def sampled_nodes(edges: DataFrame, uniform, k: int) -> DataFrame:
+    """node: k nodes drawn evenly without replacement (all, if there are no more)."""
+    return nodes_of(edges).orderBy(uniform([F.lit("source"), F.col("node")]), "node").limit(k)
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node: start's nodes and all that a path leads to."""
     e = cut(edges.select("src", "dst"))
@@ -267,18 +272,6 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     return _union(frames) if frames else left.withColumn("core", F.lit(0))
 
 
-def configuration_model(edges: DataFrame, uniform, copies: int) -> DataFrame:
-    """copy, src, dst: stubs of the ends matched by rank in a random order; collapsed to simple graphs.
-
-    uniform(columns) gives a Column in (0, 1) from key columns.
-    """
-    e = plain(edges).crossJoin(edges.sparkSession.range(copies).select(F.col("id").alias("copy")))
-    place = lambda key: F.row_number().over(Window.partitionBy("copy").orderBy(key))
-    tails = e.select("copy", "src", place(F.struct("src", "dst")).alias("k"))
-    heads = e.select("copy", "dst", place(F.struct(uniform([F.lit("stub"), F.col("copy"), F.col("src"), F.col("dst")]), F.col("src"), F.col("dst"))).alias("k"))
-    return tails.join(heads, ["copy", "k"]).where("src <> dst").select("copy", "src", "dst").distinct()
-
-
 def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     """node, community: greedy modularity moves, even and odd hashes in turn, then labels as their least member.
 

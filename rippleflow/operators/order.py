@@ -14,8 +14,12 @@ def before(df: DataFrame, order: list[str], value: Column, name: str, within: tu
     Rows are dealt by ranges of the order and written; each range adds the sum of the ranges before it, a table of
     a row a range and group, to a running sum of its own. Equal rows follow one another in any order and may lie in
     several ranges, so a frequent value fills no task of its own.
+
+    Rows are written before they are dealt, and ties are settled by a row's position in what was written: a task that
+    runs again after a loss reads the same file and deals its rows as before, in whatever order its own input came.
     """
-    ranges = df.withColumn("__value", value).withColumn("__tie", F.rand(7)).repartitionByRange(*within, *order, "__tie")
+    written = cut(df.withColumn("__value", value))
+    ranges = written.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*within, *order, "__tie")
     placed, keys = cut(ranges.withColumn("__range", F.spark_partition_id())), [*within, "__range"]
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys).agg(F.sum("__value").alias("__sum"))

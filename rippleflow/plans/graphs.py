@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import u01
-from ..operators import graph, similarity
+from ..operators import graph, null_models, similarity
 from ..operators.iterate import cut
 from ..sources.adapter import Network
 
@@ -98,16 +98,27 @@ def cyclicity(n: Network) -> DataFrame:
 
 
 def null_model(n: Network) -> DataFrame:
-    copies = graph.configuration_model(_edges(n), u01, 3)
+    copies = null_models.directed_copies(_edges(n), u01, 3)
     return copies.groupBy(F.col("copy").alias("copy")).agg(F.count("*").alias("edges"))
 
 
+def chance(n: Network) -> DataFrame:
+    """Clustering of the largest component against 50 directed and 30 undirected null graphs."""
+    c = null_models.clustering_against_chance(graph.largest_component(_edges(n)), u01)
+    return c.select("measure", *[F.round(x, 6).alias(x) for x in ("observed", "null_mean", "null_sd", "ratio", "z")], "copies")
+
+
 def small_world(n: Network) -> DataFrame:
-    """L, ln N / ln k and their ratio for the undirected graph."""
-    e = cut(graph.undirected(_edges(n)))
+    """L from 1,000 sampled sources, ln N / ln k, their ratio, and sigma = (C / C_null) / ratio by either clustering."""
+    inside = cut(graph.largest_component(_edges(n)))
+    e = cut(graph.undirected(inside))
     size = e.agg(F.count("*").alias("m"), F.countDistinct("src").alias("n"))
-    length = graph.distances(e).agg(F.avg("d").alias("l"))
-    return size.crossJoin(length).select(F.round("l", 6).alias("l"), F.round(F.log(F.col("n")) / F.log(F.col("m") / F.col("n")), 6).alias("l_random"), F.round(F.col("l") / (F.log(F.col("n")) / F.log(F.col("m") / F.col("n"))), 6).alias("ratio"))
+    length = graph.distances(e, graph.sampled_nodes(e, u01, 1000)).agg(F.avg("d").alias("l"))
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("ratio"))).alias(m)
+    c = null_models.clustering_against_chance(inside, u01).agg(of("directed"), of("undirected"))
+    random = F.log(F.col("n")) / F.log(F.col("m") / F.col("n"))
+    one = size.crossJoin(length).crossJoin(c).withColumn("l_random", random).withColumn("ratio", F.col("l") / F.col("l_random"))  # rows of one
+    return one.select(*[F.round(x, 6).alias(x) for x in ("l", "l_random", "ratio")], F.round(F.col("directed") / F.col("ratio"), 6).alias("sigma_directed"), F.round(F.col("undirected") / F.col("ratio"), 6).alias("sigma_undirected"))
 
 
 def louvain(n: Network) -> DataFrame:
@@ -228,6 +239,7 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "G15_betweenness": between,
     "G16_edge_betweenness": edge_between,
     "G20_configuration_model": null_model,
+    "G20_clustering_null": chance,
     "G21_small_world": small_world,
     "G22_communities": louvain,
     "G26_core_numbers": cores,
@@ -300,11 +312,35 @@ def _reach_sql() -> str:
 
 _PATHS = "paths AS (SELECT src AS s, dst AS x, [src, dst] AS path, 1 AS d FROM e UNION ALL SELECT p.s, e.dst, list_append(p.path, e.dst), p.d + 1 FROM paths p JOIN e ON p.x = e.src JOIN dist ON dist.s = p.s AND dist.x = e.dst AND dist.d = p.d + 1), count_of AS (SELECT s, x, count(*) AS n FROM paths GROUP BY s, x)"
 _UNDIRECTED = "e AS (SELECT src, dst FROM {relations} WHERE src <> dst UNION SELECT dst, src FROM {relations} WHERE src <> dst), nodes AS (SELECT DISTINCT src AS x FROM e)"
+#: Clustering of the largest component and of its null graphs (copy -1: the component itself), by rank joins and all wedges.
+_CHANCE = """a AS (SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM {relations} WHERE src <> dst), b0 AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a),
+    lab AS (SELECT src AS s, src AS x FROM b0 UNION SELECT l.s, b0.dst FROM lab l JOIN b0 ON l.x = b0.src), comp AS MATERIALIZED (SELECT s, min(x) AS c FROM lab GROUP BY s), big AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+    nodes AS MATERIALIZED (SELECT comp.s AS x FROM comp JOIN big ON comp.c = big.c), e AS MATERIALIZED (SELECT a.src, a.dst FROM a JOIN nodes ON a.src = nodes.x), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    tails AS (SELECT src, row_number() OVER (ORDER BY src, dst) AS k FROM e), cs AS (SELECT unnest(range(50)) AS copy),
+    heads AS (SELECT copy, dst, row_number() OVER (PARTITION BY copy ORDER BY @u01(concat_ws('|', 'stub', copy, src, dst)), src, dst) AS k FROM e CROSS JOIN cs),
+    ends AS (SELECT copy, src, row_number() OVER (PARTITION BY copy ORDER BY @u01(concat_ws('|', 'end', copy, src, dst)), src, dst) - 1 AS k FROM b CROSS JOIN cs WHERE copy < 30),
+    dg AS (SELECT -1 AS copy, src, dst FROM e UNION ALL SELECT DISTINCT h.copy, t.src, h.dst FROM heads h JOIN tails t ON h.k = t.k WHERE t.src <> h.dst),
+    ug AS (SELECT -1 AS copy, src, dst FROM b WHERE src < dst UNION ALL SELECT DISTINCT copy, u, v FROM (SELECT copy, k // 2 AS p, min(src) AS u, max(src) AS v FROM ends GROUP BY copy, k // 2) y WHERE u <> v),
+    ds AS MATERIALIZED (SELECT copy, i, j, count(*) AS w FROM (SELECT copy, src AS i, dst AS j FROM dg UNION ALL SELECT copy, dst, src FROM dg) y GROUP BY copy, i, j),
+    us AS MATERIALIZED (SELECT copy, src AS i, dst AS j FROM ug UNION ALL SELECT copy, dst, src FROM ug),
+    dt AS (SELECT x.copy, x.i, sum(x.w * y.w * z.w) AS t FROM ds x JOIN ds y ON x.copy = y.copy AND x.j = y.i JOIN ds z ON y.copy = z.copy AND y.j = z.i AND z.j = x.i GROUP BY x.copy, x.i),
+    dd AS (SELECT copy, i, sum(w) AS tot, sum(CASE WHEN w = 2 THEN 1 ELSE 0 END) AS mutual FROM ds GROUP BY copy, i),
+    ut AS (SELECT x.copy, x.i, count(*) AS t FROM us x JOIN us y ON x.copy = y.copy AND x.j = y.i JOIN us z ON y.copy = z.copy AND y.j = z.i AND z.j = x.i GROUP BY x.copy, x.i), ud AS (SELECT copy, i, count(*) AS k FROM us GROUP BY copy, i),
+    cl AS (SELECT 'directed' AS measure, d.copy, sum(CASE WHEN t.t > 0 THEN (t.t / 2.0) / (d.tot * (d.tot - 1) - 2 * d.mutual) ELSE 0.0 END) / (SELECT count(*) FROM nodes) AS x FROM dd d LEFT JOIN dt t ON d.copy = t.copy AND d.i = t.i GROUP BY d.copy
+        UNION ALL SELECT 'undirected', d.copy, sum(CASE WHEN t.t > 0 THEN t.t / (1.0 * d.k * (d.k - 1)) ELSE 0.0 END) / (SELECT count(*) FROM nodes) FROM ud d LEFT JOIN ut t ON d.copy = t.copy AND d.i = t.i GROUP BY d.copy
+        UNION ALL SELECT 'transitivity', d.copy, coalesce(sum(t.t), 0) / (1.0 * sum(d.k * (d.k - 1))) FROM ud d LEFT JOIN ut t ON d.copy = t.copy AND d.i = t.i GROUP BY d.copy),
+    law AS (SELECT measure, avg(x) AS null_mean, stddev_pop(x) AS null_sd, count(*) AS copies FROM cl WHERE copy >= 0 GROUP BY measure),
+    chance AS MATERIALIZED (SELECT l.measure, c.x AS observed, l.null_mean, l.null_sd, c.x / l.null_mean AS ratio, (c.x - l.null_mean) / l.null_sd AS z, l.copies FROM law l JOIN cl c ON l.measure = c.measure AND c.copy = -1)"""
 ORACLES: dict[str, str] = {
     "G11_diameter": f"WITH RECURSIVE {_UNDIRECTED}, {_WALK}, {_DIST}, lab AS (SELECT s, least(min(x), s) AS c FROM dist GROUP BY s), big AS (SELECT c FROM lab GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT CAST(max(d.d) AS BIGINT) AS diameter FROM dist d JOIN lab l ON d.s = l.s JOIN big ON l.c = big.c",
     "G15_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, mid AS (SELECT p.path[i] AS v, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(2, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT v, sum(share) AS t FROM mid GROUP BY v), z AS (SELECT count(*) AS n FROM nodes) SELECT n.x AS firm_id, round(coalesce(t.t, 0) / ((z.n - 1.0) * (z.n - 2.0)), 9) AS betweenness FROM nodes n CROSS JOIN z LEFT JOIN t ON n.x = t.v",
     "G16_edge_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, step AS (SELECT p.path[i] AS a, p.path[i + 1] AS b, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(1, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT a, b, sum(share) AS t FROM step GROUP BY a, b), z AS (SELECT count(*) AS n FROM nodes) SELECT e.src, e.dst, round(coalesce(t.t, 0) / (z.n * (z.n - 1.0)), 9) AS betweenness FROM e CROSS JOIN z LEFT JOIN t ON e.src = t.a AND e.dst = t.b",
-    "G21_small_world": f"WITH RECURSIVE {_UNDIRECTED}, {_WALK}, {_DIST}, z AS (SELECT (SELECT count(*) FROM e) AS m, (SELECT count(*) FROM nodes) AS n, (SELECT avg(d) FROM dist) AS l) SELECT round(l, 6) AS l, round(ln(n) / ln(m / (1.0 * n)), 6) AS l_random, round(l / (ln(n) / ln(m / (1.0 * n))), 6) AS ratio FROM z",
+    "G20_clustering_null": f"WITH RECURSIVE {_CHANCE} SELECT measure, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio, round(z, 6) AS z, copies FROM chance",
+    "G21_small_world": f"""WITH RECURSIVE {_CHANCE}, picked AS (SELECT x FROM nodes ORDER BY @u01(concat_ws('|', 'source', x)), x LIMIT 1000),
+        walk AS (SELECT b.src AS s, b.dst AS x, 1 AS d FROM b JOIN picked p ON b.src = p.x UNION SELECT w.s, b.dst, w.d + 1 FROM walk w JOIN b ON w.x = b.src WHERE w.d < {DEEP}),
+        dist AS (SELECT s, x, min(d) AS d FROM walk WHERE s <> x GROUP BY s, x), z AS (SELECT (SELECT count(*) FROM b) AS m, (SELECT count(*) FROM nodes) AS n, (SELECT avg(d) FROM dist) AS l),
+        q AS (SELECT l, ln(n) / ln(m / (1.0 * n)) AS r FROM z)
+        SELECT round(l, 6) AS l, round(r, 6) AS l_random, round(l / r, 6) AS ratio, round((SELECT ratio FROM chance WHERE measure = 'directed') / (l / r), 6) AS sigma_directed, round((SELECT ratio FROM chance WHERE measure = 'undirected') / (l / r), 6) AS sigma_undirected FROM q""",
     "G4_weak_components": f"WITH RECURSIVE {_E}, {_BOTH} SELECT s AS firm_id, c AS component FROM comp",
     "G5_strong_components": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_MUTUAL} SELECT s AS firm_id, c AS component FROM scc",
     "G6_tiers": f"""WITH RECURSIVE {_E}, {_WALK}, {_DIST}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src)
