@@ -81,6 +81,14 @@ def cached(spark: SparkSession, name: str, inputs: Iterable[str], parameters: di
     return spark.read.parquet(where)
 
 
+def table_or(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made first unless it is there whole. A table without its end is written anew."""
+    fs, end = _files(spark, path + "/_SUCCESS")
+    if not fs.exists(end):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop_older(spark: SparkSession, seconds: float, name: str | None = None, folder: str | None = None) -> int:
     """Removes entries (of one name, or all) whose folder hasn't changed for so many seconds; tells how many."""
     folder = (folder or f"{shared_folder(spark)}/results").rstrip("/")

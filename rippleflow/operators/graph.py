@@ -6,7 +6,7 @@ driver but counts and sums. Frontiers shrink the join to new rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .iterate import cut, until_stable
@@ -256,20 +256,31 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return plain(edges).join(total, ["src", "dst"], "left").select("src", "dst", (F.coalesce("t", F.lit(0.0)) / max(1, n * (n - 1))).alias("betweenness"))
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """node, core: peeling by rounds; a node whose degree is at most k goes in round k."""
-    live, k = cut(undirected(edges)), 0
-    left, frames = nodes_of(live), []
-    while True:
-        degree = cut(left.join(live.groupBy("src").agg(F.count("*").alias("deg")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("deg", F.lit(0)).alias("deg")))
-        low = degree.agg(F.min("deg")).first()[0]
-        if low is None:
+def core_numbers(edges: DataFrame, limit: int = 10**6) -> DataFrame:
+    """node, core: every node takes the h-index of its partners' values, from degrees down, until none changes.
+
+    h is the greatest v with v partners of v or more; partners' values above a node's own count as its own, so a hub's
+    partners are counted by value before they meet. Components that are trees have 1 and are set aside first, so a long
+    chain costs no rounds; a path that hangs on a denser part still takes about a round a node.
+    """
+    both = cut(undirected(edges))
+    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("v")))
+    part = cut(weak_components(both).join(degree, "node"))
+    size = part.groupBy("component").agg(F.count("*").alias("n"), F.sum("v").alias("ends"))
+    trees = size.where("ends = 2 * (n - 1)").select("component")
+    easy = cut(part.join(trees, "component", "left_semi").select("node", F.lit(1).cast("long").alias("core")))
+    state = cut(part.join(trees, "component", "left_anti").select("node", "v"))
+    links = cut(both.join(state.select(F.col("node").alias("src")), "src", "left_semi"))
+    for _ in range(limit):
+        seen = links.join(state.select(F.col("node").alias("dst"), F.col("v").alias("theirs")), "dst").join(state.select(F.col("node").alias("src"), "v"), "src")
+        counts = seen.groupBy(F.col("src").alias("node"), F.least("theirs", "v").alias("x")).agg(F.count("*").alias("c"))
+        above = F.sum("c").over(Window.partitionBy("node").orderBy(F.desc("x")))
+        h = counts.withColumn("above", above).groupBy("node").agg(F.max(F.least("x", "above")).alias("h"))
+        state = cut(state.join(h, "node").select("node", F.col("h").alias("v"), (F.col("h") < F.col("v")).alias("fell")))
+        if state.where("fell").isEmpty():
             break
-        k = max(k, int(low))
-        frames.append(degree.where(F.col("deg") <= k).select("node", F.lit(k).alias("core")))
-        left = degree.where(F.col("deg") > k).select("node")
-        live = cut(live.join(left, F.col("src") == F.col("node"), "left_semi").join(left, F.col("dst") == F.col("node"), "left_semi"))
-    return _union(frames) if frames else left.withColumn("core", F.lit(0))
+        state = state.select("node", "v")
+    return easy.union(state.select("node", F.col("v").alias("core")))
 
 
 def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:

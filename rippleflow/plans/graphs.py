@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import u01
-from ..operators import graph, null_models, similarity
+from ..operators import graph, null_models, paths, similarity
 from ..operators.iterate import cut
 from ..sources.adapter import Network
 
@@ -59,13 +59,26 @@ def path_lengths(n: Network) -> DataFrame:
     return found.agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 6).alias("mean"), F.expr("percentile(d, 0.5)").alias("median"), F.round(F.stddev_pop("d"), 6).alias("sd"))
 
 
+def sampled_lengths(n: Network) -> DataFrame:
+    """Lengths of paths of the undirected largest component from 1,000 sampled sources."""
+    e = cut(graph.undirected(graph.largest_component(_edges(n))))
+    found = graph.distances(e, graph.sampled_nodes(e, u01, 1000))
+    return found.agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 6).alias("mean"), F.expr("percentile(d, 0.5)").alias("median"), F.round(F.stddev_pop("d"), 6).alias("sd"))
+
+
+def reach_sketch(n: Network) -> DataFrame:
+    """Estimated number of firms downstream, and mean distance to them."""
+    r = paths.reach_sketches(_edges(n))
+    return r.select(F.col("node").alias("firm_id"), "reached", F.when(F.col("reached") > 0, F.col("total") / F.col("reached")).alias("mean_distance"))
+
+
+def close_sketch(n: Network) -> DataFrame:
+    return paths.closeness_sketch(_edges(n), _linked(n)).withColumnRenamed("node", "firm_id")
+
+
 def diameter(n: Network) -> DataFrame:
-    e = graph.undirected(_edges(n))
-    labels = cut(graph.weak_components(e))
-    largest = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    core = cut(labels.join(largest, "component", "left_semi").select("node"))
-    inside = e.join(core, F.col("src") == F.col("node"), "left_semi")
-    return graph.distances(inside).agg(F.max("d").cast("long").alias("diameter"))
+    d = paths.diameter(graph.largest_component(_edges(n)))
+    return n.spark.createDataFrame([(d,)], "diameter long")
 
 
 def rank(n: Network) -> DataFrame:
@@ -81,11 +94,11 @@ def close(n: Network) -> DataFrame:
 
 
 def between(n: Network) -> DataFrame:
-    return graph.betweenness(_edges(n), _linked(n)).select(F.col("node").alias("firm_id"), F.round("betweenness", 9).alias("betweenness"))
+    return paths.betweenness(_edges(n), _linked(n)).select(F.col("node").alias("firm_id"), F.round("betweenness", 9).alias("betweenness"))
 
 
 def edge_between(n: Network) -> DataFrame:
-    return graph.edge_betweenness(_edges(n), _linked(n)).select("src", "dst", F.round("betweenness", 9).alias("betweenness"))
+    return paths.edge_betweenness(_edges(n), _linked(n)).select("src", "dst", F.round("betweenness", 9).alias("betweenness"))
 
 
 def cores(n: Network) -> DataFrame:
@@ -232,6 +245,9 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "G8_descendants": descendants,
     "G9_bow_tie": bow,
     "G10_path_lengths": path_lengths,
+    "G8_reach_sketch": reach_sketch,
+    "G10_sampled_lengths": sampled_lengths,
+    "G14_closeness_sketch": close_sketch,
     "G11_diameter": diameter,
     "G12_pagerank": rank,
     "G13_eigenvector": eigen,
@@ -331,7 +347,19 @@ _CHANCE = """a AS (SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(dst AS BIGIN
         UNION ALL SELECT 'transitivity', d.copy, coalesce(sum(t.t), 0) / (1.0 * sum(d.k * (d.k - 1))) FROM ud d LEFT JOIN ut t ON d.copy = t.copy AND d.i = t.i GROUP BY d.copy),
     law AS (SELECT measure, avg(x) AS null_mean, stddev_pop(x) AS null_sd, count(*) AS copies FROM cl WHERE copy >= 0 GROUP BY measure),
     chance AS MATERIALIZED (SELECT l.measure, c.x AS observed, l.null_mean, l.null_sd, c.x / l.null_mean AS ratio, (c.x - l.null_mean) / l.null_sd AS z, l.copies FROM law l JOIN cl c ON l.measure = c.measure AND c.copy = -1)"""
+
+
+def _core_sql(rounds: int = 40) -> str:
+    """h-index rounds, more than any here takes."""
+    steps = ["v0 AS MATERIALIZED (SELECT src AS x, count(*) AS v FROM e GROUP BY src)"]
+    for i in range(rounds):
+        steps.append(f"s{i} AS (SELECT e.src AS x, list_sort(list(v.v), 'DESC') AS l FROM e JOIN v{i} v ON e.dst = v.x GROUP BY e.src), v{i + 1} AS MATERIALIZED (SELECT x, len(list_filter(range(1, len(l) + 1), lambda k: l[k] >= k)) AS v FROM s{i})")
+    return f"WITH {_UNDIRECTED}, {', '.join(steps)} SELECT x AS firm_id, CAST(v AS BIGINT) AS core FROM v{rounds}"
+
+
 ORACLES: dict[str, str] = {
+    "G26_core_numbers": _core_sql(),
+    "G10_sampled_lengths": f"WITH RECURSIVE {_UNDIRECTED}, lab AS (SELECT src AS s, src AS x FROM e UNION SELECT l.s, e.dst FROM lab l JOIN e ON l.x = e.src), comp AS MATERIALIZED (SELECT s, min(x) AS c FROM lab GROUP BY s), big AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), picked AS (SELECT s AS x FROM comp JOIN big ON comp.c = big.c ORDER BY @u01(concat_ws('|', 'source', s)), s LIMIT 1000), walk AS (SELECT e.src AS s, e.dst AS x, 1 AS d FROM e JOIN picked p ON e.src = p.x UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON w.x = e.src WHERE w.d < {DEEP}), {_DIST} SELECT count(*) AS pairs, round(avg(d), 6) AS mean, quantile_cont(d, 0.5) AS median, round(stddev_pop(d), 6) AS sd FROM dist",
     "G11_diameter": f"WITH RECURSIVE {_UNDIRECTED}, {_WALK}, {_DIST}, lab AS (SELECT s, least(min(x), s) AS c FROM dist GROUP BY s), big AS (SELECT c FROM lab GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT CAST(max(d.d) AS BIGINT) AS diameter FROM dist d JOIN lab l ON d.s = l.s JOIN big ON l.c = big.c",
     "G15_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, mid AS (SELECT p.path[i] AS v, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(2, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT v, sum(share) AS t FROM mid GROUP BY v), z AS (SELECT count(*) AS n FROM nodes) SELECT n.x AS firm_id, round(coalesce(t.t, 0) / ((z.n - 1.0) * (z.n - 2.0)), 9) AS betweenness FROM nodes n CROSS JOIN z LEFT JOIN t ON n.x = t.v",
     "G16_edge_betweenness": f"WITH RECURSIVE {_E}, {_WALK}, {_DIST}, {_PATHS}, step AS (SELECT p.path[i] AS a, p.path[i + 1] AS b, 1.0 / c.n AS share FROM (SELECT s, x, path, unnest(range(1, len(path))) AS i FROM paths) p JOIN count_of c ON p.s = c.s AND p.x = c.x), t AS (SELECT a, b, sum(share) AS t FROM step GROUP BY a, b), z AS (SELECT count(*) AS n FROM nodes) SELECT e.src, e.dst, round(coalesce(t.t, 0) / (z.n * (z.n - 1.0)), 9) AS betweenness FROM e CROSS JOIN z LEFT JOIN t ON e.src = t.a AND e.dst = t.b",
