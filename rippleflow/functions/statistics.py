@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.iterate import cut
-from ..operators.order import before, numbered
+from ..operators.order import before
 
 
 def logistic(rows: DataFrame, features: list[str], successes: str, trials: str, rounds: int = 25, tolerance: float = 1e-9) -> list[float]:
@@ -105,13 +104,3 @@ def _beta(x: float, a: float, b: float) -> float:
         if abs(1 - c * d) < 1e-14:
             break
     return front * (f - 1)
-
-
-def bootstrap_interval(rows: DataFrame, value: str, resamples: int, uniform, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """low, high: percentile interval of the mean; draw b, i takes the row at floor(u(b, i) n) of the sorted values."""
-    size = rows.agg(F.count("*").alias("n"))  # one row
-    x = cut(numbered(rows.select(F.col(value).alias("y")), ["y"], "i").crossJoin(F.broadcast(size))).select("y", "i", "n")
-    b = rows.sparkSession.range(resamples).select(F.col("id").alias("b"))
-    j = F.floor(uniform([F.lit("boot"), F.col("b"), F.col("i")]) * F.col("n"))
-    means = x.select("i", "n").crossJoin(F.broadcast(b)).select("b", j.alias("i")).join(x.select("i", "y"), "i").groupBy("b").agg(F.avg("y").alias("m"))
-    return means.agg(F.expr(f"percentile(m, {low})").alias("low"), F.expr(f"percentile(m, {high})").alias("high"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import powerlaw, statistics
+from ..functions import bootstrap, powerlaw, statistics
 from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
@@ -50,6 +50,27 @@ def power_law_rivals(n: Network) -> DataFrame:
     return r.select("series", *[F.round(c, 6).alias(c) for c in r.columns[1:5]])
 
 
+def bootstrap_means(n: Network) -> DataFrame:
+    """Per arm, mean final size and its interval from 2,000 resamples."""
+    return _intervals(n, "arm", "mean", 2000)
+
+
+def bootstrap_medians(n: Network) -> DataFrame:
+    """Per number of seeds, median final size and its interval from 1,000 resamples."""
+    return _intervals(n, "num_seeds", "median", 1000)
+
+
+def _intervals(n: Network, group: str, statistic: str, resamples: int) -> DataFrame:
+    runs = cut(n["runs"].select(group, (F.col("weeks") - F.col("num_seeds")).cast("double").alias("y")))
+    own = F.avg("y") if statistic == "mean" else F.expr("percentile(y, 0.5)")
+    out = None
+    for g in sorted(r[0] for r in runs.select(group).distinct().collect()):  # arms, or numbers of seeds: a handful
+        mine = runs.where(F.col(group) == g)
+        one = mine.agg(F.lit(g).alias(group), F.count("*").alias("runs"), F.round(own, 6).alias(statistic)).crossJoin(bootstrap.interval(mine, "y", resamples, statistic))  # rows of one
+        out = one if out is None else out.union(one)
+    return out.select(group, "runs", statistic, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 def budgets(n: Network) -> DataFrame:
     return scenario.budgets(n["relations"], _tiers(n), SEED)
 
@@ -173,6 +194,8 @@ def _power_law_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[Network], DataFrame]] = {
+    "N7_bootstrap_means": bootstrap_means,
+    "N7_bootstrap_medians": bootstrap_medians,
     "N19_power_law": power_laws,
     "N19_rival_tails": power_law_rivals,
     "C13_gamma_by_folds": gamma_by_folds,
