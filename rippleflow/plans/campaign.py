@@ -175,6 +175,31 @@ def link_models(n: Network) -> DataFrame:
     return links.link_models(exposed_links(n)).select("kind", "model", "term", F.round("value", 6).alias("value"))
 
 
+def _cdf(x: str) -> str:
+    """random.normal_cdf for the other engine: its fit's coefficients, from the constant term up."""
+    t, poly = f"(1 / (1 + 0.5 * (abs({x}) / sqrt(2.0))))", "0.0"
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * {t} + {c!r})"
+    half = f"({t} * exp(-({x}) * ({x}) / 2.0 + {poly}) / 2.0)"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {half} ELSE {half} END"
+
+
+def _edge_products_sql() -> str:
+    """Edges' numbers of products, products and amounts by joins and windows, one row an option."""
+    u = lambda what, *keys: f"@u01(concat_ws('|', '{SEED}', '{what}', {', '.join(keys)}))"
+    return f"""WITH cnt AS (SELECT sum(amount) AS n FROM {{edge_products}} GROUP BY src, dst), st AS (SELECT count(*) AS n, coalesce(stddev_samp(n), 0) * power(count(*), -0.2) AS h, max(n) AS top FROM cnt),
+        grid AS (SELECT m, st.n, h, (m + 0.5 - cnt.n) / h AS x FROM st CROSS JOIN (SELECT unnest(range(0, (SELECT CAST(ceil(top + 9 * h) AS BIGINT) + 1 FROM st))) AS m) q CROSS JOIN cnt),
+        law AS MATERIALIZED (SELECT m, sum({_cdf("x")}) / max(n) AS g FROM grid GROUP BY m), ends AS (SELECT max(m) AS last FROM law),
+        pool AS (SELECT product, count(*) AS pool FROM {{capabilities}} GROUP BY product), pf AS (SELECT firm_id, count(*) AS p FROM {{capabilities}} GROUP BY firm_id),
+        w AS (SELECT r.src, r.dst, pf.p, a.g + {u("number", "r.src", "r.dst")} * (b.g - a.g) AS want FROM {{relations}} r JOIN pf ON r.src = pf.firm_id CROSS JOIN ends JOIN law a ON a.m = 0 JOIN law b ON b.m = least(pf.p, ends.last) WHERE NOT r.annotated),
+        k AS (SELECT w.src, w.dst, least(w.p, 1 + count(l.m)) AS k FROM w LEFT JOIN law l ON l.m BETWEEN 1 AND w.p AND l.g < w.want GROUP BY w.src, w.dst, w.p),
+        opt AS (SELECT k.src, k.dst, k.k, c.product, row_number() OVER (PARTITION BY k.src, k.dst ORDER BY -ln({u("product", "k.src", "k.dst", "c.product")}) / power(p.pool + 1.0, 0.5), c.product) AS r FROM k JOIN {{capabilities}} c ON k.src = c.firm_id JOIN pool p ON c.product = p.product),
+        hp AS (SELECT product, coalesce(stddev_samp(amount), 0) * power(count(*), -0.2) AS h FROM {{edge_products}} GROUP BY product),
+        part AS (SELECT product, v, h, a, sum(c * (1 - a)) OVER (PARTITION BY product ORDER BY v) AS up, sum(c * (1 - a)) OVER (PARTITION BY product) AS total FROM (SELECT e.product, e.v, e.c, hp.h, CASE WHEN hp.h > 0 THEN {_cdf("((0.5 - e.v) / nullif(hp.h, 0))")} ELSE 0.0 END AS a FROM (SELECT product, CAST(amount AS DOUBLE) AS v, count(*) AS c FROM {{edge_products}} GROUP BY product, amount) e JOIN hp ON e.product = hp.product) y),
+        got AS (SELECT o.src, o.dst, o.product, t.v, t.h, t.a + {u("amount", "o.src", "o.dst", "o.product")} * (1 - t.a) AS q, row_number() OVER (PARTITION BY o.src, o.dst, o.product ORDER BY t.v) AS s FROM opt o LEFT JOIN part t ON o.product = t.product AND t.up >= {u("part", "o.src", "o.dst", "o.product")} * t.total WHERE o.r <= o.k)
+        SELECT src, dst, product, CAST(amount AS BIGINT) AS amount FROM {{edge_products}} UNION ALL SELECT src, dst, product, CAST(CASE WHEN v IS NULL THEN 1 WHEN h > 0 THEN greatest(1, round_even(v + h * ({ticks.quantile("q")}), 0)) ELSE v END AS BIGINT) FROM got WHERE s = 1"""
+
+
 def _zeta(s: str, a: str) -> str:
     """powerlaw.hurwitz for the other engine."""
     b = f"({a} + 10.0)"
@@ -240,6 +265,7 @@ _HOLDOUT = f"""WITH {_DRAWS}, met AS (SELECT d.gamma, d.draw, o.src, o.dst, o.pr
         SELECT pl.gamma, pl.n AS drawn, round(pl.m, 6) AS median, round(pl.s10, 6) AS share_le10, round(pl.s0, 6) AS share_zero, round(rec.recall, 6) AS recall, round(sc.m, 6) AS scarcest_median, round(sc.s10, 6) AS scarcest_share_le10, round(sc.s0, 6) AS scarcest_share_zero, round(sc.rho, 6) AS spearman, round(ks.ks, 6) AS ks
         FROM pl JOIN rec ON pl.gamma = rec.gamma JOIN sc ON pl.gamma = sc.gamma JOIN ks ON pl.gamma = ks.gamma"""
 ORACLES: dict[str, str] = {
+    "Z21_edge_products": _edge_products_sql(),
     "N19_power_law": _power_law_sql(),
     "Z22_budgets": f"WITH RECURSIVE {graphs._E}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src), up AS (SELECT x, 0 AS d FROM sinks UNION SELECT e.src, u.d + 1 FROM up u JOIN e ON u.x = e.dst WHERE u.d < 24), t AS (SELECT x, min(d) AS tier FROM up GROUP BY x) SELECT src, dst, CAST(floor({_STOCK('out', 'src')} + {_STOCK('in', 'dst')}) AS BIGINT) AS max_trials FROM (SELECT r.src, r.dst, a.tier AS out_tier, b.tier AS in_tier FROM (SELECT DISTINCT src, dst FROM {{relations}}) r LEFT JOIN t a ON r.src = a.x LEFT JOIN t b ON r.dst = b.x) z",
     "Z23_node_scenario": f"SELECT firm_id, CAST(greatest(degree, 1) AS BIGINT) AS size, round({_truncated('k', 1.5, 0.5, 1.0, 10000.0)}, 6) AS k, CASE WHEN out_degree = 0 THEN 1 ELSE CAST(@half(CAST(out_weight AS DOUBLE) * (1 - {_truncated('use', 0.75, 0.1, 0.0, 1.0)}), 0) AS BIGINT) END AS cap FROM {{degrees}}",

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import normal_quantile, race, truncated_normal, u01
+from ..functions.random import normal_cdf, normal_quantile, race, truncated_normal, u01
+from ..operators.iterate import cut
 from ..operators.order import numbered
 
 
@@ -37,29 +38,68 @@ def kde_resample(values: DataFrame, targets: DataFrame, value: str, keys: list[s
     return drawn.withColumn("x", F.coalesce("v", F.lit(0.0)) + step * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).drop("v", "i", "n", "sd")
 
 
-def sample_edge_products(relations: DataFrame, capabilities: DataFrame, edge_products: DataFrame, pools: DataFrame, seed: str, gamma: float = 0.0, attempts: int = 16) -> DataFrame:
+def count_law(values: DataFrame, value: str) -> DataFrame:
+    """law: one row, the cumulated law of a rounded kernel density at 0, 1, 2, ... (share below m + 1/2), and most, its last m.
+
+    The density is the values' (whole numbers) mixture of normals of Scott's bandwidth. It is a sum over distinct values, up
+    to where nothing is left above, nine bandwidths over the greatest value.
+    """
+    counts = values.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    stats = values.agg(F.count("*").alias("n"), (F.coalesce(F.stddev_samp(value), F.lit(0.0)) * F.pow(F.count("*"), F.lit(-0.2))).alias("h"), F.max(value).cast("double").alias("top"))  # one row
+    grid = counts.crossJoin(F.broadcast(stats)).withColumn("m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("top") + 9 * F.col("h")).cast("int"))))
+    step = F.col("m") + 0.5 - F.col("v")
+    part = F.when(F.col("h") > 0, normal_cdf(step / F.col("h"))).otherwise((step >= 0).cast("double"))
+    shares = grid.groupBy("m").agg((F.sum(F.col("c") * part) / F.max("n")).alias("g"))
+    return shares.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "g"))), lambda x: x["g"]).alias("law"))
+
+
+def draw_within(law: Column, u: Column, most: Column) -> Column:
+    """A whole number from 1 to most by the law, given that it lies there: the inverse of the law between its bounds.
+
+    That is what drawing anew until the number fits would give, in one step. Where the law has nothing within the bounds,
+    the number is the bound that is nearer to the law; without a law (no counts) it is 1.
+    """
+    top = F.least(most.cast("int"), F.size(law) - 1)
+    low, high = law[0], F.element_at(law, top + 1)
+    below = F.size(F.filter(F.slice(law, 2, F.greatest(top, F.lit(0))), lambda g: g < low + u * (high - low)))
+    return F.when(F.coalesce(F.size(law), F.lit(0)) < 1, F.lit(1)).when(high > low, F.least(below + 1, most)).when(low >= 1, F.lit(1)).otherwise(most).cast("long")
+
+
+def amount_laws(edge_products: DataFrame) -> DataFrame:
+    """product, parts: its amounts v with bandwidth h, and shares cumulated with a, each normal's part below 1/2."""
+    stats = edge_products.groupBy("product").agg((F.coalesce(F.stddev_samp("amount"), F.lit(0.0)) * F.pow(F.count("*"), F.lit(-0.2))).alias("h"))
+    each = edge_products.groupBy("product", F.col("amount").cast("double").alias("v")).agg(F.count("*").alias("c")).join(stats, "product")
+    a = F.when(F.col("h") > 0, normal_cdf((0.5 - F.col("v")) / F.col("h"))).otherwise(F.lit(0.0))
+    each = each.withColumn("a", a).withColumn("up", F.sum(F.col("c") * (1 - F.col("a"))).over(Window.partitionBy("product").orderBy("v")))
+    return each.groupBy("product").agg(F.array_sort(F.collect_list(F.struct("up", "v", "h", "a"))).alias("parts"))
+
+
+def draw_amount(parts: Column, pick: Column, u: Column) -> Column:
+    """A rounded draw from the kernel density, given that it is 1 or more: a component, then its normal above 1/2; 1 without parts."""
+    want = pick * F.element_at(parts, -1)["up"]
+    part = F.coalesce(F.filter(parts, lambda p: p["up"] >= want)[0], F.element_at(parts, -1))
+    value = F.transform(F.array(part), lambda p: F.when(p["h"] > 0, p["v"] + p["h"] * normal_quantile(p["a"] + u * (1 - p["a"]))).otherwise(p["v"]))[0]
+    return F.when(parts.isNull(), F.lit(1)).otherwise(F.greatest(F.bround(value), F.lit(1.0))).cast("long")
+
+
+def sample_edge_products(relations: DataFrame, capabilities: DataFrame, edge_products: DataFrame, pools: DataFrame, seed: str, gamma: float = 0.0) -> DataFrame:
     """src, dst, product, amount of every edge: observed for annotated ones, imputed for the others.
 
-    The number of products is a resampled detail count, drawn anew until it lies in [1, portfolio size] (the first
-    of `attempts` that does, else the nearest bound); products are a weighted sample of the supplier's portfolio,
-    with weights (pool + 1)^gamma; amounts are resampled per product, the observed mean where it never varies.
+    The number of products is a resampled detail count, given that it lies in [1, portfolio size]; products are a weighted
+    sample of the supplier's portfolio, with weights (pool + 1)^gamma; amounts are resampled per product, given that they
+    are 1 or more (1 for products that no annotated edge has).
     """
     s = F.lit(seed)
-    size = capabilities.groupBy(F.col("firm_id").alias("src")).agg(F.count("*").alias("portfolio"))
-    counts = edge_products.groupBy("src", "dst").agg(F.sum("amount").cast("double").alias("n")).select("n")
-    open_ = relations.where("not annotated").select("src", "dst").join(size, "src").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    tried = kde_resample(counts, open_, "n", ["src", "dst", "try"], s, "number").withColumn("k", F.bround("x").cast("long"))
-    fit = F.col("k").between(1, F.col("portfolio"))
-    wanted = tried.groupBy("src", "dst").agg(F.coalesce(F.min(F.when(fit, F.struct("try", "k")))["k"], F.least(F.greatest(F.max("k"), F.lit(1)), F.max("portfolio"))).alias("k"))
-    weight = F.pow(F.coalesce("pool", F.lit(0)) + 1.0, F.lit(gamma))
-    options = wanted.join(capabilities.withColumnRenamed("firm_id", "src"), "src").join(pools, "product", "left")
-    arrival = race(_draw(s, "product", F.col("src"), F.col("dst"), F.col("product")), weight)
-    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy(arrival, "product"))
-    chosen = options.withColumn("place", first).where("place <= k").select("src", "dst", "product")
-    usual = edge_products.groupBy("product").agg(F.avg("amount").alias("m"), F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("sd"), F.count("*").alias("c"))
-    noise = normal_quantile(_draw(s, "amount", F.col("src"), F.col("dst"), F.col("product")))
-    amount = F.greatest(F.lit(1).cast("long"), F.bround(F.coalesce("m", F.lit(1.0)) + noise * F.coalesce("sd", F.lit(0.0)) * F.pow(F.coalesce("c", F.lit(1)), F.lit(-0.2))).cast("long"))
-    imputed = chosen.join(usual, "product", "left").select("src", "dst", "product", amount.alias("amount"))
+    offers = capabilities.withColumnRenamed("firm_id", "src").join(pools, "product", "left")
+    portfolio = offers.groupBy("src").agg(F.collect_list(F.struct("product", F.pow(F.coalesce("pool", F.lit(0)) + 1.0, F.lit(gamma)).alias("weight"))).alias("offers"))
+    counts = edge_products.groupBy("src", "dst").agg(F.sum("amount").alias("n")).select("n")
+    open_ = relations.where("not annotated").select("src", "dst").join(portfolio, "src").crossJoin(F.broadcast(cut(count_law(counts, "n"))))  # one row
+    k = draw_within(F.col("law"), _draw(s, "number", F.col("src"), F.col("dst")), F.size("offers"))
+    arrival = F.transform("offers", lambda x: F.struct(race(_draw(s, "product", F.col("src"), F.col("dst"), x["product"]), x["weight"]).alias("t"), x["product"].alias("product")))
+    chosen = open_.select("src", "dst", F.explode(F.slice(F.array_sort(arrival), 1, k.cast("int"))).alias("x")).select("src", "dst", F.col("x.product").alias("product"))
+    keys = [F.col("src"), F.col("dst"), F.col("product")]
+    amount = draw_amount(F.col("parts"), _draw(s, "part", *keys), _draw(s, "amount", *keys))
+    imputed = chosen.join(amount_laws(edge_products), "product", "left").select("src", "dst", "product", amount.alias("amount"))
     return edge_products.select("src", "dst", "product", F.col("amount").cast("long").alias("amount")).unionByName(imputed)
 
 
