@@ -68,14 +68,14 @@ def stream_sizes(n: Network) -> DataFrame:
 
 
 def regions(n: Network) -> DataFrame:
-    """Firms at made-up points, assigned to made-up squares."""
+    """Firms at made-up points, assigned to made-up squares with a hole each."""
     where = _folder(n)
-    square = "CAST(named_struct('type', 'Polygon', 'coordinates', array(array(array({0}, {1}), array({2}, {1}), array({2}, {3}), array({0}, {3}), array({0}, {1})))) AS STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>)"
-    shapes = [square.format(10 * i, 10 * j, 10 * i + 10, 10 * j + 10) for i in range(3) for j in range(3)]
+    square = "CAST(named_struct('type', 'Polygon', 'coordinates', array(array(array({0}, {1}), array({2}, {1}), array({2}, {3}), array({0}, {3}), array({0}, {1})), array(array({4}, {5}), array({6}, {5}), array({6}, {7}), array({4}, {7}), array({4}, {5})))) AS STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>)"
+    shapes = [square.format(10 * i, 10 * j, 10 * i + 10, 10 * j + 10, 10 * i + 4, 10 * j + 4, 10 * i + 7, 10 * j + 7) for i in range(3) for j in range(3)]
     features = ", ".join(f"named_struct('properties', map('nam', 'square-{k}'), 'geometry', {s})" for k, s in enumerate(shapes))
     n.spark.sql(f"SELECT array({features}) AS features").coalesce(1).write.json(where)
     points = n["firms"].select("firm_id", ((F.col("firm_id") * 7) % 40 + 0.5).alias("longitude"), ((F.col("firm_id") * 11) % 35 + 0.5).alias("latitude"))
-    return tables.locate(points, tables.polygons(n.spark, where, "nam")).select("firm_id", "name")
+    return tables.locate(points, tables.polygons(n.spark, where, "nam"), size=3.0).select("firm_id", "name")
 
 
 def gexf(n: Network) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "K5_gexf": gexf,
 }
 _PLACE = "SELECT firm_id, (firm_id * 7) % 40 + 0.5 AS x, (firm_id * 11) % 35 + 0.5 AS y FROM {firms}"
-_SQUARE = f"SELECT firm_id, CASE WHEN x < 30 AND y < 30 THEN 'square-' || CAST(floor(x / 10) * 3 + floor(y / 10) AS INTEGER) END AS name FROM ({_PLACE}) p"
+_SQUARE = f"SELECT firm_id, CASE WHEN x < 30 AND y < 30 AND NOT (x % 10 > 4 AND x % 10 < 7 AND y % 10 > 4 AND y % 10 < 7) THEN 'square-' || CAST(floor(x / 10) * 3 + floor(y / 10) AS INTEGER) END AS name FROM ({_PLACE}) p"
 ORACLES: dict[str, str] = {
     "S1_csv_scan": "SELECT firm_id, nation_id, is_oem, capital, 1.5 AS sales FROM {firms}",
     "S3_embedding_scan": "SELECT CAST(vec_id AS VARCHAR) AS product, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM {embeddings}",

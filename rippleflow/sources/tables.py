@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Schemas of the table set, by file stem.
@@ -62,29 +62,59 @@ def config_slice(configs: DataFrame, start: int, end: int | None = None) -> Data
 
 
 def polygons(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """name, part, ring: outer rings of a feature collection of polygons and multipolygons."""
+    """name, part, piece, rings: polygons and multipolygons of a feature collection; a piece's first ring is its outer one, others are holes."""
     point = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
     raw = spark.read.option("multiLine", True).schema("features ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>").json(path)
     f = raw.select(F.posexplode("features").alias("part", "f"))
     one = F.array(F.from_json("f.geometry.coordinates", point))
     many = F.from_json("f.geometry.coordinates", f"ARRAY<{point}>")
     shapes = F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many)
-    return f.select(F.col("f.properties")[name].alias("name"), "part", F.explode(shapes).alias("p")).select("name", "part", F.col("p")[0].alias("ring"))
-
-
-def inside(x, y, ring):
-    """Whether a point lies in a ring (array of [x, y]), by counting crossings of a ray."""
-    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.when((a[1] > y) != (b[1] > y), F.when(x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0], 1).otherwise(0)).otherwise(0))
-    return F.aggregate(edges, F.lit(0), lambda s, e: s + e) % 2 == 1
-
-
-def locate(points: DataFrame, shapes: DataFrame, x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """points with name: the first shape, in file order, that holds the point; shapes are few and broadcast."""
-    box = lambda i, f: F.expr(f"array_{f}(transform(ring, p -> p[{i}]))")
-    bounds = shapes.select("name", "part", "ring", box(0, "min").alias("x0"), box(0, "max").alias("x1"), box(1, "min").alias("y0"), box(1, "max").alias("y1"))
-    if shapes.count() > 100_000:
-        raise ValueError("too many shapes to share with every task")
-    px, py = F.col(x), F.col(y)
-    hit = points.join(F.broadcast(bounds), px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")) & inside(px, py, F.col("ring")), "left")
-    first = F.min(F.when(F.col("part").isNotNull(), F.struct("part", "name")))["name"].alias("name")
-    return hit.groupBy(*points.columns).agg(first)
+    return f.select(F.col("f.properties")[name].alias("name"), "part", F.posexplode(shapes).alias("piece", "rings"))
+
+
+def inside(x: Column, y: Column, segments: Column) -> Column:
+    """Whether a point lies within the area that segments (x1, y1, x2, y2) of all rings enclose, holes taken out; not on a segment.
+
+    A ray from the point crosses an odd number of segments. Only those that span its height count, so a horizontal strip's will do.
+    """
+    spans = F.filter(segments, lambda s: (s["y1"] > y) != (s["y2"] > y))
+    crossed = F.size(F.filter(spans, lambda s: x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+    on = F.exists(segments, lambda s: ((s["x2"] - s["x1"]) * (y - s["y1"]) == (s["y2"] - s["y1"]) * (x - s["x1"])) & x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"])))
+    return (crossed % 2 == 1) & ~on
+
+
+def cells(shapes: DataFrame, size: float) -> DataFrame:
+    """cx, cy, shapes: cells of a square grid with the shapes that reach into them, in file order.
+
+    A cell that a ring passes through holds the ring's segments in its strip of the grid, for the exact test; one wholly
+    inside holds none. Finer grids have more cells and shorter tests.
+    """
+    slot = lambda v: F.floor(v / size).cast("long")
+    pairs = F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))))
+    each = shapes.select("name", "part", "piece", F.explode(pairs).alias("s"))
+    low, high = F.least("s.y1", "s.y2"), F.greatest("s.y1", "s.y2")
+    rows = each.withColumn("cy", F.explode(F.sequence(slot(low), slot(high))))
+    at = lambda y: F.when(F.col("s.y1") == F.col("s.y2"), F.col("s.x1")).otherwise(F.col("s.x1") + (F.col("s.x2") - F.col("s.x1")) * (y - F.col("s.y1")) / (F.col("s.y2") - F.col("s.y1")))
+    bottom, top = at(F.greatest(low, F.col("cy") * size)), at(F.least(high, (F.col("cy") + 1) * size))
+    flat, slack = F.col("s.y1") == F.col("s.y2"), 1e-9 * size
+    left = F.when(flat, F.least("s.x1", "s.x2")).otherwise(F.least(bottom, top)) - slack
+    right = F.when(flat, F.greatest("s.x1", "s.x2")).otherwise(F.greatest(bottom, top)) + slack
+    rows = rows.withColumns({"c0": slot(left), "c1": slot(right)})
+    border = rows.select("part", "piece", "cy", F.explode(F.sequence("c0", "c1")).alias("cx")).distinct().withColumn("border", F.lit(True))
+    strips = rows.groupBy("name", "part", "piece", "cy").agg(F.collect_list("s").alias("segments"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    all_ = strips.withColumn("cx", F.explode(F.sequence("c0", "c1"))).join(border, ["part", "piece", "cy", "cx"], "left")
+    centre = inside((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("segments"))
+    kept = all_.where(F.col("border") | centre).withColumn("segments", F.when(F.col("border"), F.col("segments")))
+    return kept.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(F.struct("part", "piece", "name", "segments"))).alias("shapes"))
+
+
+def locate(points: DataFrame, shapes: DataFrame, x: str = "longitude", y: str = "latitude", size: float = 0.25) -> DataFrame:
+    """points with name: the first shape, in file order, that holds the point (not on its border); null if none does.
+
+    An equi-join on the cells of a grid, whose side is size; each point meets one row, so repeated points stay as they are.
+    """
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    keyed = points.withColumns({"cx": F.floor(px / size).cast("long"), "cy": F.floor(py / size).cast("long")})
+    met = keyed.join(cells(shapes, size), ["cx", "cy"], "left")
+    holds = F.filter("shapes", lambda s: s["segments"].isNull() | inside(px, py, s["segments"]))
+    return met.select(*points.columns, F.get(holds, 0)["name"].alias("name"))
