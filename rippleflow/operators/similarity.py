@@ -2,30 +2,121 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 BLOCK = 2048
+#: Pivots at most; vectors sampled for them; smallest cosine that still counts as a gain of precision for angles.
+PIVOTS, SAMPLE, SLACK = 64, 4096, 1e-5
+
+
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """Up to PIVOTS vectors far from one another, of a sample of known size that depends on the keys only."""
+    most = 4 * SAMPLE
+    share = min(1.0, SAMPLE / max(n, 1))
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "v").limit(most).collect()
+    v = np.array([r["v"] for r in sorted(picked, key=lambda r: r["id"])])
+    if not len(v):
+        return v
+    at, near = [0], v @ v[0]
+    while len(at) < min(PIVOTS, max(1, int(np.sqrt(n))), len(v)):
+        i = int(near.argmin())
+        if near[i] > 1 - 1e-9:
+            break
+        at.append(i)
+        near = np.maximum(near, v @ v[i])
+    return v[at]
+
+
+def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """id, v, p (the nearest pivot), r (angle to it)."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
+            cos = v @ shared.value.T
+            p = cos.argmax(axis=1)
+            r = np.arccos(np.clip(cos[np.arange(len(p)), p], -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(p.astype(np.int32)), pa.array(r)], names=["id", "v", "p", "r"])
+
+    return rows.mapInArrow(run, "id bigint, v array<double>, p int, r double")
+
+
+def plan_blocks(vectors: DataFrame, floor: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """Vectors dealt to blocks around pivots, the block pairs (x <= y) that may hold a score above floor, and the number of blocks.
+
+    A block is a ring of angles around one pivot, or a share of it by hash where equal angles are too many. If pivots lie an
+    angle g apart, vectors of rings [a, b] and [c, d] lie at least max(g - b - d, a - g - d, c - g - b) apart (0 if that is
+    less), and around one pivot at least the gap between the rings. Block pairs beyond the angle of floor are never formed.
+    """
+    n = vectors.count()
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    pivots = _pivots(rows, n)
+    if not len(pivots):
+        return rows.select("id", "v", F.lit(0).alias("m")), [], 0
+    placed = cut(_placed(rows, pivots))
+    step = 512  # rings of a histogram, by which blocks are cut
+    counted = placed.groupBy("p", F.least(F.floor(F.col("r") / math.pi * step), F.lit(step - 1)).cast("int").alias("s")).agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).collect()
+    held = [[] for _ in pivots]
+    for x in sorted(counted, key=lambda x: (x["p"], x["s"])):
+        held[x["p"]].append(x)
+    first, parts, blocks = {}, {}, []
+    for p, rings in enumerate(held):  # neighbouring rings share a block up to its size; a ring above it is split by hash
+        open_, size = None, 0
+        for x in rings:
+            many = max(1, -(-x["n"] // block))
+            if open_ is None or many > 1 or size + x["n"] > block:
+                open_, size = len(blocks), 0
+                blocks += [[p, x["a"], x["b"]] for _ in range(many)]
+            else:
+                blocks[open_][2] = x["b"]
+            first[p * step + x["s"]], parts[p * step + x["s"]] = open_, many
+            size = size + x["n"] if many == 1 else block
+    table = rows.sparkSession.createDataFrame([(k, first[k], parts[k]) for k in first], "ring int, first int, parts int")  # PIVOTS x 512 rows at most
+    ring = (F.col("p") * step + F.least(F.floor(F.col("r") / math.pi * step), F.lit(step - 1))).cast("int")
+    dealt = placed.withColumn("ring", ring).join(F.broadcast(table), "ring").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("m"))
+    own, a, b = (np.array([x[i] for x in blocks]) for i in range(3))
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    limit, pairs = math.acos(max(-1.0, min(1.0, floor))) + SLACK, []
+    for x in range(len(blocks)):
+        g = apart[own[x], own[x:]]
+        g[own[x:] == own[x]] = 0.0
+        least = np.maximum(np.maximum(g - b[x] - b[x:], a[x] - g - b[x:]), a[x:] - g - b[x])
+        pairs += [(x, x + int(y)) for y in np.flatnonzero(least <= limit)]
+    return dealt, pairs, len(blocks)
 
 
 def all_pairs(vectors: DataFrame, floor: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """a, b, score (6 digits) of all pairs with score > floor, both ways and with themselves; vectors have unit norm.
 
-    Rows are dealt to blocks by the hash of their key; a block pair's product is one dense multiplication, so no
-    task holds more than 2 x block vectors and only the pairs above floor leave it. A vector travels once a block.
+    A block pair's product is one dense multiplication, so no task holds more than 2 x block vectors, and only the pairs
+    above floor leave it. Block pairs that can't reach floor by their angles (`plan_blocks`) are not formed, and a vector
+    travels once for each block pair that is.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), mine.alias("m"))
-    dealt = rows.select("id", "v", "m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("id", "v", "m", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"))
+    dealt, pairs, _ = plan_blocks(vectors, floor, key, vector, block)
+    spark, none = vectors.sparkSession, "a bigint, b bigint, score double"
+    if not pairs:
+        return spark.createDataFrame([], none)
+    both = spark.createDataFrame(pd.DataFrame({"x": [x for x, _ in pairs], "y": [y for _, y in pairs]}).astype("int32"))
+    goes = both.select(F.col("x").alias("m"), "x", "y").union(both.where("x <> y").select(F.col("y").alias("m"), "x", "y"))
+    met = dealt.join(goes, "m")
 
     def multiply(part: pa.Table) -> pa.Table:
         ids, m, (x, y) = part.column("id").to_numpy(), part.column("m").to_numpy(), (part.column(c)[0].as_py() for c in "xy")
         v = np.stack(part.column("v").to_numpy())
         left, right = m == x, m == y
+        if not left.any() or not right.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         score = np.round(v[left] @ v[right].T, 6)
         i, j = np.nonzero(score > floor)
         a, b, s = ids[left][i], ids[right][j], score[i, j]
@@ -33,7 +124,7 @@ def all_pairs(vectors: DataFrame, floor: float, key: str = "vec_id", vector: str
             a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
         return pa.table({"a": a, "b": b, "score": s})
 
-    return dealt.groupBy("x", "y").applyInArrow(multiply, "a bigint, b bigint, score double")
+    return met.groupBy("x", "y").applyInArrow(multiply, none)
 
 
 def best_match(left: DataFrame, right: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:

@@ -114,7 +114,7 @@ def locate(points: DataFrame, shapes: DataFrame, x: str = "longitude", y: str =
     An equi-join on the cells of a grid, whose side is size; each point meets one row, so repeated points stay as they are.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    keyed = points.withColumns({"cx": F.floor(px / size).cast("long"), "cy": F.floor(py / size).cast("long")})
+    keyed = points.withColumns({c: F.when(~F.isnan(v), F.floor(v / size).cast("long")) for c, v in (("cx", px), ("cy", py))})
     met = keyed.join(cells(shapes, size), ["cx", "cy"], "left")
     holds = F.filter("shapes", lambda s: s["segments"].isNull() | inside(px, py, s["segments"]))
     return met.select(*points.columns, F.get(holds, 0)["name"].alias("name"))
