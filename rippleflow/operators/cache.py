@@ -24,6 +24,12 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Removes a file or folder, if it is there."""
+    fs, at = _files(spark, path)
+    return bool(fs.exists(at) and fs.delete(at, True))
+
+
 def state_of(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, int, int]]:
     """(path, bytes, time) of every file below the paths, in order; a path that isn't there gives one entry of its own."""
     out = []

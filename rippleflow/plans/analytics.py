@@ -62,7 +62,8 @@ SQL: dict[str, str] = {
         SELECT scenario, count(DISTINCT CASE WHEN nation_id < 5 THEN firm END) AS inside, count(DISTINCT CASE WHEN nation_id >= 5 THEN firm END) AS outside, count(DISTINCT nation_id) AS nations, round(avg(CASE WHEN is_seed THEN 1.0 ELSE 0.0 END), 6) AS seed_share, round(avg(CASE WHEN is_seed THEN 0 ELSE week END), 6) AS mean_week FROM m GROUP BY scenario""",
     "C39_link_features": f"""WITH {_POOL}, size AS (SELECT product, count(*) AS n FROM pool GROUP BY product), inbound AS (SELECT dst, sum(weight) AS w FROM {{relations}} GROUP BY dst), few AS (SELECT e.src, e.dst, min(s.n) AS pool, sum(e.amount) AS amount FROM {{edge_products}} e JOIN size s ON e.product = s.product GROUP BY e.src, e.dst)
         SELECT f.src, f.dst, round(ln(f.pool), 6) AS log_pool, round(f.amount / (1.0 * i.w), 6) AS dependence, round(ln(d.degree), 6) AS log_degree FROM few f JOIN inbound i ON f.dst = i.dst JOIN {{degrees}} d ON f.dst = d.firm_id""",
-    "C40_exposure_counts": """SELECT s.run_id % 10 AS run_set, r.src, count(*) AS exposed, CAST(sum(CASE WHEN r.dst % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS propagated FROM (SELECT DISTINCT run_id, 5 * (event_id % 20) AS firm_id FROM {cascade} WHERE is_seed) s JOIN {relations} r ON s.firm_id = r.src GROUP BY s.run_id % 10, r.src""",
+    # A link is exposed in a run that removes its supplier and doesn't seed its customer, and passes on if the customer goes too.
+    "C40_exposure_counts": "SELECT r.src, r.dst, count(*) AS exposed, count(d.firm_id) AS propagated FROM {relations} r JOIN {struck} s ON r.src = s.firm_id LEFT JOIN {struck} d ON d.run_id = s.run_id AND d.firm_id = r.dst WHERE coalesce(d.seed, 0) = 0 GROUP BY r.src, r.dst",
     "C43_criticality": f"{_RANKS} SELECT round(corr(d.out_degree, d.in_degree), 6) AS pearson, round(corr(ln(1 + d.out_degree), ln(1 + d.in_degree)), 6) AS log_pearson, round(corr(y.r, x.r), 6) AS spearman FROM {{degrees}} d JOIN ri x ON d.in_degree = x.v JOIN ro y ON d.out_degree = y.v WHERE d.degree > 0",
     # Statistics.
     "N1_pearson": "SELECT round(corr(in_degree, out_degree), 9) AS r, count(*) AS n FROM {degrees} WHERE degree > 0",
@@ -70,7 +71,6 @@ SQL: dict[str, str] = {
     "N3_spearman": f"{_RANKS} SELECT round(corr(x.r, y.r), 9) AS rho FROM {{degrees}} d JOIN ri x ON d.in_degree = x.v JOIN ro y ON d.out_degree = y.v WHERE d.degree > 0",
     "N4_log_pearson": "SELECT round(corr(ln(1 + value), ln(1 + week)), 9) AS r FROM {run_series}",
     "N5_partial_correlation": "SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 9) AS r FROM (SELECT corr(in_degree, out_degree) AS xy, corr(in_degree, degree * degree) AS xz, corr(out_degree, degree * degree) AS yz FROM {degrees} WHERE degree > 0) c",
-    "N6_ks": "WITH v AS (SELECT s.value, r.arm FROM {run_series} s JOIN {runs} r ON s.run_id = r.run_id), t AS (SELECT sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS n1 FROM v), g AS (SELECT value, sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END) AS k0, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END) AS k1 FROM v GROUP BY value) SELECT round(max(abs(c0 / (1.0 * n0) - c1 / (1.0 * n1))), 9) AS d FROM (SELECT sum(k0) OVER (ORDER BY value) AS c0, sum(k1) OVER (ORDER BY value) AS c1 FROM g) c CROSS JOIN t",
     "N7_bootstrap": """WITH x AS (SELECT row_number() OVER (ORDER BY run_id) - 1 AS i, weeks - num_seeds AS y, count(*) OVER () AS n FROM {runs}), b AS (SELECT DISTINCT week AS b FROM {run_series}),
         d AS (SELECT b.b, CAST(floor(@u01(concat_ws('|', 'boot', CAST(b.b AS VARCHAR(20)), CAST(x.i AS VARCHAR(20)))) * x.n) AS BIGINT) AS j FROM b CROSS JOIN x),
         m AS (SELECT d.b, avg(x.y) AS m FROM d JOIN x ON d.j = x.i GROUP BY d.b) SELECT round(@pct(m, 0.025), 6) AS low, round(@pct(m, 0.975), 6) AS high FROM m""",
@@ -78,7 +78,6 @@ SQL: dict[str, str] = {
     "N10_standardise": "SELECT d.firm_id, round((d.in_degree - t.m) / t.s, 6) AS z FROM {degrees} d CROSS JOIN (SELECT avg(in_degree) AS m, stddev_pop(in_degree) AS s FROM {degrees} WHERE degree > 0) t WHERE d.degree > 0",
     "N11_weighted_auc": """WITH x AS (SELECT out_degree AS score, CASE WHEN in_degree > 1 THEN 1 ELSE 0 END AS y, degree AS w FROM {degrees} WHERE degree > 0), g AS (SELECT score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM x GROUP BY score)
         SELECT round(sum(p * (below + n / 2.0)) / (max(tp) * max(tn)), 9) AS auc FROM (SELECT p, n, sum(n) OVER (ORDER BY score) - n AS below, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM g) z""",
-    "N16_weighted_sample": "SELECT firm_id FROM (SELECT firm_id, row_number() OVER (ORDER BY -ln(@u01(concat_ws('|', 'race', CAST(firm_id AS VARCHAR(20))))) / degree, firm_id) AS k FROM {degrees} WHERE degree > 0) x WHERE k <= 40",
     "N17_seed_sample": "SELECT nation_id, firm_id FROM (SELECT nation_id, firm_id, row_number() OVER (PARTITION BY nation_id ORDER BY @u01(concat_ws('|', 'seed', CAST(firm_id AS VARCHAR(20)))), firm_id) AS k, count(*) OVER (PARTITION BY nation_id) AS n FROM {degrees} WHERE out_degree > 0) x WHERE k <= floor(0.3 * n)",
     "N15_discrete_uniform": "SELECT firm_id, CAST(floor(@half(ln(degree), 0) / 2.0 + @u01(concat_ws('|', 'cap', CAST(firm_id AS VARCHAR(20)))) * 3) AS BIGINT) AS cap FROM {degrees} WHERE degree > 0",
     "N20_fit_slope": "WITH x AS (SELECT degree AS k FROM {degrees} WHERE degree >= 2), a AS (SELECT 1 + count(*) / sum(ln(k / 1.5)) AS alpha, count(*) AS n FROM x) SELECT DISTINCT x.k, round(power(x.k / 2.0, 1 - a.alpha) * a.n / t.n, 9) AS fit FROM x CROSS JOIN a CROSS JOIN (SELECT count(*) AS n FROM {degrees} WHERE degree > 0) t",

@@ -39,7 +39,7 @@ SQL: dict[str, str] = {
     "J12_paired_tasks": "SELECT a.task_id, a.weeks AS weeks_a, b.weeks AS weeks_b, a.weeks - b.weeks AS diff FROM {runs} a JOIN {runs} b ON a.task_id = b.task_id AND a.arm = 0 AND b.arm = 1",
     "J13_supplier_pairs": "SELECT DISTINCT a.src AS u, b.src AS v FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.src <> b.src",
     "J14_edge_communities": "SELECT r.src, r.dst, a.community AS src_community, b.community AS dst_community FROM {relations} r JOIN {communities} a ON r.src = a.firm_id JOIN {communities} b ON r.dst = b.firm_id",
-    "J15_exposed_links": """WITH seeds AS (SELECT DISTINCT run_id % 50 AS run_set, 5 * (event_id % 20) AS firm_id FROM {cascade} WHERE is_seed), weights AS (SELECT run_set, count(*) AS n FROM (SELECT DISTINCT run_id, run_id % 50 AS run_set FROM {cascade}) z GROUP BY run_set)
+    "J15_exposed_links": """WITH seeds AS (SELECT DISTINCT run_id % 50 AS run_set, firm_id FROM {struck} WHERE seed = 1), weights AS (SELECT run_set, count(*) AS n FROM (SELECT DISTINCT run_id, run_id % 50 AS run_set FROM {struck}) z GROUP BY run_set)
         SELECT r.src, r.dst, CAST(sum(w.n) AS BIGINT) AS exposures FROM seeds s JOIN weights w ON s.run_set = w.run_set JOIN {relations} r ON s.firm_id = r.src LEFT ANTI JOIN seeds t ON s.run_set = t.run_set AND r.dst = t.firm_id GROUP BY r.src, r.dst""",
     "J16_grid": "SELECT a.scenario, b.num_seeds, c.sample_id FROM (SELECT DISTINCT scenario FROM {runs}) a CROSS JOIN (SELECT DISTINCT num_seeds FROM {runs}) b CROSS JOIN (SELECT DISTINCT sample_id FROM {runs}) c",
     # Aggregates.
@@ -77,15 +77,10 @@ SQL: dict[str, str] = {
     "W8_progress": "SELECT run_id, week, round(CASE WHEN x = y THEN 0 ELSE least(greatest((x - c) / (x - y), 0), 1) END, 6) AS progress FROM (SELECT run_id, week, c, first_value(c) OVER (PARTITION BY run_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x, last_value(c) OVER (PARTITION BY run_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y FROM {capacity}) z",
     "W9_average_ranks": "SELECT d.firm_id, g.r FROM {degrees} d JOIN (SELECT degree, sum(n) OVER (ORDER BY degree) - (n - 1) / 2.0 AS r FROM (SELECT degree, count(*) AS n FROM {degrees} WHERE degree > 0 GROUP BY degree) x) g ON d.degree = g.degree",
     "W10_quartile_bins": "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN value >= q3 THEN 3 WHEN value >= q2 THEN 2 WHEN value >= q1 THEN 1 ELSE 0 END AS bin FROM {run_series} CROSS JOIN (SELECT @pct(value, 0.25) AS q1, @pct(value, 0.5) AS q2, @pct(value, 0.75) AS q3 FROM {run_series}) t) x GROUP BY bin",
-    "W11_three_groups": "SELECT firm_id, ntile(3) OVER (ORDER BY degree, firm_id) AS third FROM {degrees} WHERE degree > 0",
-    "W12_folds": "SELECT firm_id, (row_number() OVER (ORDER BY @u01(concat_ws('|', 'fold', CAST(firm_id AS VARCHAR(20)))), firm_id) - 1) % 5 AS fold FROM {degrees} WHERE degree > 0",
     # Ranks.
     "T1_sort": "SELECT firm_id, degree FROM {degrees} ORDER BY degree DESC, firm_id LIMIT 100",
-    "T2_top_share": "SELECT firm_id, degree FROM (SELECT firm_id, degree, row_number() OVER (ORDER BY degree DESC, firm_id) AS k, count(*) OVER () AS n FROM {degrees} WHERE degree > 0) x WHERE k <= n / 10",
     "T3_global_arg_max": "SELECT run_id, weeks, num_seeds FROM {runs} ORDER BY weeks DESC, num_seeds DESC, run_id LIMIT 1",
     "T5_top_overlap": "SELECT count(*) / 50.0 AS overlap FROM (SELECT firm_id FROM {degrees} ORDER BY in_degree DESC, firm_id LIMIT 50) a JOIN (SELECT firm_id FROM {degrees} ORDER BY in_weight DESC, firm_id LIMIT 50) b ON a.firm_id = b.firm_id",
-    "T6_labels": """WITH ranked AS (SELECT d.firm_id, d.degree, d.nation_id, row_number() OVER (PARTITION BY d.nation_id ORDER BY d.degree DESC, d.firm_id) AS k FROM {degrees} d WHERE d.nation_id < 4)
-        SELECT firm_id, degree FROM (SELECT firm_id, degree, row_number() OVER (ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, degree DESC, firm_id) AS place FROM ranked) x WHERE place <= 7""",
     # Set operations and reshaping.
     "U1_union_distinct": "SELECT src AS firm_id FROM {relations} UNION SELECT dst FROM {relations}",
     "U2_intersection": "SELECT task_id FROM {runs} WHERE arm = 0 INTERSECT SELECT task_id FROM {runs} WHERE arm = 1",

@@ -49,6 +49,9 @@ TABLES = {
         FROM {run_series} GROUP BY run_id""",
     "capacity": "SELECT run_id, week, 1000.0 - sum(value) OVER (PARTITION BY run_id ORDER BY week) / 10.0 AS c, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY week) AS removed FROM {run_series}",
     "cascade": "SELECT s.run_id, s.week AS firm, s.week < r.num_seeds AS is_seed, s.week, 1 + s.event_id % 30 AS size, s.event_id FROM {run_series} s JOIN {runs} r ON s.run_id = r.run_id",
+    # A run's removals laid on the network's firms: three events of four strike a supplier, the others a customer.
+    "struck": f"""SELECT run_id, firm_id, max(CASE WHEN is_seed THEN 1 ELSE 0 END) AS seed FROM (SELECT c.run_id, c.is_seed, CASE WHEN c.event_id % 4 = 3 THEN {OEM} + c.event_id % k.n ELSE c.event_id % s.n END AS firm_id
+        FROM {{cascade}} c CROSS JOIN (SELECT count(*) AS n FROM {{customer}}) k CROSS JOIN (SELECT count(*) AS n FROM {{supplier}}) s) x GROUP BY run_id, firm_id""",
     "origins": """SELECT run_id, firm, 1 AS slot, CASE WHEN event_id % 11 = 0 THEN firm + 100000 ELSE (event_id * 13) % greatest(firm, 1) END AS origin FROM {cascade} WHERE NOT is_seed
         UNION ALL SELECT run_id, firm, 2, (event_id * 29) % greatest(firm, 1) FROM {cascade} WHERE NOT is_seed AND event_id % 11 <> 0 AND event_id % 3 <> 0""",
 }

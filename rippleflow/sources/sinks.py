@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cache import remove
+from ..operators.iterate import cut
+
 
 def append_runs(records: DataFrame, path: str, *partitions: str) -> None:
     """Good records under runs/, failed ones (error set) under errors/."""
@@ -14,6 +17,23 @@ def append_runs(records: DataFrame, path: str, *partitions: str) -> None:
     records.where(F.col("error").isNotNull()).write.mode("append").json(f"{path}/errors")
 
 
+def write_chunks(records: DataFrame, path: str, chunk: int) -> None:
+    """Records by ranges of chunk tasks: runs/tasks=0-99/ and so on, and failed ones under errors/ alike.
+
+    Writing a range again replaces what it had, so a job that is started anew leaves every task once; errors of a range that
+    has none any more go. Records of a range are to be written together.
+    """
+    first = F.col("task_id") - F.pmod("task_id", F.lit(chunk))
+    named = cut(records.withColumn("tasks", F.concat_ws("-", first.cast("string"), (first + chunk - 1).cast("string"))))
+    ranges = {r[0]: r[1] for r in named.groupBy("tasks").agg(F.max(F.col("error").isNotNull())).collect()}  # a row a range
+    for kind, rows in (("runs", named.where("error IS NULL").drop("error")), ("errors", named.where("error IS NOT NULL"))):
+        rows.repartition("tasks").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tasks").json(f"{path}/{kind}")
+    spark = records.sparkSession
+    for tasks, failed in ranges.items():
+        if not failed:
+            remove(spark, f"{path}/errors/tasks={tasks}")
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
