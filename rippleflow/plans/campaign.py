@@ -13,7 +13,7 @@ from ..functions.random import u01
 from ..operators import graph
 from ..operators.iterate import cut
 from ..sources.adapter import Network
-from . import graphs, imputation, links, scenario, simulate, ticks
+from . import analytics, graphs, imputation, links, scenario, simulate, ticks
 
 SEED = "340282366920938463463374607431768211455"  # seeds are wider than 64 bits, so they stay strings
 
@@ -161,14 +161,12 @@ def _like_pools(n: Network) -> DataFrame:
     return n["products"].select("product", F.pmod("product", F.lit(size)).alias("a")).join(pool, "a").select("product", "pool")
 
 
-def exposed_links(n: Network, exposures: int = 20) -> DataFrame:
-    """Links with features and k of n exposures passed on. The test tables hold no runs on their network: a customer
-    follows with a chance that grows with its dependence and falls with the pool."""
+def exposed_links(n: Network) -> DataFrame:
+    """Links with features, the runs n that exposed them and the k of these that passed the disruption on (query C40)."""
     edges = cut(n["relations"].select("src", "dst", "weight", "annotated"))
-    found = cut(links.link_features(edges, n["edge_products"], n["capabilities"], _like_pools(n)))
-    chance = 1 / (1 + F.exp(1.0 - 2 * F.col("dependence") + 0.1 * F.col("log_pool")))
-    hits = F.aggregate(F.sequence(F.lit(1), F.lit(exposures)), F.lit(0), lambda s, t: s + (u01([F.lit("exposure"), F.col("src"), F.col("dst"), t]) < F.col("chance")).cast("int"))
-    return found.withColumn("chance", chance).withColumn("k", hits).withColumn("n", F.lit(exposures)).drop("chance")
+    found = links.link_features(edges, n["edge_products"], n["capabilities"], _like_pools(n))
+    counts = n.sql(analytics.SQL["C40_exposure_counts"]).select("src", "dst", F.col("propagated").alias("k"), F.col("exposed").alias("n"))
+    return cut(found.join(counts, ["src", "dst"]))
 
 
 def link_models(n: Network) -> DataFrame:

@@ -211,14 +211,20 @@ def exposure(n: Network, rounds: int = 3) -> DataFrame:
 
 
 def reach(n: Network, rounds: int = 3) -> DataFrame:
-    """q <- 1 - (1 - pi) x product of (1 - q p) over suppliers, pi = 1 for firms whose id ends in 5."""
-    p = _probabilities(n)
-    firms = cut(graph.nodes_of(p).select("node", F.when(F.col("node") % 10 == 5, 0.9).otherwise(0.0).alias("pi")))
+    """q <- 1 - (1 - pi) x product of (1 - q p) over suppliers, from run records: pi is a firm's share of runs that seed it.
+
+    removed: the share of the other runs in which the firm is removed, which q is to foretell.
+    """
+    p, runs = _probabilities(n), cut(n["struck"])
+    total = runs.select("run_id").distinct().count()
+    seen = runs.groupBy(F.col("firm_id").alias("node")).agg(F.sum("seed").alias("seeds"), F.count("*").alias("struck"))
+    seeds, struck = F.coalesce("seeds", F.lit(0)), F.coalesce("struck", F.lit(0))
+    firms = cut(graph.nodes_of(p).join(seen, "node", "left").select("node", (seeds / total).alias("pi"), F.when(seeds < total, (struck - seeds) / (total - seeds)).alias("removed")))
     q = firms.select("node", F.col("pi").alias("q"))
     for _ in range(rounds):
         log = p.join(q, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.log1p(-F.col("q") * F.col("p"))).alias("l"))
-        q = cut(firms.join(log, F.col("node") == F.col("dst"), "left").select("node", (1 - (1 - F.col("pi")) * F.exp(F.coalesce("l", F.lit(0.0)))).alias("q")))
-    return q.select(F.col("node").alias("firm_id"), F.round("q", 9).alias("reach"))
+        q = cut(firms.join(log, F.col("node") == F.col("dst"), "left").select("node", (1 - (1 - F.col("pi")) * F.exp(F.coalesce("l", F.lit(0.0)))).alias("q"), "removed"))
+    return q.select(F.col("node").alias("firm_id"), F.round("q", 9).alias("reach"), F.round("removed", 9).alias("removed"))
 
 
 def sigma(n: Network) -> DataFrame:
@@ -320,10 +326,15 @@ def _exposure_sql() -> str:
 
 
 def _reach_sql() -> str:
-    steps = ["n AS (SELECT x, CASE WHEN x % 10 = 5 THEN 0.9 ELSE 0.0 END AS pi FROM (SELECT src AS x FROM p UNION SELECT dst FROM p) z)", "q0 AS (SELECT x, pi AS q FROM n)"]
+    steps = [
+        "t AS (SELECT count(DISTINCT run_id) AS t FROM {struck})",
+        "seen AS (SELECT firm_id, sum(seed) AS s, count(*) AS k FROM {struck} GROUP BY firm_id)",
+        "n AS (SELECT z.x, coalesce(e.s, 0) / (1.0 * t.t) AS pi, CASE WHEN coalesce(e.s, 0) < t.t THEN (coalesce(e.k, 0) - coalesce(e.s, 0)) / (1.0 * (t.t - coalesce(e.s, 0))) END AS removed FROM (SELECT src AS x FROM p UNION SELECT dst FROM p) z CROSS JOIN t LEFT JOIN seen e ON z.x = e.firm_id)",
+        "q0 AS (SELECT x, pi AS q FROM n)",
+    ]
     for i in range(3):
         steps.append(f"q{i + 1} AS (SELECT n.x, 1 - (1 - n.pi) * exp(coalesce(l.l, 0)) AS q FROM n LEFT JOIN (SELECT p.dst, sum(ln(1 - q.q * p.p)) AS l FROM p JOIN q{i} q ON p.src = q.x GROUP BY p.dst) l ON n.x = l.dst)")
-    return f"WITH {_P}, {', '.join(steps)} SELECT x AS firm_id, round(q, 9) AS reach FROM q3"
+    return f"WITH {_P}, {', '.join(steps)} SELECT q3.x AS firm_id, round(q, 9) AS reach, round(n.removed, 9) AS removed FROM q3 JOIN n ON q3.x = n.x"
 
 
 _PATHS = "paths AS (SELECT src AS s, dst AS x, [src, dst] AS path, 1 AS d FROM e UNION ALL SELECT p.s, e.dst, list_append(p.path, e.dst), p.d + 1 FROM paths p JOIN e ON p.x = e.src JOIN dist ON dist.s = p.s AND dist.x = e.dst AND dist.d = p.d + 1), count_of AS (SELECT s, x, count(*) AS n FROM paths GROUP BY s, x)"
