@@ -132,7 +132,7 @@ def grouped_folds(n: Network) -> DataFrame:
     fits = statistics.logistic_fits(rows, ["x1", "x2"], "k", "n", "fold", [(["x1", "x2"], f) for f in range(5)])
     at = lambda i: F.element_at(F.array(*[F.lit(w[i]) for w in fits]), (F.col("fold") + 1).cast("int"))
     scored = rows.withColumn("score", at(0) + F.col("x1") * at(1) + F.col("x2") * at(2))
-    return statistics.auc_by(scored, "score", "k", "n", ["fold"]).select(F.col("fold").cast("int").alias("fold"), "auc")
+    return statistics.auc_by(scored, "score", "k", "n", ["fold"]).select(F.col("fold").cast("int").alias("fold"), F.round("auc", 6).alias("auc"))
 
 
 def _holdout(n: Network) -> imputation.Holdout:
@@ -173,6 +173,30 @@ def link_models(n: Network) -> DataFrame:
     return links.link_models(exposed_links(n)).select("kind", "model", "term", F.round("value", 6).alias("value"))
 
 
+def _newton_sql(steps: int = 14) -> str:
+    """Weights a, b, c of the link model for every fold left out (-1: none), by Newton steps and Cramer's rule, as tables w<steps>(o, a, b, c)."""
+    fold = "CAST(floor(@u01(concat_ws('|', 'fold', r.src)) * 5) AS INTEGER)"
+    out = [
+        f"x AS MATERIALIZED (SELECT r.src, r.dst, ln(1 + a.degree) AS x, ln(1 + b.degree) AS z, CASE WHEN r.weight > 1 THEN 1.0 ELSE 0.0 END AS k, {fold} AS f FROM {{relations}} r JOIN {{degrees}} a ON r.src = a.firm_id JOIN {{degrees}} b ON r.dst = b.firm_id)",
+        "outs AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS o)",
+        "w0 AS MATERIALIZED (SELECT o, 0.0 AS a, 0.0 AS b, 0.0 AS c FROM outs)",
+    ]
+    det = lambda a, b, c, d, e, f, g, h, i: f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+    m = ("h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22")
+    with_g = lambda j: det(*[f"g{n // 3}" if n % 3 == j else m[n] for n in range(9)])
+    for t in range(steps):
+        terms = [("h00", "1.0"), ("h01", "x"), ("h02", "z"), ("h11", "x * x"), ("h12", "x * z"), ("h22", "z * z")]
+        sums = ", ".join([*(f"sum({v} * p * (1 - p)){' + 0.000000001' if n[1] == n[2] else ''} AS {n}" for n, v in terms), *(f"sum({v} * (k - p)) AS g{j}" for j, v in enumerate(("1.0", "x", "z")))])
+        out.append(f"p{t} AS (SELECT w.o, x.x, x.z, x.k, 1 / (1 + exp(-(w.a + w.b * x.x + w.c * x.z))) AS p FROM x JOIN w{t} w ON x.f <> w.o), s{t} AS (SELECT o, {sums} FROM p{t} GROUP BY o)")
+        out.append(f"w{t + 1} AS MATERIALIZED (SELECT w.o, w.a + {with_g(0)} / {det(*m)} AS a, w.b + {with_g(1)} / {det(*m)} AS b, w.c + {with_g(2)} / {det(*m)} AS c FROM w{t} w JOIN s{t} ON w.o = s{t}.o)")
+    return ", ".join(out)
+
+
+_LINK_MODEL = f"WITH {_newton_sql()}, w AS (SELECT * FROM w14 WHERE o = -1) SELECT 'constant' AS term, round(a, 6) AS weight FROM w UNION ALL SELECT 'x1', round(b, 6) FROM w UNION ALL SELECT 'x2', round(c, 6) FROM w"
+_GROUPED_FOLDS = f"""WITH {_newton_sql()}, s AS (SELECT x.f, w.a + w.b * x.x + w.c * x.z AS s, sum(x.k) AS p, sum(1 - x.k) AS q FROM x JOIN w14 w ON x.f = w.o GROUP BY x.f, w.a + w.b * x.x + w.c * x.z),
+    r AS (SELECT f, p, q, sum(q) OVER (PARTITION BY f ORDER BY s) - q AS below FROM s) SELECT f AS fold, round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0), 6) AS auc FROM r GROUP BY f"""
+
+
 def _cdf(x: str) -> str:
     """random.normal_cdf for the other engine: its fit's coefficients, from the constant term up."""
     t, poly = f"(1 / (1 + 0.5 * (abs({x}) / sqrt(2.0))))", "0.0"
@@ -263,6 +287,8 @@ _HOLDOUT = f"""WITH {_DRAWS}, met AS (SELECT d.gamma, d.draw, o.src, o.dst, o.pr
         SELECT pl.gamma, pl.n AS drawn, round(pl.m, 6) AS median, round(pl.s10, 6) AS share_le10, round(pl.s0, 6) AS share_zero, round(rec.recall, 6) AS recall, round(sc.m, 6) AS scarcest_median, round(sc.s10, 6) AS scarcest_share_le10, round(sc.s0, 6) AS scarcest_share_zero, round(sc.rho, 6) AS spearman, round(ks.ks, 6) AS ks
         FROM pl JOIN rec ON pl.gamma = rec.gamma JOIN sc ON pl.gamma = sc.gamma JOIN ks ON pl.gamma = ks.gamma"""
 ORACLES: dict[str, str] = {
+    "N12_grouped_folds": _GROUPED_FOLDS,
+    "N9_link_model": _LINK_MODEL,
     "Z21_edge_products": _edge_products_sql(),
     "N19_power_law": _power_law_sql(),
     "Z22_budgets": f"WITH RECURSIVE {graphs._E}, sinks AS (SELECT x FROM nodes ANTI JOIN e ON x = src), up AS (SELECT x, 0 AS d FROM sinks UNION SELECT e.src, u.d + 1 FROM up u JOIN e ON u.x = e.dst WHERE u.d < 24), t AS (SELECT x, min(d) AS tier FROM up GROUP BY x) SELECT src, dst, CAST(floor({_STOCK('out', 'src')} + {_STOCK('in', 'dst')}) AS BIGINT) AS max_trials FROM (SELECT r.src, r.dst, a.tier AS out_tier, b.tier AS in_tier FROM (SELECT DISTINCT src, dst FROM {{relations}}) r LEFT JOIN t a ON r.src = a.x LEFT JOIN t b ON r.dst = b.x) z",
