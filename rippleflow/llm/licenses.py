@@ -4,8 +4,9 @@
    a few hundred rows); words outside it are as rare as can be.
 2. Texts that hold any licence word are cut into lines, paragraphs and the whole; each part's sparse TF-IDF
    vector is compared to every template, and the best cosine of at least the threshold is the text's own licence;
-   among licences of nearly the same words (versions of a licence, BSD with two or three clauses) the words that tell
-   them apart decide. An SPDX identifier is taken at its word.
+   vectors count only if the part also holds enough of the template's pairs of words; among licences of nearly the same words (versions of a licence, BSD with two or three clauses) the words that tell
+   them apart decide. An SPDX identifier is taken at its word, with its AND and OR. Names of licences, versions and
+   variants that no template has give no licence, and a long text that such a name heads has none at all.
 3. A directory's licence is that of the licence files in it. A file without an own licence takes that of its
    nearest ancestor directory that has one: distinct directories are exploded to their ancestors and joined.
 
@@ -39,12 +40,12 @@ _MPL2 = "This Source Code Form is subject to the terms of the Mozilla Public Lic
 _UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
 
 
-def _gnu(name: str, version: str) -> list[str]:
+def _gnu(name: str, version: str, date: str) -> list[str]:
     """The GNU licences' headers: with the version or a later one, with this version only, and short statements."""
     start = f"you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation"
     end = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this program."
     later, only = f"either version {version} of the License, or (at your option) any later version.", f"version {version}."
-    out = [f"This work is licensed under the GNU {name}, version {version}.", f"This work is licensed under the GNU {name}, version {version} or later.", f"GNU {name.upper()} Version {version}"]
+    out = [f"This work is licensed under the GNU {name}, version {version}.", f"This work is licensed under the GNU {name}, version {version} or later.", f"GNU {name.upper()} Version {version}", f"GNU {name.upper()} Version {version}, {date}"]
     for tail in (later, only):
         for lead in ("This program is free software: ", "This program is free software; "):
             out += [f"{lead}{start}, {tail}", f"{lead}{start}, {tail} {end}"] if lead.endswith(": ") else [f"{lead}{start}; {tail}"]
@@ -52,19 +53,19 @@ def _gnu(name: str, version: str) -> list[str]:
 
 
 TEMPLATES = {
-    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3", "19 November 2007"),
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE.partition(" Unless")[0], _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_START, f"{_BSD_START} {_BSD_END}"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", f"{_BSD_START} {_BSD_NAMES}", f"{_BSD_START} {_BSD_NAMES} {_BSD_END}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal public domain dedication."],
-    "GPL-2.0": _gnu("General Public License", "2"),
-    "GPL-3.0": _gnu("General Public License", "3"),
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal public domain dedication.", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "GPL-2.0": _gnu("General Public License", "2", "June 1991"),
+    "GPL-3.0": _gnu("General Public License", "3", "29 June 2007"),
     "ISC": ["Released under the ISC License.", _ISC_GRANT],
-    "LGPL-2.1": _gnu("Lesser General Public License", "2.1"),
-    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "February 1999"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "29 June 2007"),
     "MIT": ["Released under the MIT License.", _MIT_GRANT],
     "MPL-1.1": ["This work is licensed under the Mozilla Public License, version 1.1.", _MPL1],
     "MPL-2.0": ["This work is licensed under the Mozilla Public License, version 2.0.", _MPL2],
@@ -86,8 +87,19 @@ MARKS = {
 }
 #: Licences of which a text is at most one; within a family the marks decide, where there are any.
 FAMILIES = [["AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"], ["BSD-2-Clause", "BSD-3-Clause"], ["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"], ["MPL-1.1", "MPL-2.0"]]
-SPDX = r"spdx-license-identifier:\s*\(*([a-z0-9.+-]+)"
-LICENSE_WORDS = r"(?i)licen[sc]|copyright|permission|redistribut|spdx|public domain|creative commons|waived"
+SPDX = r"spdx-license-identifier:\s*([a-z0-9.+ ()-]+)"
+# Names of licences, versions and variants that no template has. A part that names one is not of a licence of like words.
+OTHER = re.compile(
+    r"artistic license|academic free license|open software license|eclipse public license|common (?:public|development and distribution) license|boost software license|zlib license|python software foundation license|postgresql license|european union public licen[cs]e|microsoft (?:public|reciprocal) license|mit no attribution|\bmit-0\b|(?:free documentation|\bfdl|\bgfdl)|"
+    r"library general public license(?!.{0,60}2\.1)|lesser general public license[,;(]* ?(?:either )?(?:version|v\.?) ?2(?!\.1)|(?<!lesser )(?<!library )(?<!affero )general public license[,;(]* ?(?:either )?(?:version|v\.?) ?1\b|affero general public license[,;(]* ?(?:either )?(?:version|v\.?) ?[12]\b|"
+    r"apache (?:software )?license[,;(]* ?(?:version|v\.?) ?1|mozilla public license[,;(]* ?(?:version|v\.?) ?1\.0|"
+    r"no-?deriv|non-?commercial[ -]?share-?alike|\bby(?:-nc)?-nd\b|\bby-nc-sa\b|creative commons attribution[a-z -]* [123]\.[0-9]|\bcc[ -]by(?:-[a-z]+)*[ -][123]\.[0-9]"
+)
+#: A statement of so few words that says "BSD" without telling which is of none; a text of so many words is a licence's own, named by its first characters.
+STATEMENT, WHOLE, HEADING = 40, 200, 400
+#: Share of a template's pairs of words that a text must hold.
+SHARED = 0.4
+LICENSE_WORDS = r"(?i)licen[sc]|\bcc0\b|copyright|permission|redistribut|spdx|public domain|creative commons|waived"
 LICENSE_FILE = r"(?i)^(?:licen[sc]e|unlicense|copying)(?:[.-].*)?$"
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -96,6 +108,10 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _pairs(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words[:-1], words[1:], strict=True))
+
+
 def vocabulary() -> list[str]:
     return sorted({w for ts in TEMPLATES.values() for t in ts for w in _words(t)})
 
@@ -114,7 +130,7 @@ class Scorer:
     def __init__(self, frequencies: dict[str, int], texts: int):
         self.top = math.log(2 + texts)
         self.idf = {w: math.log((2 + texts) / (1 + frequencies.get(w, 0))) + 1e-3 for w in vocabulary()}
-        self.templates = [(name, self.vector(t)) for name, ts in sorted(TEMPLATES.items()) for t in ts]
+        self.templates = [(name, self.vector(t), _pairs(_words(t))) for name, ts in sorted(TEMPLATES.items()) for t in ts]
         self.marks = {name: re.compile(p) for name, p in MARKS.items()}
         self.names = {name.lower(): name for name in TEMPLATES}
 
@@ -123,11 +139,17 @@ class Scorer:
         return weights, math.sqrt(sum(x * x for x in weights.values()))
 
     def cosines(self, text: str) -> dict[str, float]:
-        """Per licence the greatest cosine to one of its texts."""
+        """Per licence the greatest cosine to one of its texts of which the text holds SHARED of the pairs of words.
+
+        Long legal texts have nearly all the words of any licence, but not its phrases.
+        """
         mine, size = self.vector(text)
+        near = _pairs(_words(text))
         out: dict[str, float] = {}
-        for name, (other, length) in self.templates:
+        for name, (other, length), pairs in self.templates:
             dot = sum(x * mine[w] for w, x in other.items() if w in mine)
+            if dot and len(pairs & near) < SHARED * len(pairs):
+                dot = 0.0
             out[name] = max(out.get(name, 0.0), min(1.0, dot / (size * length)) if dot else 0.0)
         return out
 
@@ -135,9 +157,11 @@ class Scorer:
         """Cosine and licence of one part."""
         low = " ".join(text.lower().split())
         spdx = re.search(SPDX, low)
-        if spdx:  # an identifier says it exactly; one that no template has is another licence's
-            name = self.names.get(re.sub(r"(?:-only|-or-later|\+)$", "", spdx[1].rstrip(".")))
+        if spdx:
+            name = self.expression(spdx[1])
             return (1.0, name) if name else (0.0, "")
+        if OTHER.search(low) or (re.search(r"\bbsd\b", low) and len(low.split()) < STATEMENT and not any(self.marks[n].search(low) for n in _family("BSD-2-Clause"))):
+            return 0.0, ""
         cosine = self.cosines(text)
         name = min(cosine, key=lambda n: (-cosine[n], n))
         family = _family(name)
@@ -149,8 +173,32 @@ class Scorer:
             return (cosine[plain[0]], plain[0]) if plain else (0.0, "")
         return cosine[name], name
 
+    def expression(self, said: str) -> str:
+        """Licences of an identifier, in order, with the AND or OR between them; empty if one of them has no template.
+
+        Exceptions (WITH) don't change the licence. Words after the identifier's end are another sentence's.
+        """
+        words, out = re.findall(r"[a-z0-9.+-]+", said), []
+        for i in range(0, len(words), 2):
+            name = self.names.get(re.sub(r"(?:-only|-or-later|\+)$", "", words[i].rstrip(".")))
+            after = words[i + 1] if i + 1 < len(words) else ""
+            if i and words[i - 1] == "with":
+                name = None
+            elif name is None:
+                return ""
+            if name is not None:
+                out += [name] if not out or name not in out[::2] else []
+            if after not in ("and", "or", "with"):
+                break
+            if after != "with" and out and i + 2 < len(words):
+                out = out[:-1] if out[-1] in ("AND", "OR") else out
+                out.append(after.upper())
+        return " ".join(out[:-1] if out and out[-1] in ("AND", "OR") else out)
+
     def best(self, text: str) -> tuple[float, str]:
         """The greatest cosine of any part to any template (ties: the licence that sorts first)."""
+        if OTHER.search(" ".join(text[:HEADING].lower().split())) and len(text.split()) >= WHOLE:
+            return 0.0, ""  # another licence's own text; what it shares with these is a part of it only
         parts, top = dict.fromkeys([*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text]), (0.0, "")
         has = re.compile(LICENSE_WORDS)
         found = [self.part(x) for x in parts if has.search(x)]

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -74,3 +75,45 @@ def test_odd_rows(spark):
     assert out.count() == len(odd_rows()) and licenses.digest(empty(spark)).count() == 0
     clash = documents(spark, odd_rows()).withColumnRenamed("lang", "own").withColumnRenamed("source", "__dir").withColumnRenamed("doc_id", "path")
     assert licenses.scan(clash.withColumn("path", clash["path"].cast("string"))).count() == len(odd_rows())
+
+
+WHOLE_TEXTS = {"Apache-2.0": "Apache-2.0", "Artistic": "", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "", "GFDL-1.3": "", "GPL-1": "", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+STATEMENTS = {
+    "Artistic License 2.0": "",
+    "Released under the Artistic License 2.0.": "",
+    "Licensed under the Academic Free License, Version 3.0": "",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "",
+    "Licensed under CC BY-ND 4.0.": "",
+    "Released under the BSD license.": "",
+    "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+    "Licensed under the Apache License, Version 1.1": "",
+    "This work is licensed under the GNU Lesser General Public License, version 2.": "",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+    "SPDX-License-Identifier: (MIT AND BSD-3-Clause)": "MIT AND BSD-3-Clause",
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0",
+    "SPDX-License-Identifier: MIT OR Zlib": "",
+    "SPDX-License-Identifier: MIT\nmore text and words": "MIT",
+}
+
+
+@pytest.mark.parametrize("seen", [0, 10_000])
+def test_statements_of_other_licences_and_variants(seen):
+    """Whatever the corpus says about words: nothing seen, or words that are in half of the texts."""
+    scorer = licenses.Scorer({w: seen // 2 for w in ("the", "of", "license", "software", "to", "and")}, seen)
+    for text, want in STATEMENTS.items():
+        cosine, name = scorer.best(text)
+        assert (name if cosine >= 0.7 else "") == want, text
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no licence texts")
+@pytest.mark.parametrize("seen", [0, 10_000])
+def test_whole_licence_texts(seen):
+    scorer = licenses.Scorer({w: seen // 2 for w in ("the", "of", "license", "software", "to", "and")}, seen)
+    for file, want in WHOLE_TEXTS.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            cosine, name = scorer.best(path.read_text(errors="replace"))
+            assert (name if cosine >= 0.7 else "") == want, file
