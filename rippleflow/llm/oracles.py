@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_WORDS, MAX_LANGUAGES, WORDS
+from .quality import LEAST_LIMIT, LEAST_WORDS, MAX_LANGUAGES, MOST_LIMIT, SPREAD, WORDS
 from .suffix_dedup import LENGTH
 
 _QUALITY = r"""
@@ -32,9 +32,10 @@ wown AS (SELECT n.r, f.lang, f.q, (CASE WHEN f.v IS NULL THEN n.n_words - coales
     FROM n CROSS JOIN wbins f LEFT JOIN hits h ON h.r = n.r AND h.lang = f.lang AND h.v = f.v LEFT JOIN held x ON x.r = n.r AND x.lang = f.lang),
 wjs AS (SELECT r, min(e) AS e FROM (SELECT o.r, o.lang, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) / any_value(z.e) AS e FROM wown o JOIN none z ON o.lang = z.lang GROUP BY o.r, o.lang) y GROUP BY r),
 base AS (SELECT d.doc_id, n.n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
-    length(d.t) AS n_chars, jc.e AS char_js, CASE WHEN d.lang IS NULL OR d.lang IN (SELECT lang FROM langs) THEN jw.e END AS word_js FROM d JOIN n ON d.r = n.r LEFT JOIN lines l ON d.r = l.r LEFT JOIN rep p ON d.r = p.r LEFT JOIN js jc ON jc.r = d.r LEFT JOIN wjs jw ON jw.r = d.r)
+    length(d.t) AS n_chars, jc.e AS char_js, CASE WHEN d.lang IS NULL OR d.lang IN (SELECT lang FROM langs) THEN jw.e END AS word_js FROM d JOIN n ON d.r = n.r LEFT JOIN lines l ON d.r = l.r LEFT JOIN rep p ON d.r = p.r LEFT JOIN js jc ON jc.r = d.r LEFT JOIN wjs jw ON jw.r = d.r),
+usual AS (SELECT count(*) / sum(1 / (word_js * sqrt(n_words))) AS s FROM base WHERE n_words >= 50 AND 100 * n_repeat_words <= 20 * n_words AND word_js > 0 AND word_js <= {limit})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_chars >= 200 AND char_js > 0.2, FALSE) AND NOT coalesce(n_words >= 50 AND word_js > 0.97, FALSE) AS kept, round(char_js, 6) AS char_js, round(word_js, 6) AS word_js FROM base
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_chars >= 200 AND char_js > 0.2, FALSE) AND NOT coalesce(n_words >= 50 AND word_js > coalesce(least({limit}, greatest({floor}, {spread} * usual.s / sqrt(greatest(n_words, 1)))), {limit}), FALSE) AS kept, round(char_js, 6) AS char_js, round(word_js, 6) AS word_js FROM base CROSS JOIN usual
 """
 
 _REPEATS = """
@@ -68,7 +69,7 @@ FROM i LEFT JOIN total ON i.r = total.r LEFT JOIN first ON i.r = first.r
 
 
 def oracle_sql() -> dict[str, str]:
-    limits = {"{words}": WORDS, "{least}": LEAST_WORDS, "{most}": MAX_LANGUAGES}
+    limits = {"{words}": WORDS, "{least}": LEAST_WORDS, "{most}": MAX_LANGUAGES, "{limit}": MOST_LIMIT, "{floor}": LEAST_LIMIT, "{spread}": SPREAD}
     quality = _QUALITY
     for name, value in limits.items():
         quality = quality.replace(name, str(value))

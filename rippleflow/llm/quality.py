@@ -7,9 +7,10 @@ fewer than LEAST_WORDS words has no reference.
 
 A text fails when the Jensen-Shannon distance (base 2) of its characters to the nearest reference exceeds a threshold, or
 that of its words. Word distances are shares of the distance that a text without any common word has, which depends on
-the language: 1 says that a text holds none, more that it repeats one out of all measure. Texts below a minimum length
-are not judged by that histogram, since short ones diverge by chance; a text of a language without a reference gets no
-word verdict.
+the language: 1 says that a text holds none, more that it repeats one out of all measure. Chance alone puts a good text of n
+words some s / sqrt(n) from its reference; s is learnt, as the harmonic mean of distance x sqrt(n) over all texts, which far
+ones hardly move. A text of n words fails beyond SPREAD times that, within the bounds LEAST_LIMIT and MOST_LIMIT. Texts below a
+minimum length are not judged by that histogram; a text of a language without a reference gets no word verdict.
 
 The work is three scans; only counts of words are shuffled, summed in the tasks first. Features are arrays of one row,
 repeated windows are found by sorting hashes inside the row.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import free_name, let, quoted, table
 
 WORDS, LEAST_WORDS, MAX_LANGUAGES = 20, 1000, 64
+SPREAD, LEAST_LIMIT, MOST_LIMIT = 1.8, 0.6, 0.97
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -137,8 +139,8 @@ def _js(hist: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judge(featured: DataFrame, chars: dict, common: dict, lang: str = "lang", max_char: float = 0.2, max_word: float = 0.97, min_chars: int = 200, min_words: int = 50) -> DataFrame:
-    """featured with char_js, word_js (to the nearest language; null without one), base_failed and kept."""
+def judge(featured: DataFrame, chars: dict, common: dict, lang: str = "lang", max_char: float = 0.2, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+    """featured with char_js, word_js (to the nearest language; null without one), base_failed and kept; featured is read twice."""
     place = {w: i for i, w in enumerate(_vocabulary(common))}
 
     def nearest(all_: list[Column]) -> Column:
@@ -154,6 +156,9 @@ def judge(featured: DataFrame, chars: dict, common: dict, lang: str = "lang", ma
     size = F.aggregate("char_hist", F.lit(0).cast("long"), lambda a, x: a + x)
     spoken = quoted(lang).isNull() | quoted(lang).isin(list(common))
     df = featured.withColumns({"char_js": nearest([_js(F.col("char_hist"), r) for _, r in sorted(chars.items())]), "word_js": F.when(spoken, nearest([words(ws) for _, ws in sorted(common.items())])), "base_failed": base_failed})
+    usual = df.where(~F.col("base_failed") & (F.col("n_words") >= min_words) & (F.col("word_js") > 0) & (F.col("word_js") <= MOST_LIMIT))
+    spread = usual.agg(F.count("*") / F.sum(1 / (F.col("word_js") * F.sqrt("n_words")))).first()[0]  # one number
+    max_word = F.lit(MOST_LIMIT) if spread is None else F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(LEAST_LIMIT), SPREAD * spread / F.sqrt("n_words")))
     odd = F.coalesce((size >= min_chars) & (F.col("char_js") > max_char), F.lit(False)) | F.coalesce((F.col("n_words") >= min_words) & (F.col("word_js") > max_word), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~odd)
 

@@ -75,3 +75,24 @@ def test_empty_table_and_extra_columns(spark):
     clash = documents(spark, odd_rows()).withColumnRenamed("source", "__words").withColumnRenamed("n_chars", "n_words")
     out = quality.quality(clash)
     assert out.columns.count("n_words") == 1 and out.count() == len(odd_rows())
+
+
+def test_a_few_common_words_do_not_save_a_salad(spark):
+    """Invented words with 1 to 10 % common ones among them fail; prose of any length from 60 words stays."""
+    import random
+
+    rng = random.Random(8)
+    common = [f"{c}{v}" for c in "thwns" for v in "aeio"]
+    invented = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
+    text = lambda n, share: " ".join(rng.choices(common, weights=range(20, 0, -1))[0] if rng.random() < share else invented() for _ in range(n))
+    clean = [(i, text(n, 0.3), "en", None, None) for i, n in enumerate([60, 90, 130, 200, 300, 500, 900, 1500] * 30)]
+    salads = [(1000 + k, " ".join(rng.sample(["ta"] * k + [invented() for _ in range(200 - k)], 200)), "en", None, None) for k in (1, 2, 4, 8, 20)]
+    salads += [(2000 + n, text(n, 0.03), "en", None, None) for n in (200, 400, 1000)]
+    got = {r.doc_id: r for r in quality.digest(documents(spark, clean + salads)).collect()}
+    assert sum(not got[i].kept for i, *_ in clean) == 0
+    assert not any(got[i].kept or got[i].base_failed for i, *_ in salads)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = quality.digest(documents(spark, odd_rows()))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
