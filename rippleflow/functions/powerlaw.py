@@ -100,8 +100,10 @@ def _lognormal(k: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     low, high = (np.log(k - 0.5) - mu) / sigma, (np.log(k + 0.5) - mu) / sigma
     p = np.where(low > 0, _upper(low) - _upper(high), _upper(-high) - _upper(-low))
     total = _upper(low[:1])[0]
+    if total <= 0:
+        return np.full(len(k), -math.inf)
     with np.errstate(divide="ignore"):
-        return np.log(p) - (math.log(total) if total > 0 else -math.inf)
+        return np.log(p) - math.log(total)
 
 
 def lognormal_logs(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float, float]:
