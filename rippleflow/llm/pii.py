@@ -11,7 +11,8 @@ that lead to the span). All that the driver gathers are counts of vote patterns
 Odd rows: a null text is empty and has no spans; very long texts are scanned whole; equal rows give equal rows; an empty
 table gives an empty result (the model is then its prior); columns of other names, also of those used inside, stay.
 
-No text is shuffled. Patterns use possessive loops and start only at run borders, so a scan is linear.
+No text is shuffled. Patterns use possessive loops and start only at run borders, so a scan is linear;
+places are running sums in log2(spans) passes, and added spans find base ones by binary search.
 """
 
 from __future__ import annotations
@@ -45,21 +46,30 @@ BASE, ADDED = ["email", "ip", "card", "phone"], ["tel", "id", "secret"]
 KINDS = BASE + ADDED
 LABELERS = ["shape", "checksum", "gazetteer", "context", "border"]
 NEAR, LOOKS = 32, 60
+POWERS = [1 << i for i in range(31)]
+PIECE = 512
+
+
+def running(values: Column, both) -> Column:
+    """values[i] joined by both with all before it, in log2(n) passes: an array that grows by one would be copied n times."""
+
+    def scan(v: Column) -> Column:
+        return F.aggregate(F.filter(F.array(*map(F.lit, POWERS)), lambda p: p < F.size(v)), v, lambda a, p: F.transform(a, lambda x, i: F.when(i < p, x).otherwise(both(x, F.get(a, i - p)))))
+
+    return let(values, scan)
 
 
 def _found(text: Column, pattern: str, when: Column) -> Column:
     """array<struct<s, e, m, b>>: places (end exclusive), matches, and the text just before (at most NEAR characters)."""
     kind = "array<struct<s:int,e:int,m:string,b:string>>"
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(NEAR)).alias("b"))
-        return F.struct(e.alias("at"), F.concat(a["out"], F.when(x["m"].isNull(), F.array().cast(kind)).otherwise(F.array(one).cast(kind))).alias("out"))
+    def placed(z: Column) -> Column:
+        ends = running(F.transform(z, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda x, y: x + y)
+        spans = let(ends, lambda e: F.transform(z, lambda x, i: F.struct((F.get(e, i) - F.length(x["m"])).alias("s"), F.get(e, i).alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(NEAR)).alias("b"))))
+        return F.filter(spans, lambda x: x["m"].isNotNull()).cast(kind)
 
-    return F.when(when, F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(kind))
+    return F.when(when, let(zipped, placed)).otherwise(F.array().cast(kind))
 
 
 def _digits(m: Column) -> Column:
@@ -125,10 +135,17 @@ def candidates(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     when = {"email": F.col(t).contains("@"), "ip": F.col(t).rlike("[0-9]\\.[0-9]"), "card": F.col(t).rlike("[0-9](?:[ -]?[0-9]){12}"), "phone": F.col(t).contains("+"), "tel": F.col(t).rlike("[0-9]{3}[ .-][0-9]{4}"), "id": F.col(t).rlike("[0-9]-[0-9]{2}-[0-9]"), "secret": F.col(t).rlike("[A-Za-z0-9_-]{16}")}
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "tel": TEL, "id": IDENTITY, "secret": SECRET}
     base, more = free_name(docs.columns, "__base"), free_name(docs.columns, "__more")
-    df = df.withColumn(base, F.concat(*[_labelled(k, _found(F.col(t), pattern[k], when[k])) for k in BASE]))
+    df = df.withColumn(base, F.array(*[_labelled(k, _found(F.col(t), pattern[k], when[k])) for k in BASE]))
     df = df.withColumn(more, F.concat(*[_labelled(k, _found(F.col(t), pattern[k], when[k])) for k in ADDED]))
-    apart = F.filter(more, lambda x: ~F.exists(F.col(base), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return df.withColumn(out, F.concat(F.col(base), F.when(F.size(more) > 0, apart).otherwise(F.col(more)))).drop(t, base, more)
+    apart = F.filter(more, lambda x: ~F.exists(F.col(base), lambda spans: _touched(x, spans)))
+    return df.withColumn(out, F.concat(F.flatten(base), F.when(F.size(more) > 0, apart).otherwise(F.col(more)))).drop(t, base, more)
+
+
+def _touched(x: Column, spans: Column) -> Column:
+    """Whether x overlaps one of spans, which are apart and in order: the last that starts before x ends decides."""
+    steps = F.filter(F.array(*map(F.lit, reversed(POWERS))), lambda p: p <= F.size(spans))
+    before = F.aggregate(steps, F.lit(0), lambda a, p: F.when(F.get(spans, a + p - 1)["s"] < x["e"], a + p).otherwise(a))
+    return F.coalesce(F.get(spans, before - 1)["e"] > x["s"], F.lit(False))
 
 
 @dataclass
@@ -237,16 +254,24 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     c, s, t = (free_name(docs.columns, f"__{x}") for x in ("c", "s", "t"))
     model = train(table(candidates(docs.select(quoted(text)), c, text).select(c), "pii"), c)
     df = candidates(docs, c, text).withColumn(s, F.sort_array(F.transform(chosen(F.col(c), model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))))
-    reach = F.aggregate(  # spans with the furthest end so far
-        F.col(s),
-        F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<s:int,e:int,k:tinyint,p:int>>").alias("out")),
-        lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), a["to"].alias("p")))).alias("out")),
-    )
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    parts = F.transform(F.col(t)["out"], lambda x: F.when(x["s"] >= x["p"], F.concat(F.substring(quoted(text), x["p"] + 1, x["s"] - x["p"]), F.get(names, x["k"].cast("int")))).otherwise(F.lit("")))
-    tail = F.substring(quoted(text), F.col(t)["to"] + 1, F.length(quoted(text)))
-    clean = F.when(F.size(s) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(quoted(text))
-    return df.withColumn(t, reach).select(*[clean.alias(x) if x == text else quoted(x) for x in docs.columns])
+    reach = running(F.transform(F.col(s), lambda x: x["e"]), F.greatest)  # the furthest end so far
+
+    def masked(to: Column) -> Column:
+        """What lies between spans, and a name for every union of overlapping ones."""
+        at = lambda i: F.when(i > 0, F.get(to, i - 1)).otherwise(0)
+        parts = F.transform(F.col(s), lambda x, i: F.when(x["s"] >= at(i), F.concat(between(at(i), x["s"]), F.get(names, x["k"].cast("int")))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), between(F.get(to, F.size(s) - 1), F.length(quoted(text))))
+
+    def between(a: Column, b: Column) -> Column:
+        """Characters a to b (exclusive). substring() walks from the text's start, so it is put on pieces of it."""
+        first = F.floor(a / PIECE).cast("int")
+        of = F.slice(F.col(t), first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(of, ""), a - first * PIECE + 1, b - a)).otherwise(F.lit(""))
+
+    pieces = F.when(F.size(s) > 0, F.regexp_extract_all(quoted(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    clean = F.when(F.size(s) > 0, let(reach, masked)).otherwise(quoted(text))
+    return df.withColumn(t, pieces).select(*[clean.alias(x) if x == text else quoted(x) for x in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
