@@ -99,6 +99,17 @@ class Model:
         return pred, score
 
 
+def _least(keyed: DataFrame, h: str, max_docs: int) -> DataFrame:
+    """The max_docs rows of the least (h, text's hash, lang). Only hashes are sorted; texts stay where they are."""
+    place = F.struct(F.col(h).alias("h"), F.xxhash64("text").alias("x"), F.col("lang").cast("string").alias("g"))
+    last = keyed.select(place.alias("p")).orderBy("p").limit(max_docs).agg(F.max("p").alias("p"), F.count("*").alias("n")).first()
+    if last["n"] < max_docs:
+        return keyed
+    cut = F.struct(*[F.lit(v).alias(k) for k, v in last["p"].asDict().items()])
+    below = keyed.where(place < cut)
+    return below.union(keyed.where(place == cut).limit(max_docs - below.count()))  # rows of one text
+
+
 def train(labelled: DataFrame, max_docs: int = 20_000, tasks: int = 16) -> Model:
     """labelled: text, lang and doc_id or other columns. Null texts and labels don't count; no rows, no languages."""
     keyed = labelled.where(quoted("lang").isNotNull() & quoted("text").isNotNull())
@@ -107,7 +118,7 @@ def train(labelled: DataFrame, max_docs: int = 20_000, tasks: int = 16) -> Model
     n = keyed.count()
     if n > max_docs:  # a share of the hash range a little larger than needed, then the smallest hashes of it
         cut = int(-(2**63) + 2**64 * min(1.0, 1.2 * max_docs / n))
-        keyed = keyed.where(F.col(h) <= min(cut, 2**63 - 1)).orderBy(h, F.xxhash64("text"), "lang").limit(max_docs)
+        keyed = _least(keyed.where(F.col(h) <= min(cut, 2**63 - 1)), h, max_docs)
     counts = keyed.select("text", F.col("lang").cast("string")).repartition(tasks).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("at")).collect()  # languages x 2^15 x tasks cells at most
     langs = sorted(r["lang"] for r in rows)

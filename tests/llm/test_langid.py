@@ -1,6 +1,7 @@
 import random
 
-from helpers import documents, empty, odd_rows
+from helpers import documents, empty, odd_rows, prose
+from pyspark.sql import functions as F
 
 from rippleflow.llm import langid
 
@@ -63,3 +64,13 @@ def test_odd_rows(spark):
     assert langid.digest(empty(spark)).count() == 0
     unlabelled = langid.digest(documents(spark, [(1, "abc", None, None, None)])).first()
     assert unlabelled.lang_pred == "und"
+
+
+def test_sample_is_exact_with_ties(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), prose(rng.randrange(9), 8), rng.choice(["en", "fr"]), None, None) for _ in range(200)]
+    keyed = documents(spark, rows).withColumn("__h", F.xxhash64("doc_id"))
+    order = keyed.orderBy("__h", F.xxhash64("text"), "lang")
+    for n in (1, 7, 60, 61, 199, 200, 500):
+        got, want = (sorted(tuple(r) for r in x.select("doc_id", "text", "lang").collect()) for x in (langid._least(keyed, "__h", n), order.limit(n)))
+        assert got == want
