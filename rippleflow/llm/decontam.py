@@ -16,8 +16,8 @@ A window of a text matches an item of m bytes if their edit distance is at most
 Items below SHORT bytes have too few strings for 1 and too short walks for 2: k edits leave one of k + 1 parts of the item
 whole, so an Aho-Corasick automaton over the parts finds all candidates (no loss).
 
-Each task works on byte-bounded slices of whole texts. The items are collected in blocks of bounded bytes, one pass over
-the texts each; nothing is shuffled. Equal rows give equal rows; null and empty texts and items match nothing; texts and
+Each task works on byte-bounded slices of whole texts. The items come in blocks of bounded bytes, at most AT_ONCE a
+pass over the texts; a task holds one block's tables at a time; nothing is shuffled. Equal rows give equal rows; null and empty texts and items match nothing; texts and
 items of any length are searched whole; of equally near matches the first is reported; an empty table of texts or items
 gives no match; other columns, also of names used here, stay.
 """
@@ -26,20 +26,23 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, quoted, slices
+from .common import joined, quoted, slices, table
 
 Q, TABLE_BITS, BANDS = 8, 20, 32
 SHORT, SEGMENT, STEPS = 64, 16, 40
 WALKS, SETS, BITS = 4, 5, 7
 REPETITIONS = WALKS * SETS
 BLOCK_BYTES, CHUNK = 1 << 20, 1 << 15
+GROUP_BYTES, AT_ONCE = 1 << 25, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,25 +252,44 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     An existing column of that name is replaced.
     """
     kept, spark = [c for c in docs.columns if c.lower() != out.lower()], docs.sparkSession
-    kind = "array<struct<item:bigint,distance:int,end:bigint>>"
-    result = docs.select(*map(quoted, kept)).withColumn(out, F.array().cast(kind))
+    result = docs.select(*map(quoted, kept)).withColumn(out, F.array().cast("array<struct<item:bigint,distance:int,end:bigint>>"))
     value = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Items(block, rate))
+    blocks, passes = _blocks(benchmark, item_id, item_text), 0
+    while some := list(islice(blocks, AT_ONCE)):
+        # A block's tables take many times its bytes: one block's are sent whole, of more each task makes one's at a time.
+        shared = spark.sparkContext.broadcast([Items(some[0], rate)] if len(some) == 1 else some)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text):
-                    items = shared.value
-                    found = matches(*joined(part.column(text)), items)
-                    old = part.column(out).to_pylist()
-                    new = [sorted(old[t] + [{"item": items.ids[j], "distance": d, "end": e} for j, (d, e) in found[t].items()], key=lambda x: (x["item"], x["distance"], x["end"])) if t in found else old[t] for t in range(part.num_rows)]
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(new, value)], names=[*kept, out])
-
-        result = result.mapInArrow(run, result.schema)
+            for parts in _groups((part for batch in batches for part in slices(batch, text)), text, GROUP_BYTES if len(shared.value) > 1 else 0):
+                new = [part.column(out).to_pylist() for part in parts]
+                for block in shared.value:
+                    items = block if isinstance(block, Items) else Items(block, rate)
+                    for part, leaks in zip(parts, new, strict=True):
+                        for t, found in matches(*joined(part.column(text)), items).items():
+                            leaks[t] = leaks[t] + [{"item": items.ids[j], "distance": d, "end": e} for j, (d, e) in found.items()]
+                for part, leaks in zip(parts, new, strict=True):
+                    leaks = [sorted(x, key=lambda x: (x["item"], x["distance"], x["end"])) for x in leaks]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(leaks, value)], names=[*kept, out])
+
+        # A further pass starts from a written table, so that no task runs more than one worker.
+        result = (table(result, "scanned") if passes else result).mapInArrow(run, result.schema)
+        passes += 1
     return result
 
 
+def _groups(parts: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Parts in lists of at least limit bytes of text (the last one aside)."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += pc.sum(pc.fill_null(pc.binary_length(part.column(text)), 0)).as_py()
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document and item that it holds: doc_id, item_id, distance."""
     found = scan(docs.select("doc_id", "text"), benchmark)

@@ -114,3 +114,17 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, decontam.digest(docs, items).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 900)
     assert sorted(map(tuple, decontam.digest(docs, items).collect())) == one and len(one) >= 20
+
+
+def test_many_blocks_and_passes(spark, monkeypatch):
+    items = [(i, prose(1000 + i, 20 + i % 5)) for i in range(40)] + [(90, "a short item"), (91, None), (None, "x" * 90)]
+    rows = [(k, prose(k, 40) + " " + items[k % 40][1] + " " + prose(k + 7, 20) + " a short item", None, None, None) for k in range(30)] + odd_rows()
+    docs = documents(spark, rows)
+    want = sorted(map(tuple, decontam.digest(docs, benchmark(spark, items)).collect()), key=str)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(decontam, "AT_ONCE", 4)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 3000)
+    assert len(list(decontam._blocks(benchmark(spark, items), "item_id", "text"))) > 4
+    found = decontam.scan(docs, benchmark(spark, items))
+    assert found.count() == len(rows) and len(want) >= 60
+    assert sorted(map(tuple, decontam.digest(docs, benchmark(spark, items)).collect()), key=str) == want
