@@ -14,7 +14,6 @@ SQL: dict[str, str] = {
     "C4_product_pools": f"WITH {_POOL} SELECT product, count(*) AS pool FROM pool GROUP BY product",
     "C5_edge_candidates": f"""WITH {_POOL} SELECT e.src, e.dst, e.product, count(p.firm_id) AS candidates FROM {{edge_products}} e
         LEFT JOIN pool p ON e.product = p.product AND p.firm_id <> e.src AND p.firm_id <> e.dst GROUP BY e.src, e.dst, e.product""",
-    "C6_overlap_pool": "SELECT a.firm_id AS lost, b.firm_id AS alternative, round(count(*) / max(s.n), 9) AS weight FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) s ON a.firm_id = s.firm_id GROUP BY a.firm_id, b.firm_id",
     "C7_taxonomy": "SELECT round(avg(CASE WHEN x.group_name = y.group_name THEN 1.0 ELSE 0.0 END), 6) AS same_group, round(avg(CASE WHEN x.family_name <> y.family_name THEN 1.0 ELSE 0.0 END), 6) AS other_family, count(*) AS pairs FROM {alike} s CROSS JOIN {sizes} n JOIN {products} x ON x.product = s.a JOIN {products} y ON y.product = s.b WHERE s.a < s.b AND s.score > 0.3 AND NOT x.special AND NOT y.special",
     "C8_dual_sourcing": "SELECT 'strict' AS kind, count(*) AS pairs FROM (SELECT DISTINCT a.src, b.src AS other, a.product FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.model = b.model AND a.model_year = b.model_year AND a.src <> b.src) s UNION ALL SELECT 'loose', count(*) FROM (SELECT DISTINCT a.src, b.src AS other, a.product FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.src <> b.src) l",
     "C9_rule_recall": f"""WITH pairs AS (SELECT DISTINCT a.src AS u, b.src AS v, a.product % s.vectors AS x FROM {{details}} a JOIN {{details}} b ON a.dst = b.dst AND a.src <> b.src AND a.product = b.product CROSS JOIN {{sizes}} s),

@@ -41,13 +41,12 @@ def loaded_firms(n: Network) -> DataFrame:
 
 
 def rival_counts(n: Network) -> DataFrame:
-    index = cut(n["capabilities"].select("firm_id", "product"))
-    return network.rivals(index).groupBy("firm_id").agg(F.count("*").alias("rivals"))
+    return network.rival_counts(n["capabilities"])
 
 
 def overlap_weights(n: Network) -> DataFrame:
-    index, lost = n["capabilities"], n["capabilities"].select("firm_id").distinct()
-    return network.overlap_pool(index, lost).select("lost", F.col("rival").alias("alternative"), F.round("weight", 9).alias("weight"))
+    index = cut(n["capabilities"])
+    return network.overlap_pool(index, index).select("lost", F.col("rival").alias("alternative"), F.round("weight", 9).alias("weight"))
 
 
 def two_hop(n: Network) -> DataFrame:
@@ -81,6 +80,8 @@ QUERIES: dict[str, Callable[[Network], DataFrame]] = {
     "Z36_loaded_edges": loaded_edges,
     "Z36_loaded_firms": loaded_firms,
     "Z29_rivals": rival_counts,
+    "J9_shared_product_pool": rival_counts,
+    "C6_overlap_pool": overlap_weights,
     "J11_overlap_weights": overlap_weights,
     "J10_two_hop": two_hop,
     "N13_kde_resample": kde,
@@ -105,6 +106,8 @@ ORACLES: dict[str, str] = {
         SELECT f.firm_id, f.is_oem, CAST(CASE WHEN n.x IS NULL THEN -1 ELSE t.d END AS BIGINT) AS tier FROM {{firms}} f ANTI JOIN empty e ON f.firm_id = e.f LEFT JOIN nodes n ON f.firm_id = n.x LEFT JOIN t ON f.firm_id = t.x WHERE n.x IS NOT NULL OR f.firm_id IN (SELECT firm_id FROM can)""",
     "Z29_rivals": "SELECT a.firm_id, count(DISTINCT b.firm_id) AS rivals FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id GROUP BY a.firm_id",
     "J11_overlap_weights": "SELECT a.firm_id AS lost, b.firm_id AS alternative, round(count(*) / (1.0 * max(s.n)), 9) AS weight FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) s ON a.firm_id = s.firm_id GROUP BY a.firm_id, b.firm_id",
+    "J9_shared_product_pool": "SELECT a.firm_id, count(DISTINCT b.firm_id) AS rivals FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id GROUP BY a.firm_id",
+    "C6_overlap_pool": "SELECT a.firm_id AS lost, b.firm_id AS alternative, round(count(*) / max(s.n), 9) AS weight FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id JOIN (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) s ON a.firm_id = s.firm_id GROUP BY a.firm_id, b.firm_id",
     "J10_two_hop": """WITH lost AS (SELECT DISTINCT e.src * 100000000 + e.product AS search, e.product % s.vectors AS product FROM {edge_products} e CROSS JOIN {sizes} s), idx AS (SELECT DISTINCT c.firm_id, c.product % s.vectors AS product FROM {capabilities} c CROSS JOIN {sizes} s)
         SELECT search, firm_id, score, alt FROM (SELECT l.search, i.firm_id, p.score, p.b AS alt, row_number() OVER (PARTITION BY l.search, i.firm_id ORDER BY p.score DESC, p.b) AS k FROM lost l JOIN {alike} p ON l.product = p.a AND p.score > 0.3 JOIN idx i ON p.b = i.product) x WHERE k = 1""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.iterate import cut
+from ..operators.order import numbered
 
 
 @dataclass
@@ -75,25 +76,69 @@ def product_index(network: SupplyNetwork, with_delivered: bool = True) -> DataFr
     return (own.union(delivered(network).select("product", "firm_id")) if with_delivered else own).distinct()
 
 
+def _portfolio_sets(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(firm_id, s) and (s, product): firms by their distinct portfolios; s is a digest of 128 bits of the portfolio."""
+    sets = index.where("firm_id is not null and product is not null").groupBy("firm_id").agg(F.array_sort(F.collect_set("product")).alias("set"))
+    named = cut(sets.withColumn("s", F.md5(F.to_json("set"))))
+    return named.select("firm_id", "s"), named.groupBy("s").agg(F.first("set").alias("set")).select("s", F.explode("set").alias("product"))
+
+
 def rivals(index: DataFrame) -> DataFrame:
     """firm_id, rival: firms that share a product, by one join on products.
 
-    Firms of equal portfolios are joined once: the join runs over distinct sets of products.
+    Firms of equal portfolios are joined once: the join runs over distinct sets of products. The result holds a row a
+    pair of firms; rival_counts() counts without forming them.
     """
-    sets = index.groupBy("firm_id").agg(F.array_sort(F.collect_set("product")).alias("set"))
-    ids = sets.select("set").distinct().withColumn("s", F.xxhash64("set"))
-    by = ids.select("s", F.explode("set").alias("product"))
+    of, by = _portfolio_sets(index)
     near = by.join(by.withColumnRenamed("s", "t"), "product").select("s", "t").distinct()
-    of = sets.select("firm_id", F.xxhash64("set").alias("s"))
     return of.join(near, "s").join(of.select(F.col("firm_id").alias("rival"), F.col("s").alias("t")), "t").where("firm_id <> rival").select("firm_id", "rival")
 
 
+def rival_counts(index: DataFrame, heavy: int = 1024) -> DataFrame:
+    """firm_id, rivals: with how many other firms a firm shares a product; firms without any are left out.
+
+    A product of more than `heavy` firms isn't joined with itself. Firms are known by their set of such products; each
+    such product has bitmaps of its firms, in blocks of places, and a set's bitmaps are united and counted, so all firms of
+    a set cost one union. Firms that share a lesser product and no heavy one are counted as pairs, at most `heavy` an
+    offer. The count is exact for any value of `heavy`. Rows without firm or product count nowhere.
+    """
+    offers = cut(index.where("firm_id is not null and product is not null").select("firm_id", "product").distinct())
+    hot = cut(offers.groupBy("product").count().where(F.col("count") > heavy).select("product"))
+    held = offers.join(hot, "product")
+    sets = cut(held.groupBy("firm_id").agg(F.array_sort(F.collect_set("product")).alias("set")))
+    placed = cut(numbered(sets, ["firm_id"], "place"))
+    names = cut(placed.groupBy("set").agg(F.min("firm_id").alias("s")))
+    bit = F.col("place") + 1
+    bits = placed.select(F.explode("set").alias("product"), F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("at"))
+    maps = cut(bits.groupBy("product", "block").agg(F.bitmap_construct_agg("at").alias("bits")))
+    blocks = F.sequence(F.lit(1), F.lit(max(1, -(-placed.count() // 32768)))).cast("array<long>")
+    # The join is on (product, block): a product that all firms offer is as many keys as there are blocks.
+    wanted = names.select("s", F.explode("set").alias("product")).select("s", "product", F.explode(blocks).alias("block"))
+    united = wanted.join(maps, ["product", "block"]).groupBy("s", "block").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    by_set = names.join(united.groupBy("s").agg((F.sum("n") - 1).alias("many")), "s").select("set", "many")
+    many = placed.select("firm_id", "set").join(by_set, "set").select("firm_id", "many")
+    none = F.array().cast(sets.schema["set"].dataType)
+    cold = cut(offers.join(hot, "product", "left_anti").join(sets, "firm_id", "left").select("firm_id", "product", F.coalesce("set", none).alias("set")))
+    other = cold.select(F.col("firm_id").alias("rival"), "product", F.col("set").alias("other"))
+    few = cold.join(other, "product").where("firm_id <> rival AND NOT arrays_overlap(set, other)").select("firm_id", "rival").distinct().groupBy("firm_id").agg(F.count("*").alias("few"))
+    both = many.join(few, "firm_id", "full").select("firm_id", (F.coalesce("many", F.lit(0)) + F.coalesce("few", F.lit(0))).alias("rivals"))
+    return both.where("rivals > 0")
+
+
 def overlap_pool(index: DataFrame, lost: DataFrame) -> DataFrame:
-    """lost, rival, weight: share of the lost firm's products that a rival offers; only the lost firms are expanded."""
-    mine = index.join(lost, "firm_id", "left_semi")
-    size = mine.groupBy("firm_id").agg(F.count("*").alias("n"))
-    shared = mine.join(index.select("product", F.col("firm_id").alias("rival")), "product").where("firm_id <> rival").groupBy("firm_id", "rival").agg(F.count("*").alias("k"))
-    return shared.join(size, "firm_id").select(F.col("firm_id").alias("lost"), "rival", (F.col("k") / F.col("n")).alias("weight"))
+    """lost, rival, weight: share of the lost firm's products that a rival offers; only the lost firms are expanded.
+
+    Shares are counted between distinct portfolios and then given to their firms: the result has a row a pair of firms,
+    the join on products only one a pair of portfolios and shared product.
+    """
+    of, by = _portfolio_sets(index)
+    mine = of.join(lost.select("firm_id").distinct(), "firm_id", "left_semi")
+    asked = by.join(mine.select("s").distinct(), "s", "left_semi")
+    size = asked.groupBy("s").agg(F.count("*").alias("n"))
+    shared = asked.join(by.withColumnRenamed("s", "t"), "product").groupBy("s", "t").agg(F.count("*").alias("k"))
+    weight = shared.join(size, "s").select("s", "t", (F.col("k") / F.col("n")).alias("weight"))
+    theirs = of.select(F.col("firm_id").alias("rival"), F.col("s").alias("t"))
+    return mine.join(weight, "s").join(theirs, "t").where("firm_id <> rival").select(F.col("firm_id").alias("lost"), "rival", "weight")
 
 
 def best_alternatives(lost: DataFrame, sigma: DataFrame, index: DataFrame) -> DataFrame:

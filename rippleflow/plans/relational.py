@@ -30,12 +30,12 @@ SQL: dict[str, str] = {
     "J1_left_dimension": "SELECT c.firm_id, c.product, p.group_name FROM {capabilities} c LEFT JOIN {products} p ON c.product = p.product AND NOT p.special",
     "J2_inner_details": "SELECT r.src, r.dst, d.product, d.model, d.model_year FROM {relations} r JOIN {details} d ON r.src = d.src AND r.dst = d.dst WHERE r.annotated",
     "J3_firm_nation": "SELECT f.firm_id, n.nation_name, n.region_id FROM {firms} f LEFT JOIN {nations} n ON f.nation_id = n.nation_id AND n.region_id <> 4",
-    "J4_special_only": "SELECT DISTINCT c.firm_id FROM {capabilities} c JOIN {products} p ON c.product = p.product AND p.special LEFT ANTI JOIN (SELECT x.firm_id FROM {capabilities} x JOIN {products} y ON x.product = y.product WHERE NOT y.special) o ON c.firm_id = o.firm_id",
+    # Firms in debt report no standard products, as in the loaded network.
+    "J4_special_only": "SELECT DISTINCT c.firm_id FROM {capabilities} c JOIN {products} p ON c.product = p.product AND p.special LEFT ANTI JOIN (SELECT x.firm_id FROM {capabilities} x JOIN {products} y ON x.product = y.product JOIN {firms} f ON x.firm_id = f.firm_id WHERE NOT y.special AND f.capital >= 0) o ON c.firm_id = o.firm_id",
     "J5_collision_suffix": """SELECT a.firm_id, coalesce(a.n, 0) AS products, coalesce(b.n, 0) AS products_special FROM (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) a
         LEFT JOIN (SELECT c.firm_id, count(*) AS n FROM {capabilities} c JOIN {products} p ON c.product = p.product WHERE p.special GROUP BY c.firm_id) b ON a.firm_id = b.firm_id""",
     "J6_attributes_on_edges": "SELECT r.src, r.dst, s.degree AS src_degree, t.degree AS dst_degree FROM {relations} r JOIN {degrees} s ON r.src = s.firm_id JOIN {degrees} t ON r.dst = t.firm_id",
     "J7_semi_join": "SELECT f.firm_id FROM {firms} f LEFT SEMI JOIN {relations} r ON f.firm_id = r.src",
-    "J9_shared_product_pool": "SELECT a.firm_id, count(DISTINCT b.firm_id) AS rivals FROM {capabilities} a JOIN {capabilities} b ON a.product = b.product AND a.firm_id <> b.firm_id GROUP BY a.firm_id",
     "J12_paired_tasks": "SELECT a.task_id, a.weeks AS weeks_a, b.weeks AS weeks_b, a.weeks - b.weeks AS diff FROM {runs} a JOIN {runs} b ON a.task_id = b.task_id AND a.arm = 0 AND b.arm = 1",
     "J13_supplier_pairs": "SELECT DISTINCT a.src AS u, b.src AS v FROM {details} a JOIN {details} b ON a.dst = b.dst AND a.product = b.product AND a.src <> b.src",
     "J14_edge_communities": "SELECT r.src, r.dst, a.community AS src_community, b.community AS dst_community FROM {relations} r JOIN {communities} a ON r.src = a.firm_id JOIN {communities} b ON r.dst = b.firm_id",
