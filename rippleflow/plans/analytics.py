@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.adapter import whole
+
 # Similar products: vectors stand for products, p_partkey modulo their number.
 _POOL = """offers AS (SELECT DISTINCT c.firm_id, c.product % s.vectors AS a FROM {capabilities} c CROSS JOIN {sizes} s),
         lost AS (SELECT DISTINCT e.product, e.product % s.vectors AS a FROM {edge_products} e CROSS JOIN {sizes} s),
@@ -86,3 +88,9 @@ SQL: dict[str, str] = {
     "S2_column_pruning": "SELECT l_suppkey, l_partkey FROM {lineitem} WHERE l_quantity >= 49",
     "K4_node_edge_sheets": "SELECT 'node' AS sheet, firm_id AS a, CAST(nation_id AS BIGINT) AS b FROM {firms} UNION ALL SELECT 'edge', src, dst FROM {relations}",
 }
+#: Plans over the whole network, as in relational.py.
+WHOLE = """
+    C8_dual_sourcing C11_edge_composition C14_vocabulary C43_criticality N1_pearson N2_correlation_matrix N3_spearman N5_partial_correlation
+    N10_standardise N17_seed_sample N15_discrete_uniform N20_fit_slope K4_node_edge_sheets
+""".split()
+SQL |= {name: whole(SQL[name]) for name in WHOLE}

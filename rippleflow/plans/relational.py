@@ -5,6 +5,8 @@ Every entry is one plan; Catalyst prunes columns, pushes filters to the scans an
 
 from __future__ import annotations
 
+from ..sources.adapter import whole
+
 SQL: dict[str, str] = {
     # Projections and filters.
     "F1_select_rename": "SELECT firm_id AS id, nation_id AS country FROM {firms}",
@@ -125,3 +127,12 @@ SQL: dict[str, str] = {
     "C46_products_per_firm": "SELECT products, CAST(sum(n) OVER (ORDER BY products DESC) AS BIGINT) AS at_least FROM (SELECT products, count(*) AS n FROM (SELECT firm_id, count(*) AS products FROM {capabilities} GROUP BY firm_id) a GROUP BY products) b",
     "C47_product_correlations": "SELECT round(corr(p.n, d.degree), 6) AS r_degree, round(corr(p.n, d.out_degree), 6) AS r_out FROM (SELECT firm_id, count(*) AS n FROM {capabilities} GROUP BY firm_id) p JOIN {degrees} d ON p.firm_id = d.firm_id",
 }
+#: Plans over the whole network; the others walk, close triangles or pair firms and read the thin one.
+WHOLE = """
+    F2_comparison F3_nulls F5_derived_columns F7_complete_cases F9_seed_eligible F10_percentile_threshold
+    F12_prune_empty_portfolio F13_prune_isolates J2_inner_details J6_attributes_on_edges J7_semi_join J13_supplier_pairs A2_edge_products
+    A3_count_non_null A4_product_counts A5_distinct_counts A6_distinct_first A7_means_by_nation A8_weighted_degree A16_sum_by_key A18_modularity
+    W1_ccdf W2_ecdf W9_average_ranks T1_sort T5_top_overlap U1_union_distinct U3_difference U4_portfolio_union M1_unpivot
+    G1_digraph G2_undirected G23_tier_modularity G29_delivered_products G30_partners C45_inventory C47_product_correlations
+""".split()
+SQL |= {name: whole(SQL[name]) for name in WHOLE}

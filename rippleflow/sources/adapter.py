@@ -55,7 +55,21 @@ TABLES = {
     "origins": """SELECT run_id, firm, 1 AS slot, CASE WHEN event_id % 11 = 0 THEN firm + 100000 ELSE (event_id * 13) % greatest(firm, 1) END AS origin FROM {cascade} WHERE NOT is_seed
         UNION ALL SELECT run_id, firm, 2, (event_id * 29) % greatest(firm, 1) FROM {cascade} WHERE NOT is_seed AND event_id % 11 <> 0 AND event_id % 3 <> 0""",
 }
+# The thin network above is for plans that walk paths, close triangles or pair firms; plans that filter, join and add up read
+# the whole one: every line is a delivery to the order's customer and to the supplier of the next line.
+THINNED = ("details", "relations", "edge_products", "degrees", "neighbours")
+TABLES["all_details"] = f"""SELECT l_suppkey AS src, {OEM} + o_custkey AS dst, l_partkey AS product, l_returnflag AS model, year(l_shipdate) AS model_year FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+        UNION ALL SELECT a, b, product, model, model_year FROM (
+            SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b,
+                l_partkey AS product, l_returnflag AS model, year(l_shipdate) AS model_year FROM {{lineitem}}) x WHERE b IS NOT NULL AND a <> b"""
+
+
+def whole(template: str) -> str:
+    """The template over the whole network."""
+    return re.sub(r"\{(" + "|".join(THINNED) + r")\}", r"{all_\1}", template)
+
 
+TABLES |= {f"all_{name}": whole(TABLES[name]) for name in THINNED[1:]}
 
 
 def _louvain_sql(turns: int, levels: int) -> str:
