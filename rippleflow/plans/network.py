@@ -77,10 +77,11 @@ def product_index(network: SupplyNetwork, with_delivered: bool = True) -> DataFr
 
 
 def _portfolio_sets(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(firm_id, s) and (s, product): firms by their distinct portfolios; s is a digest of 128 bits of the portfolio."""
+    """(firm_id, s) and (s, product): firms by their distinct portfolios, told apart by 128 bits; s numbers them."""
     sets = index.where("firm_id is not null and product is not null").groupBy("firm_id").agg(F.array_sort(F.collect_set("product")).alias("set"))
-    named = cut(sets.withColumn("s", F.md5(F.to_json("set"))))
-    return named.select("firm_id", "s"), named.groupBy("s").agg(F.first("set").alias("set")).select("s", F.explode("set").alias("product"))
+    named = cut(sets.withColumn("digest", F.md5(F.to_json("set"))))
+    numbers = cut(named.groupBy("digest").agg(F.first("set").alias("set")).withColumn("s", F.monotonically_increasing_id()))
+    return named.join(numbers.select("digest", "s"), "digest").select("firm_id", "s"), numbers.select("s", F.explode("set").alias("product"))
 
 
 def rivals(index: DataFrame) -> DataFrame:
@@ -104,6 +105,9 @@ def rival_counts(index: DataFrame, heavy: int = 1024) -> DataFrame:
     """
     offers = cut(index.where("firm_id is not null and product is not null").select("firm_id", "product").distinct())
     hot = cut(offers.groupBy("product").count().where(F.col("count") > heavy).select("product"))
+    if hot.isEmpty():
+        pairs = offers.join(offers.withColumnRenamed("firm_id", "rival"), "product").where("firm_id <> rival")
+        return pairs.select("firm_id", "rival").distinct().groupBy("firm_id").agg(F.count("*").alias("rivals"))
     held = offers.join(hot, "product")
     sets = cut(held.groupBy("firm_id").agg(F.array_sort(F.collect_set("product")).alias("set")))
     placed = cut(numbered(sets, ["firm_id"], "place"))
