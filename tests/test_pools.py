@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from rippleflow.operators.pools import united
+from rippleflow.operators.pools import best_of, united
+from rippleflow.plans.network import best_alternatives
 
 
 def made(seed):
@@ -33,3 +34,37 @@ def test_empty(spark):
     none = lambda names: spark.createDataFrame([], names)
     pool, held = united(none("a long, b long"), none("firm long, b long"), none("a long, firm long"))
     assert pool.count() == held.count() == 0
+
+
+@pytest.mark.parametrize("cells", [(10**6, 10**6), (300, 70)])
+def test_best_alike(spark, cells, monkeypatch):
+    monkeypatch.setattr("rippleflow.operators.pools.UNFOLDED", 64 * 70)
+    like, offers = made(cells[1])
+    like = [(a, b, (a * 7 + b * 3) % 5 / 10) for a, b in like]
+    want = {}
+    for a, b, s in like:
+        for f, x in offers:
+            if x == b:
+                want[a, f] = min(want.get((a, f), (1.0, 0)), (-s, b))
+    found = best_of(spark.createDataFrame(like, "a long, b long, score double"), spark.createDataFrame(offers, "firm long, b long"), *cells).collect()
+    got = [((r.a, f), (-r.score, r.b)) for r in found for f in r.firms]
+    assert len(got) == len(want) and dict(got) == want
+    none = best_of(spark.createDataFrame([], "a long, b long, score double"), spark.createDataFrame(offers, "firm long, b long"))
+    assert none.count() == 0
+
+
+def test_alternatives_meet_in_lists_of_firms(spark):
+    """Best alternatives aren't formed as a row a search and firm before they are chosen."""
+    lost = spark.createDataFrame([(s, s % 3) for s in range(30)], "search long, product long")
+    sigma = spark.createDataFrame([(a, b, (a + b) % 4 / 4) for a in range(3) for b in range(6)], "product long, alt long, score double")
+    index = spark.createDataFrame([(f % 6, None if f == 50 else f) for f in range(60)] + [(1, 7), (None, 9)], "product long, firm_id long")
+    out = best_alternatives(lost, sigma, index)
+    want = {}
+    for s, p in map(tuple, lost.collect()):
+        for q, alt, score in map(tuple, sigma.collect()):
+            for x, f in map(tuple, index.collect()):
+                if p == q and x == alt:
+                    want[s, f] = min(want.get((s, f), (1.0, 0)), (-score, alt))
+    got = [((r.search, r.firm_id), (-r.score, r["alt"])) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
