@@ -1,10 +1,13 @@
 """Pools of firms that offer something alike, against brute force."""
 
+import hashlib
+import math
 import random
 
 import pytest
 
 from rippleflow.operators.pools import best_of, united
+from rippleflow.plans import substitutes
 from rippleflow.plans.network import best_alternatives
 
 
@@ -68,3 +71,19 @@ def test_alternatives_meet_in_lists_of_firms(spark):
     got = [((r.search, r.firm_id), (-r.score, r["alt"])) for r in out.collect()]
     assert len(got) == len(want) and dict(got) == want
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("share", [1, 3, 10**6])
+def test_candidates_are_those_of_the_whole_race(spark, monkeypatch, share):
+    """The limit of the first race leaves all three out of any share of the firms; no window sees all options."""
+    lost = spark.createDataFrame([(s, 100 + s, p, 1, p % 2) for s in range(6) for p in range(4)], "src long, dst long, product long, amount long, a long")
+    like = spark.createDataFrame([(a, b, 0.3 + (a + b) / 9) for a in range(2) for b in range(4)], "a long, b long, score double")
+    offers = spark.createDataFrame([(f, f % 4) for f in range(200)] + [(None, 1)], "firm long, b long")
+    monkeypatch.setattr(substitutes, "_parts", lambda n: (lost, like, offers))
+    got = {}
+    for r in substitutes.specific_candidates(None, share).collect():
+        got.setdefault((r.firm, r.customer, r["product"]), set()).add(r["alt"])
+    u = lambda *k: (int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:13], 16) + 0.5) / 4503599627370496
+    for src, dst, p, _, a in map(tuple, lost.collect()):
+        race = sorted((-math.log(u("score", dst * 100000 + src, p * 100000 + f)) / (0.3 + (a + f % 4) / 9), f) for f in range(200) if f not in (src, dst))
+        assert got[src, dst, p] == {f for _, f in race[:3]}
