@@ -54,3 +54,23 @@ def test_far_block_pairs_are_not_formed(spark):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert similarity.all_pairs(none, 0.5).count() == 0
+
+
+def test_counts_are_those_of_the_pairs_and_no_pair_is_written(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    v = np.concatenate([v / np.linalg.norm(v, axis=1, keepdims=True)] * 2)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    score, floors = np.round(v @ v.T, 6), [0.2, 0.5, 0.999, 1.5]
+    want = {f: int((score > f).sum()) for f in floors[:3]}
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    assert {r["floor"]: r["pairs"] for r in similarity.pair_counts(df, floors, block=64).collect()} == want
+    assert similarity.pair_counts(df.limit(0), floors).count() == 0
+
+
+def test_sweep_forms_no_pairs(spark, monkeypatch):
+    from rippleflow.plans import graphs
+    from rippleflow.sources.adapter import Network
+
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    assert [c for c, _ in graphs.tau_sweep(Network(spark, "/root/testdata/sf0.001")).dtypes] == ["tau", "pairs"]
