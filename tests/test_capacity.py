@@ -38,3 +38,10 @@ def test_types_are_those_of_the_templates(spark):
     for name in NAMES:
         n = Network(spark, "/root/testdata/sf0.001")
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").dtypes == n.sql(analytics.SQL[name]).dtypes
+
+
+def test_suppliers_are_found_without_links(spark):
+    """No aggregate of J7's plan groups by both ends of a link."""
+    plan = catalog.queries()["J7_semi_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert groups and not any("dst" in line for line in groups)
