@@ -62,6 +62,23 @@ def test_diameter_holds_no_square(spark, monkeypatch):
     assert max(most) <= max(2 * 18, 2 * len(set(map(frozenset, pairs))))
 
 
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_eccentricities(spark, name):
+    near = neighbours(SHAPES[name])
+    both, nodes = df(spark, sorted({(a, b) for a in near for b in near[a]})), sorted(near)[::2]
+    got = {r.node: r.ecc for r in paths.eccentricities(both, spark.createDataFrame([(x,) for x in nodes], "node long")).collect()}
+    assert got == {x: max(search(near, x).values()) for x in nodes}
+
+
+def test_hubs_settle_their_partners(spark, monkeypatch):
+    """Leaves of hubs that reach all in time are not searched: one search, not one for every few dozen leaves."""
+    calls, kept = [], paths.eccentricities
+    monkeypatch.setattr(paths, "eccentricities", lambda both, sources: (calls.append(sources.count()), kept(both, sources))[1])
+    pairs = [(i, j) for i in range(6) for j in range(i)] + [(i % 6, 100 + i) for i in range(120)]
+    assert paths.diameter(df(spark, pairs), least=6) == 3
+    assert len(calls) == 1 and calls[0] < 20
+
+
 def test_no_edges(spark):
     none = df(spark, [])
     assert paths.diameter(none) == 0 and paths.reach_sketches(none).count() == 0
