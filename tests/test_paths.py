@@ -156,3 +156,27 @@ def test_core_numbers_of_long_chains(spark, monkeypatch):
     pairs = [(a, b) for a in range(6) for b in range(a)] + [(i, i + 1) for i in range(5, 12)] + [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(200, 201)]
     core = {r.node: r.core for r in graph.core_numbers(df(spark, pairs)).collect()}
     assert all(core[i] == 5 for i in range(6)) and all(core[i] == 1 for i in range(6, 13)) and all(core[100 + i] == 2 for i in range(5)) and core[200] == 1
+
+
+def test_betweenness_writes_no_row_a_source_and_node(spark, monkeypatch):
+    """Two separate rings with chords: no more rows are written than there are links, whatever the number of pairs."""
+    rng = random.Random(11)
+    pairs = sorted({(100 * c + i, 100 * c + j) for c in (0, 1) for i in range(20) for j in ((i + 1) % 20, rng.randrange(20)) if i != j})
+    near, back, whole = neighbours(pairs, both=False), neighbours([(b, a) for a, b in pairs], both=False), {}
+    for s in near:
+        d = search(near, s)
+        count, delta = {s: 1.0}, dict.fromkeys(d, 0.0)
+        for v in sorted(d, key=d.get)[1:]:
+            count[v] = sum(count[u] for u in back[v] if d.get(u) == d[v] - 1)
+        for v in sorted(d, key=d.get, reverse=True)[:-1]:
+            whole[v] = whole.get(v, 0.0) + delta[v]
+            for u in back[v]:
+                if d.get(u) == d[v] - 1:
+                    delta[u] += count[u] / count[v] * (1 + delta[v])
+    most, kept = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda x: (y := kept(x), most.append(y.count()))[0])
+    monkeypatch.setattr(paths, "CELLS", 300)  # a few sources at a time
+    e, n = df(spark, pairs), len(near)
+    got = {r.node: r.betweenness for r in paths.betweenness(e, graph.nodes_of(e)).collect()}
+    assert got == pytest.approx({v: t / ((n - 1) * (n - 2)) for v, t in whole.items()})
+    assert most and max(most) <= len(pairs)
