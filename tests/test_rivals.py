@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from rippleflow.operators import pools
 from rippleflow.plans import network
 
 SCHEMA = "firm_id long, product long"
@@ -59,3 +60,19 @@ def test_pairs_and_weights(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert network.rival_counts(none).count() == network.rivals(none).count() == network.overlap_pool(none, none).count() == 0
+
+
+@pytest.mark.parametrize("asked", [None, (10, 7, 9, 12345)])
+def test_sharing_in_small_groups(spark, monkeypatch, asked):
+    """Groups of a few offers and few counters at a time give the same; no pair of firms is shuffled."""
+    own = of(made(5))
+    monkeypatch.setattr(pools, "GROUPED", 7)
+    monkeypatch.setattr(pools, "COUNTERS", 100)
+    offers = spark.createDataFrame([(f, p) for f in own for p in own[f]], "firm long, b long")
+    some = None if asked is None else spark.createDataFrame([(f,) for f in asked], "firm long")
+    found = pools.sharing(offers, asked=some)
+    want = {(f, g, len(own[f] & own[g]), len(own[f])) for f in own for g in own if f != g and own[f] & own[g] and (asked is None or f in asked)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    if asked is None:
+        counts = {f: sum(1 for x in want if x[0] == f) for f in own}
+        assert {r.firm: r.others for r in pools.sharing(offers, pairs=False).collect()} == {f: n for f, n in counts.items() if n}
