@@ -6,6 +6,7 @@ import time
 import pytest
 
 from rippleflow.operators import cache, communities, graph
+from rippleflow.sources import adapter
 
 #: The friendships of a club of 34 members, by the lower member.
 CLUB = {1: [2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 18, 20, 22, 32], 2: [3, 4, 8, 14, 18, 20, 22, 31], 3: [4, 8, 9, 10, 14, 28, 29, 33], 4: [8, 13, 14], 5: [7, 11], 6: [7, 11, 17], 7: [17], 9: [31, 33, 34], 10: [34], 14: [34], 15: [33, 34], 16: [33, 34], 19: [33, 34], 20: [34], 21: [33, 34], 23: [33, 34], 24: [26, 28, 30, 33, 34], 25: [26, 28, 32], 26: [32], 27: [30, 34], 28: [34], 29: [32, 34], 30: [33, 34], 31: [33, 34], 32: [33, 34], 33: [34]}
@@ -114,3 +115,17 @@ def test_cache_keeps_the_first_of_two(spark, tmp_path):
         return spark.range(4)
 
     assert cache.cached(spark, "one", [], {}, slow, str(tmp_path)).count() == 3
+
+
+def test_communities_form_links_once(spark, monkeypatch):
+    """Components and levels read links that were written, not the lines that they are made from."""
+    class Seen(Exception):
+        pass
+
+    def look(edges):
+        raise Seen(edges._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(adapter, "largest_component", look)
+    with pytest.raises(Seen) as seen:
+        adapter.Network(spark, "/root/testdata/sf0.001")["communities"]
+    assert "l_suppkey" not in str(seen.value) and "Join" not in str(seen.value)
