@@ -30,3 +30,11 @@ def test_more_capabilities_than_a_set_would_bear(spark, monkeypatch):
     monkeypatch.setattr(simulate, "LARGE", 10)  # few tasks
     runs = simulate.simulate(campaign.configs(n), campaign._world(n))
     assert runs.rdd.getNumPartitions() <= max(1, spark.sparkContext.defaultParallelism // 4) and runs.where("violations > 0 OR error IS NOT NULL").count() == 0
+
+
+def test_tasks_need_not_import_the_repository(spark):
+    from pyspark import cloudpickle
+
+    n = Network(spark, "/root/testdata/sf0.001")
+    simulate.simulate(campaign.configs(n), simulate.World(size={1: 1}))
+    assert b"removed_edges" in cloudpickle.dumps(simulate.Run)  # its code, not its name only
